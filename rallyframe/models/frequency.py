@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.operators.groups import counts
-from rallyframe.operators.labels import fit_dictionary
+from rallyframe.operators.groups import counts, shares
 from rallyframe.session import settle
 
 
@@ -27,25 +26,16 @@ class FrequencyModel:
 
 def frequency_rows(train: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
     """(keys, class, n, p) for every class seen with the key."""
-    counted = counts(train, [*keys, target])
-    totals = counted.groupBy(*keys).agg(F.sum("n").alias("__total"))
-    return (
-        counted.join(totals, list(keys))
-        .withColumn("p", F.col("n") / F.col("__total"))
-        .drop("__total")
-    )
+    return shares(counts(train, [*keys, target]), keys, share="p")
 
 
 def fit_frequency_model(train: DataFrame, keys: Sequence[str], target: str) -> FrequencyModel:
-    """Count classes per key on ``train``.
+    """Count classes per key in one pass over ``train``.
 
     Each array holds one entry per class of the target, so its length is the number of classes.
     """
-    dictionary = fit_dictionary(train, target)
-    classes = dictionary.agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", target))), lambda entry: entry[target])
-    ).scalar()
-    counted = counts(train, [*keys, target])
+    counted = settle(counts(train, [*keys, target]))
+    classes = counted.agg(F.array_sort(F.collect_set(target))).scalar()
     per_key = counted.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(target), F.col("n")))).alias("__n"),
         F.sum("n").alias("__total"),

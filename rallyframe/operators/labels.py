@@ -14,16 +14,28 @@ from rallyframe.session import settle
 # Number of cut points that spread the labels over tasks before they are numbered.
 CUT_POINTS = 256
 
+# Up to this many labels are numbered in one task; the number is counted, not assumed.
+SMALL_DICTIONARY = 100_000
 
-def rank_labels(labels: DataFrame, label: str, keys: Sequence[str] = (), index: str = "idx") -> DataFrame:
-    """0-based place of every distinct label in code-point order, per combination of keys.
+
+def distinct_labels(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
+    return df.select(*keys, label).where(F.col(label).isNotNull()).distinct()
+
+
+def rank_small(labels: DataFrame, label: str, keys: Sequence[str] = (), index: str = "idx") -> DataFrame:
+    """0-based place of every label in code-point order, per combination of keys; one task per combination."""
+    numbered = Ordered.bounded(labels.withColumn("__all", F.lit(0)), ["__all", *keys], [label])
+    return _indexed(numbered, label, keys, index)
+
+
+def rank_spread(labels: DataFrame, label: str, keys: Sequence[str] = (), index: str = "idx") -> DataFrame:
+    """The same for any number of distinct labels.
 
     Labels are spread over ranges between cut points, a deterministic sample of the labels
     themselves, and numbered range by range, so no task sees all of them.
     """
-    distinct = labels.select(*keys, label).where(F.col(label).isNotNull()).distinct()
     sample = (
-        distinct.select(label)
+        labels.select(label)
         .distinct()
         .orderBy(F.xxhash64(label), label)
         .limit(CUT_POINTS)
@@ -31,15 +43,24 @@ def rank_labels(labels: DataFrame, label: str, keys: Sequence[str] = (), index:
     )
     block = F.size(F.filter("__cuts", lambda cut: cut <= F.col(label)))
     # One fixed key stands in where the numbering is not per key.
-    rows = distinct.withColumns({"__all": F.lit(0), "__cuts": sample.scalar()})
+    rows = labels.withColumns({"__all": F.lit(0), "__cuts": sample.scalar()})
     ordered = Ordered.by_block(rows, ["__all", *keys], [label], block).map(lambda df: df.drop("__cuts"))
+    return _indexed(ordered, label, keys, index)
+
+
+def _indexed(ordered: Ordered, label: str, keys: Sequence[str], index: str) -> DataFrame:
     numbered = ordered.scan(__place=row_number()).df
     return numbered.select(*keys, label, (F.col("__place") - 1).cast("int").alias(index))
 
 
 def fit_dictionary(df: DataFrame, label: str, keys: Sequence[str] = (), index: str = "idx") -> DataFrame:
-    """Dictionary (keys, label, index) of the labels in one column."""
-    return settle(rank_labels(df, label, keys, index))
+    """Dictionary (keys, label, index) of the labels in one column.
+
+    The distinct labels are stored first, so the data is read once however they are numbered.
+    """
+    labels = settle(distinct_labels(df, label, keys))
+    rank = rank_small if labels.count() <= SMALL_DICTIONARY else rank_spread
+    return settle(rank(labels, label, keys, index))
 
 
 def pool_labels(df: DataFrame, columns: Mapping[str, Column], label: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -51,7 +72,7 @@ def fit_joint_dictionary(
     df: DataFrame, columns: Mapping[str, Column], label: str, keys: Sequence[str] = (), index: str = "idx"
 ) -> DataFrame:
     """One dictionary shared by several columns."""
-    return settle(rank_labels(pool_labels(df, columns, label, keys), label, keys, index))
+    return fit_dictionary(pool_labels(df, columns, label, keys), label, keys, index)
 
 
 def encode(

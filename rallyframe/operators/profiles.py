@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.operators.groups import counts, shares, top_member
-from rallyframe.operators.labels import encode, rank_labels
+from rallyframe.operators.labels import encode, fit_dictionary
 from rallyframe.session import settle
 
 
@@ -21,7 +21,7 @@ def top_codes(train: DataFrame, actor: str, code: str, keys: Sequence[str] = ())
 def fit_profile(train: DataFrame, actor: str, code: str, index: str, keys: Sequence[str] = ()) -> DataFrame:
     """Profile (keys, actor, code, share, index): the top code and its place among the top codes."""
     top = settle(top_codes(train, actor, code, keys))
-    ranked = settle(rank_labels(top, code, keys, "__place"))
+    ranked = fit_dictionary(top, code, keys, "__place")
     return settle(encode(top, ranked, F.col(code), index, code, keys, "__place", unseen=None))
 
 

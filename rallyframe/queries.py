@@ -264,7 +264,7 @@ def _joint_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     lines = _table(spark, sf, "lineitem")
     columns = {name: F.col(name) for name in ("l_returnflag", "l_linestatus")}
     pooled = L.pool_labels(lines, columns, "label").union(_table(spark, sf, "orders").select("o_orderstatus"))
-    return settle(L.rank_labels(pooled, "label"))
+    return L.fit_dictionary(pooled, "label")
 
 
 def q13_joint_dictionary(spark: SparkSession, sf: str) -> DataFrame:

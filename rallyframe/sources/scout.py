@@ -205,18 +205,21 @@ def match_header(tagged: DataFrame) -> DataFrame:
     The map holds at most two sides of 100 shirts. Within a file an id keeps the first name listed for
     it, so a name found through the map is the same for every touch of that id.
     """
-    listed = roster(tagged)
-    spelled = listed.groupBy(FILE, "player_id").agg(
-        F.min_by("player_name", F.struct("side", "shirt")).alias("player_name")
-    )
-    entries = listed.drop("player_name").join(spelled, [FILE, "player_id"], "left")
-    players = entries.groupBy(FILE).agg(
-        F.map_from_entries(
-            F.collect_list(
-                F.struct(F.concat("side", F.col("shirt").cast("string")), F.struct("player_id", "player_name"))
-            )
-        ).alias("players")
+    entry = F.struct("side", "shirt", "player_id", "player_name")
+    listed = roster(tagged).groupBy(FILE).agg(F.array_sort(F.collect_list(entry)).alias("listed"))
+    named = F.transform(
+        "listed",
+        lambda one: F.struct(
+            F.concat(one["side"], one["shirt"].cast("string")).alias("key"),
+            F.struct(
+                one["player_id"].alias("player_id"),
+                F.get(
+                    F.filter("listed", lambda any_one: any_one["player_id"] == one["player_id"]), 0
+                )["player_name"].alias("player_name"),
+            ).alias("player"),
+        ),
     )
+    players = listed.select(FILE, F.map_from_entries(named).alias("players"))
     return teams(tagged).join(players, FILE, "left")
 
 

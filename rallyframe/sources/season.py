@@ -96,17 +96,19 @@ def new_rows(candidates: DataFrame, stored: DataFrame, key: str = "game_number")
     return candidates.join(stored.select(key).distinct(), key, "left_anti")
 
 
-def write_season(season: DataFrame, path: str, replace_games: bool = False) -> None:
-    """Append a season table, or replace just the games it holds.
+def write_season(season: DataFrame, path: str) -> None:
+    """Store the games of a season table, replacing those that are stored already and no others.
 
-    Rows are gathered per game before the write, so a game becomes one file and not one per task.
+    Running it twice stores the same rows. The rebalance gathers each game into few files and still
+    splits one that is too large for a task.
     """
-    spread = season.repartition(*PARTITIONS)
-    if replace_games:
-        writer = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    else:
-        writer = spread.write.mode("append")
-    writer.partitionBy(*PARTITIONS).parquet(path)
+    (
+        season.hint("rebalance", *PARTITIONS)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*PARTITIONS)
+        .parquet(path)
+    )
 
 
 def read_season(spark: SparkSession, path: str) -> DataFrame:
@@ -128,7 +130,7 @@ def update_season(
     """
     if force or not season_exists(spark, path):
         loaded = load_season(spark, folder, focus_team_id, focus_team_name)
-        write_season(loaded.rows, path, replace_games=True)
+        write_season(loaded.rows, path)
         return read_season(spark, path)
     stored = read_season(spark, path)
     files = tagged_files(spark, folder).where(F.col("reject_reason").isNull())
