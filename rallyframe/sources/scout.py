@@ -79,9 +79,14 @@ def has_splittable_files(spark: SparkSession, paths: Paths, pattern: str = "*.dv
     return not list_files(spark, paths, pattern).where(F.col("n_bytes") > limit).isEmpty()
 
 
-def game_tags(file_name: Column) -> dict[str, Column]:
+def file_name(path: Column) -> Column:
+    """Last part of a file path; paths come with blanks and the like encoded."""
+    return F.regexp_extract(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "[^/]*$", 0)
+
+
+def game_tags(name: Column) -> dict[str, Column]:
     """Game number, period and split from ``{game}_{period}_{split}_vs_{opponent}.dvw``, and what is wrong."""
-    parts = F.split(F.regexp_replace(file_name, r"\.dvw", ""), "_")
+    parts = F.split(F.regexp_replace(name, r"\.dvw", ""), "_")
     game = F.get(parts, 0).try_cast("int")
     return {
         "game_number": game,
@@ -93,23 +98,35 @@ def game_tags(file_name: Column) -> dict[str, Column]:
     }
 
 
-def read_lines(spark: SparkSession, paths: Paths, pattern: str = "*.dvw") -> DataFrame:
-    """(source_file, block, seq, value): every line; ``block`` is the split it was read in, NULL for whole files."""
+def has_usable_name(path: Column) -> Column:
+    return game_tags(file_name(path))["reject_reason"].isNull()
+
+
+def place_lines(raw: DataFrame) -> DataFrame:
+    """(source_file, block, value) of text rows; ``block`` is the split a line was read in, NULL for whole files."""
     metadata = F.col("_metadata")
-    return (
-        spark.read.option("pathGlobFilter", pattern)
-        .text(paths)
-        .select(
-            metadata["file_path"].alias(FILE),
-            F.when(
-                metadata["file_block_length"] < metadata["file_size"], metadata["file_block_start"]
-            ).alias("block"),
-            F.monotonically_increasing_id().alias("seq"),
-            "value",
-        )
+    return raw.select(
+        metadata["file_path"].alias(FILE),
+        F.when(metadata["file_block_length"] < metadata["file_size"], metadata["file_block_start"]).alias("block"),
+        "value",
     )
 
 
+def number_lines(placed: DataFrame) -> DataFrame:
+    """Add ``seq``, which rises along the lines of a split."""
+    return placed.withColumn("seq", F.monotonically_increasing_id())
+
+
+def read_lines(
+    spark: SparkSession, paths: Paths, pattern: str = "*.dvw", named_games_only: bool = False
+) -> DataFrame:
+    """(source_file, block, value, seq): every line. Files left out by name are not opened."""
+    placed = place_lines(spark.read.option("pathGlobFilter", pattern).text(paths))
+    if named_games_only:
+        placed = placed.where(has_usable_name(F.col(FILE)))
+    return number_lines(placed)
+
+
 def tag_sections(lines: DataFrame, splittable: bool) -> Ordered:
     """Add the section name and the line number to every line, and drop header and empty lines."""
     if splittable:
@@ -310,10 +327,12 @@ def segment(touches: Ordered) -> Ordered:
     )
 
 
-def touches(spark: SparkSession, paths: Paths, pattern: str = "*.dvw") -> DataFrame:
-    """Every touch and point line of the match files under some paths, with teams and players resolved."""
-    splittable = has_splittable_files(spark, paths, pattern)
-    tagged = tag_sections(read_lines(spark, paths, pattern), splittable)
+def touches(lines: DataFrame, splittable: bool = True) -> DataFrame:
+    """Every touch and point line, with teams and players resolved, from ``read_lines``.
+
+    ``splittable`` = False says that no file was read in more than one split.
+    """
+    tagged = tag_sections(lines, splittable)
     header = match_header(tagged.df)
     coded = tagged.map(
         lambda df: decode(df.where(F.col("section") == "SCOUT")).where(F.col("is_touch") | F.col("is_point"))

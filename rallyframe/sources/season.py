@@ -12,9 +12,11 @@ from rallyframe.schema import SEASON, SERVE_RECEIVE
 from rallyframe.sources.scout import (
     FILE,
     Paths,
+    file_name,
     game_tags,
     has_splittable_files,
     list_files,
+    read_lines,
     touches,
 )
 
@@ -30,22 +32,31 @@ class SeasonLoad:
 
 
 def tagged_files(spark: SparkSession, paths: Paths) -> DataFrame:
+    """(source_file, file_name, game_number, period, split, reject_reason) of the files under some paths."""
+    tags = game_tags(F.col("file_name"))
     return list_files(spark, paths).select(
-        FILE, "file_name", *[column.alias(name) for name, column in game_tags(F.col("file_name")).items()]
+        FILE, "file_name", *[column.alias(name) for name, column in tags.items()]
     )
 
 
-def extract(spark: SparkSession, paths: Paths, focus_team_id: str, focus_team_name: str) -> DataFrame:
-    """Serve-receive rows of the match files under some paths, with the file as key."""
+def extract(lines: DataFrame, splittable: bool, focus_team_id: str, focus_team_name: str) -> DataFrame:
+    """Serve-receive rows with the file as key, from lines of match files."""
     return serve_receive(
-        touches(spark, paths),
+        touches(lines, splittable),
         focus_team_id,
         focus_team_name,
         names_unique=True,
-        bounded_games=not has_splittable_files(spark, paths),
+        bounded_games=not splittable,
     )
 
 
+def tag_games(rows: DataFrame) -> DataFrame:
+    """Season rows: game number, period and split from the file name in place of the file."""
+    tags = game_tags(file_name(F.col(FILE)))
+    del tags["reject_reason"]
+    return rows.withColumns(tags).select(*SEASON.fieldNames())
+
+
 def extract_match(
     spark: SparkSession,
     path: str,
@@ -56,9 +67,10 @@ def extract_match(
     split: str = "all",
 ) -> DataFrame:
     """Serve-receive rows of a single file whose name says nothing about game, period and split."""
-    rows = extract(spark, path, focus_team_id, focus_team_name)
+    splittable = has_splittable_files(spark, path)
+    rows = extract(read_lines(spark, path), splittable, focus_team_id, focus_team_name)
     tags = {"game_number": F.lit(game_number), "period": F.lit(period), "split": F.lit(split)}
-    return rows.drop(FILE).withColumns(tags).select(*SEASON.fieldNames())
+    return rows.withColumns(tags).select(*SEASON.fieldNames())
 
 
 def load_season(spark: SparkSession, paths: Paths, focus_team_id: str, focus_team_name: str) -> SeasonLoad:
@@ -71,16 +83,15 @@ def load_season(spark: SparkSession, paths: Paths, focus_team_id: str, focus_tea
     accepted = files.where(F.col("reject_reason").isNull())
     if accepted.isEmpty():
         raise ValueError(f"no match files with a usable name in {paths}")
-    rows = extract(spark, paths, focus_team_id, focus_team_name)
-    tags = accepted.select(FILE, "game_number", "period", "split")
-    season = rows.join(tags, FILE).select(FILE, *SEASON.fieldNames())
-    empty = accepted.join(season.select(FILE).distinct(), FILE, "left_anti").select(
+    lines = read_lines(spark, paths, named_games_only=True)
+    rows = extract(lines, has_splittable_files(spark, paths), focus_team_id, focus_team_name)
+    empty = accepted.join(rows.select(FILE).distinct(), FILE, "left_anti").select(
         FILE, "file_name", F.lit("no serve-receive point").alias("reason")
     )
     misnamed = files.where(F.col("reject_reason").isNotNull()).select(
         FILE, "file_name", F.col("reject_reason").alias("reason")
     )
-    return SeasonLoad(season.drop(FILE), misnamed.unionByName(empty))
+    return SeasonLoad(tag_games(rows), misnamed.unionByName(empty))
 
 
 def combine(*pieces: DataFrame) -> DataFrame:
@@ -113,7 +124,7 @@ def write_season(season: DataFrame, path: str) -> None:
 
 def read_season(spark: SparkSession, path: str) -> DataFrame:
     """The stored table; a filter on period or game reads only those folders."""
-    return spark.read.schema(SEASON).parquet(path)
+    return spark.read.schema(SEASON).parquet(path).select(*SEASON.fieldNames())
 
 
 def season_exists(spark: SparkSession, path: str) -> bool:

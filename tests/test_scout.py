@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.schema import SERVE_RECEIVE
 from rallyframe.sources import scout, season
+from rallyframe.streaming import season_stream
 from tests.scoutgen import Match, write_season
 
 GAMES = {
@@ -66,7 +67,7 @@ def test_no_usable_file_is_an_error(spark, tmp_path):
 
 
 def test_touch_invariants(spark, folder):
-    touches = scout.touches(spark, str(folder / "01_pre_train_vs_X.dvw")).cache()
+    touches = scout.touches(scout.read_lines(spark, str(folder / "01_pre_train_vs_X.dvw"))).cache()
     match = Match(1)
     points = [line for line in match.lines if line[1:2] == "p"]
     serves = touches.where("skill = 'Serve'")
@@ -134,6 +135,27 @@ def test_store_and_update(spark, folder, tmp_path):
     assert sorted(forced.collect()) == stored
 
 
+def test_stream_picks_up_new_files_only(spark, tmp_path):
+    source, path, checkpoint = tmp_path / "games", str(tmp_path / "season"), str(tmp_path / "progress")
+    source.mkdir()
+    (source / "01_pre_train_vs_X.dvw").write_text(Match(1).text())
+    (source / "X-Y.dvw").write_text(Match(4).text())
+    season_stream.run_available(spark, str(source), path, checkpoint, "1", "Team A")
+    one = season.read_season(spark, path).collect()
+    whole = season.load_season(spark, str(source), "1", "Team A").rows.collect()
+    assert sorted(one) == sorted(whole)
+    stamps = {f: f.stat().st_mtime_ns for f in (tmp_path / "season").rglob("*.parquet")}
+    (source / "02 _pre_test_vs_Y+Z.dvw").write_text(Match(2).text())
+    season_stream.run_available(spark, str(source), path, checkpoint, "1", "Team A")
+    both = season.read_season(spark, path)
+    assert sorted(row.game_number for row in both.select("game_number").distinct().collect()) == [1, 2]
+    assert both.where("game_number = 2").count() == len(Match(2).expected)
+    for file, stamp in stamps.items():
+        assert file.stat().st_mtime_ns == stamp
+    season_stream.run_available(spark, str(source), path, checkpoint, "1", "Team A")
+    assert season.read_season(spark, path).count() == len(Match(1).expected) + len(Match(2).expected)
+
+
 def test_csv_round_trip(spark, loaded, tmp_path):
     path = str(tmp_path / "csv")
     season.write_csv(loaded.rows, path)
