@@ -42,9 +42,8 @@ class BoostedModel:
             helpers += [f"__raw_{place}", f"__p_{place}", f"__hit_{place}"]
             parts.append(vector_to_array(f"__p_{place}")[1])
         classes = F.array(*[F.lit(name) for name in self.classes])
-        return scored.withColumns(
-            {"classes": classes, "probability": renormalise(F.array(*parts))}
-        ).drop(*helpers)
+        raw = scored.withColumns({"classes": classes, "probability": F.array(*parts)}).drop(*helpers)
+        return renormalise(raw, "probability", len(self.classes))
 
     def importances(self, df: DataFrame) -> DataFrame:
         """Gain share per feature averaged over the class models, ascending (df gives the session)."""

@@ -9,19 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.operators.groups import counts, shares
+from rallyframe.operators.labels import class_list
 from rallyframe.session import settle
 
 
 @dataclass(frozen=True)
 class FrequencyModel:
-    """``table`` has one row per key: keys, classes, probability."""
+    """``table`` has one row per key: keys, probability."""
 
     keys: list[str]
+    classes: list[str]
     table: DataFrame
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add classes and probability; keys never seen in training get NULLs."""
-        return df.join(self.table, self.keys, "left")
+        """Add classes and probability; keys never seen in training have no probability."""
+        names = F.array(*[F.lit(name) for name in self.classes])
+        return df.join(self.table, self.keys, "left").withColumn("classes", names)
 
 
 def frequency_rows(train: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
@@ -32,16 +35,17 @@ def frequency_rows(train: DataFrame, keys: Sequence[str], target: str) -> DataFr
 def fit_frequency_model(train: DataFrame, keys: Sequence[str], target: str) -> FrequencyModel:
     """Count classes per key in one pass over ``train``.
 
-    Each array holds one entry per class of the target, so its length is the number of classes.
+    For a target with too many classes to hold one entry each, ``frequency_rows`` gives the same numbers
+    in long form.
     """
     counted = settle(counts(train, [*keys, target]))
-    classes = counted.agg(F.array_sort(F.collect_set(target))).scalar()
+    classes = class_list(counted, target)
     per_key = counted.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(target), F.col("n")))).alias("__n"),
         F.sum("n").alias("__total"),
     )
     share = F.transform(
-        "classes", lambda name: F.coalesce(F.element_at("__n", name) / F.col("__total"), F.lit(0.0))
+        F.array(*[F.lit(name) for name in classes]),
+        lambda name: F.coalesce(F.element_at("__n", name) / F.col("__total"), F.lit(0.0)),
     )
-    table = per_key.withColumn("classes", classes).select(*keys, "classes", share.alias("probability"))
-    return FrequencyModel(list(keys), settle(table))
+    return FrequencyModel(list(keys), classes, settle(per_key.select(*keys, share.alias("probability"))))

@@ -21,19 +21,23 @@ SUMMARY_METRICS = [
 
 
 def mask_to_available(
-    df: DataFrame, available: Column, probabilities: str = "probability", classes: str = "classes"
+    df: DataFrame, class_names: Sequence[str], available: Column, probabilities: str = "probability"
 ) -> DataFrame:
     """Zero the classes that were not available and renormalise, row by row."""
-    return df.withColumn(probabilities, P.masked(F.col(probabilities), F.col(classes), available))
+    return P.mask(df, probabilities, class_names, available)
 
 
 def add_predictability(
-    df: DataFrame, actual: str, probabilities: str = "probability", classes: str = "classes"
+    df: DataFrame,
+    actual: str,
+    n_classes: int | None = None,
+    probabilities: str = "probability",
+    classes: str = "classes",
 ) -> DataFrame:
     """Entropy, most likely class, and whether it was the one chosen."""
     return df.withColumns(
         {
-            "pred_entropy": P.entropy(F.col(probabilities)),
+            "pred_entropy": P.entropy(F.col(probabilities), n_classes),
             "top_predicted": P.top_class(F.col(probabilities), F.col(classes)),
         }
     ).withColumns(

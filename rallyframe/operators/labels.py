@@ -17,6 +17,9 @@ CUT_POINTS = 256
 # Up to this many labels are numbered in one task; the number is counted, not assumed.
 SMALL_DICTIONARY = 100_000
 
+# A prediction target with more classes than this is a mistake: every row would hold that many probabilities.
+MOST_CLASSES = 10_000
+
 
 def distinct_labels(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
     return df.select(*keys, label).where(F.col(label).isNotNull()).distinct()
@@ -96,12 +99,16 @@ def encode(
     )
 
 
-def class_list(dictionary: DataFrame, label: str, index: str = "idx") -> list[str]:
-    """Labels in index order, for models that need the class list as a constant.
+def class_list(dictionary: DataFrame, label: str) -> list[str]:
+    """Labels in code-point order, which is index order, as a list for models that hold one entry per class.
 
-    Meant for prediction targets, of which a model can hold only a few.
+    The number is checked before anything is collected.
     """
-    return [row[0] for row in dictionary.select(label, index).orderBy(index).select(label).collect()]
+    found = dictionary.select(label).distinct()
+    n_found = found.count()
+    if n_found > MOST_CLASSES:
+        raise ValueError(f"{label} has {n_found} classes; a model with one entry per class takes {MOST_CLASSES}")
+    return [row[0] for row in found.orderBy(label).collect()]
 
 
 def class_counts(df: DataFrame, dictionary: DataFrame, target: str, label: str, index: str = "idx") -> DataFrame:

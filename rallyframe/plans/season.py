@@ -81,8 +81,8 @@ def model_rows(encoded: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def score(model: BoostedModel, rows: DataFrame) -> DataFrame:
     """Masked probabilities and predictability columns."""
-    masked = E.mask_to_available(model.transform(rows), on_court())
-    return E.add_predictability(masked, "attacker_id")
+    masked = E.mask_to_available(model.transform(rows), model.classes, on_court())
+    return E.add_predictability(masked, "attacker_id", len(model.classes))
 
 
 def analyse_season(

@@ -367,10 +367,13 @@ def q21_label_union(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _with_history(spark: SparkSession, sf: str) -> DataFrame:
-    """Events that have a previous one, with its type and the types on court: of the previous six events, those of enough value."""
-    events = _events(spark, sf).select("event_id", "user_id", "event_type", "value", "ts", "d")
-    scanned = _by_user(events).scan(before=previous("event_type"), last_six=recent(6, "event_type", "value")).df
-    court = F.filter("last_six", lambda event: event["value"] >= COURT_VALUE)
+    """Events that have a previous one, with its type and six court slots: the types of the previous six
+    events, NULL for those of too little value."""
+    slot = F.when(F.col("value") >= COURT_VALUE, F.col("event_type"))
+    events = _events(spark, sf).select(
+        "event_id", "user_id", "event_type", "value", "ts", "d", slot.alias("slot")
+    )
+    scanned = _by_user(events).scan(before=previous("event_type"), last_six=recent(6, "slot")).df
     return scanned.select(
         "event_id",
         "user_id",
@@ -379,37 +382,40 @@ def _with_history(spark: SparkSession, sf: str) -> DataFrame:
         "ts",
         "d",
         F.col("before.event_type").alias("prev_type"),
-        F.transform(court, lambda event: event["event_type"]).alias("on_court"),
+        F.col("last_six.slot").alias("on_court"),
     ).where(F.col("prev_type").isNotNull())
 
 
-def _frequencies(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    history = _with_history(spark, sf)
-    return history, history.where(_before(TRAIN_UNTIL))
+def _train_and_all(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Training rows and all rows, from one stored table: fitting and scoring both read it."""
+    history = settle(_with_history(spark, sf))
+    return history.where(_before(TRAIN_UNTIL)), history
 
 
 def q22_frequency_model(spark: SparkSession, sf: str) -> DataFrame:
-    _, train = _frequencies(spark, sf)
+    train = _with_history(spark, sf).where(_before(TRAIN_UNTIL))
     return frequency_rows(train, ["prev_type"], "event_type").select(
         "prev_type", "event_type", "n", _r("p").alias("p")
     )
 
 
-def _masked(spark: SparkSession, sf: str) -> DataFrame:
-    history, train = _frequencies(spark, sf)
+def _masked(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """Events with masked probabilities, and the number of classes."""
+    train, history = _train_and_all(spark, sf)
     model = fit_frequency_model(train, ["prev_type"], "event_type")
     known = model.transform(history).where(F.col("probability").isNotNull())
-    return E.mask_to_available(known, F.col("on_court"))
+    return E.mask_to_available(known, model.classes, F.col("on_court")), len(model.classes)
 
 
 def q23_masked(spark: SparkSession, sf: str) -> DataFrame:
-    listed = E.list_probabilities(_masked(spark, sf), ["event_id"])
+    listed = E.list_probabilities(_masked(spark, sf)[0], ["event_id"])
     return listed.select("event_id", "class", _r("p").alias("p"))
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     day = F.dayofmonth("d")
-    return E.add_predictability(_masked(spark, sf), "event_type").withColumns(
+    masked, n_classes = _masked(spark, sf)
+    return E.add_predictability(masked, "event_type", n_classes).withColumns(
         {
             "rotation": (F.col("user_id") % 6 + 1).cast("int"),
             "period": F.when(day <= 10, "pre").when(day <= 20, "conf1").otherwise("conf2"),
@@ -484,18 +490,19 @@ def q30_log_loss(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q31_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    return E.probability_patterns(_masked(spark, sf))
+    return E.probability_patterns(_masked(spark, sf)[0])
 
 
 def q31_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
-    checks = E.probability_diagnostics(_masked(spark, sf), ["event_id"], F.array_distinct("on_court"))
+    masked, _ = _masked(spark, sf)
+    checks = E.probability_diagnostics(masked, ["event_id"], F.array_distinct("on_court"))
     return checks.select(
         "event_id", _r("row_sum").alias("row_sum"), "n_positive", F.concat_ws(",", "available").alias("available")
     )
 
 
 def _boosted(spark: SparkSession, sf: str) -> tuple[BoostedModel, DataFrame]:
-    history, train = _frequencies(spark, sf)
+    train, history = _train_and_all(spark, sf)
     previous_types = L.fit_dictionary(train.select(F.col("prev_type").alias("label")), "label")
     targets = L.fit_dictionary(train.select(F.col("event_type").alias("label")), "label")
     rows = L.encode(history, previous_types, F.col("prev_type"), "prev_enc", "label")
@@ -504,7 +511,7 @@ def _boosted(spark: SparkSession, sf: str) -> tuple[BoostedModel, DataFrame]:
     rows = settle(
         rows.withColumns(
             {
-                "n_on_court": F.size("on_court"),
+                "n_on_court": F.size(F.array_compact("on_court")),
                 "rotation": F.col("user_id") % 6 + 1,
                 "day": F.dayofmonth("d"),
             }
@@ -528,9 +535,8 @@ def _boosted(spark: SparkSession, sf: str) -> tuple[BoostedModel, DataFrame]:
 
 def q32_mllib(spark: SparkSession, sf: str) -> DataFrame:
     model, rows = _boosted(spark, sf)
-    scored = E.add_predictability(
-        E.mask_to_available(model.transform(rows), F.col("on_court")), "event_type"
-    )
+    masked = E.mask_to_available(model.transform(rows), model.classes, F.col("on_court"))
+    scored = E.add_predictability(masked, "event_type", len(model.classes))
     return scored.select(
         "event_id", _r("pred_entropy").alias("pred_entropy"), "top_predicted", "prediction_correct"
     )
@@ -642,7 +648,7 @@ def q37_first_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def q38_one_point(spark: SparkSession, sf: str) -> DataFrame:
     """Unmasked class probabilities of the first test event."""
-    history, train = _frequencies(spark, sf)
+    train, history = _train_and_all(spark, sf)
     model = fit_frequency_model(train, ["prev_type"], "event_type")
     first = history.where(~_before(TRAIN_UNTIL)).orderBy("event_id").limit(1)
     return E.list_probabilities(model.transform(first), ["event_id"]).select(

@@ -24,16 +24,19 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names, or one of our own where it names none."""
+    """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder of its own.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
         named = tempfile.mkdtemp(prefix="rallyframe-")
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
-        named = context.getCheckpointDir()
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
+    return context.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -41,9 +44,10 @@ def settle(df: DataFrame) -> DataFrame:
 
     Fitted tables (dictionaries, profiles, class probabilities) go through here: their lineage
     ends, a lost executor costs a re-read and not a re-fit, and Catalyst knows their exact size, so
-    a later join broadcasts them only when they are below its threshold.
+    a later join broadcasts them only when they are below its threshold. The folder carries the
+    application id, so it can be removed once the application is over.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/rallyframe/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/rallyframe-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

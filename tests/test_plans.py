@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from rallyframe import api
 from rallyframe.plans import overview
 from rallyframe.plans.match import analyse_match
 from rallyframe.plans.season import analyse_season
@@ -81,6 +82,29 @@ def test_profile_feature_can_be_added(season):
     assert "player_top_attack_enc" in analysis.models["pre"].features
 
 
+def test_step_by_step(spark, season, capsys):
+    train = season.where("period = 'pre' AND split = 'train'")
+    test = season.where("period = 'pre' AND split = 'test'")
+    rows, features = api.build_features(train, "Team A")
+    others, same = api.build_features(test, "Team A", features)
+    assert same is features
+    names = api.classes(features)
+    complete = rows.na.drop(subset=[*MODEL_FEATURES, "target"])
+    model = api.fit_boosted_model(complete, MODEL_FEATURES, "target", names, **QUICK)
+    scored, summary = api.compute_predictability(api.get_masked_probas(others, model))
+    assert scored.count() == others.na.drop(subset=[*MODEL_FEATURES, "target"]).count()
+    values = {row.metric: row.value for row in summary.collect()}
+    assert values["overall_accuracy"] + values["non_top_rate_all"] == pytest.approx(1)
+    api.print_predictability_summary(summary, "test")
+    assert "overall_accuracy" in capsys.readouterr().out
+    again, targets = api.encode_target(others, rows)
+    assert sorted(row.target or -1 for row in again.collect()) == sorted(row.target or -1 for row in others.collect())
+    assert targets.count() == len(names)
+    profiled, profiles = api.add_attack_profiles(rows, rows)
+    assert profiled.count() == rows.count()
+    assert profiles.count() <= len(names)
+
+
 def test_no_training_rows_is_an_error(season):
     with pytest.raises(ValueError):
         analyse_season(season.where("split = 'test'"), "Team A", settings=QUICK)

@@ -22,7 +22,8 @@ SCHEMA = (
 
 def scored(spark, rows):
     df = spark.createDataFrame([(*row, CLASSES) for row in rows], SCHEMA)
-    return E.add_predictability(E.mask_to_available(df, F.col("on_court")), "actual")
+    masked = E.mask_to_available(df, CLASSES, F.col("on_court"))
+    return E.add_predictability(masked, "actual", len(CLASSES))
 
 
 @pytest.fixture(scope="module")
@@ -187,3 +188,14 @@ def test_top_class_of_an_unknown_actual(spark):
     df = spark.createDataFrame([(CLASSES, [0.2, 0.3, 0.5], "-7")], "c array<string>, p array<double>, a string")
     row = df.select(P.top_class(F.col("p"), F.col("c")), P.probability_of(F.col("p"), F.col("c"), F.col("a"))).first()
     assert tuple(row) == ("-3", None)
+
+
+def test_long_class_lists_give_the_same_numbers(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [
+        (n, 1, 3.0, "-1", [c for c in CLASSES if rng.random() < 0.5] + [None], [rng.random() for _ in CLASSES])
+        for n in range(100)
+    ]
+    written_out = sorted(map(str, scored(spark, rows).collect()))
+    monkeypatch.setattr(P, "WRITTEN_OUT", 2)
+    assert sorted(map(str, scored(spark, rows).collect())) == written_out
