@@ -48,4 +48,4 @@ def fit_frequency_model(train: DataFrame, keys: Sequence[str], target: str) -> F
         F.array(*[F.lit(name) for name in classes]),
         lambda name: F.coalesce(F.element_at("__n", name) / F.col("__total"), F.lit(0.0)),
     )
-    return FrequencyModel(list(keys), classes, settle(per_key.select(*keys, share.alias("probability"))))
+    return FrequencyModel(list(keys), classes, per_key.select(*keys, share.alias("probability")))

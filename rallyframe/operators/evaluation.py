@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.functions import probability as P
-from rallyframe.operators.groups import fill_domain
 
 SUMMARY_METRICS = [
     "overall_accuracy",
@@ -73,20 +72,24 @@ def listed_metrics(summary: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def by_rotation(df: DataFrame, rotation: str, low: int, high: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Mean entropy and non-top rate per rotation; rotations without rows are listed with NULLs."""
-    means = (
-        df.where(F.col(rotation).isNotNull())
-        .groupBy(*keys, rotation)
-        .agg(
-            F.avg("pred_entropy").alias("mean_entropy"),
-            F.avg(F.col("chose_non_top").cast("double")).alias("non_top_rate"),
+    """Mean entropy and non-top rate of every rotation from ``low`` to ``high``; NULLs where there are no rows.
+
+    The rotations are a fixed short list, so each is a pair of conditional means in one aggregation.
+    """
+    means, listed = [], []
+    for slot in range(low, high + 1):
+        here = F.col(rotation) == slot
+        entropy, non_top = f"__entropy_{slot}", f"__non_top_{slot}"
+        means.append(F.avg(F.when(here, F.col("pred_entropy"))).alias(entropy))
+        means.append(F.avg(F.when(here, F.col("chose_non_top").cast("double"))).alias(non_top))
+        listed.append(
+            F.struct(
+                F.lit(slot).alias(rotation),
+                F.col(entropy).alias("mean_entropy"),
+                F.col(non_top).alias("non_top_rate"),
+            )
         )
-    )
-    if not keys:
-        return fill_domain(means, rotation, low, high)
-    slots = F.explode(F.sequence(F.lit(low), F.lit(high))).alias(rotation)
-    domain = df.select(*keys).distinct().select(*keys, slots)
-    return domain.join(means, [*keys, rotation], "left")
+    return df.groupBy(*keys).agg(*means).select(*keys, F.inline(F.array(*listed)))
 
 
 def compare_periods(summary: DataFrame, period: str, periods: Sequence[str]) -> DataFrame:

@@ -102,19 +102,13 @@ def flag_rates(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     for flag in flags:
         measures.append(F.coalesce(F.sum(F.col(flag).cast("bigint")), F.lit(0)).alias(f"{flag}_n"))
         measures.append(F.avg(F.col(flag).cast("double")).alias(f"{flag}_rate"))
-    listed = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(flag).alias("flag"),
-                    F.col(f"{flag}_n").alias("n"),
-                    F.col(f"{flag}_rate").alias("rate"),
-                )
-                for flag in flags
-            ]
+    listed = [
+        F.struct(
+            F.lit(flag).alias("flag"), F.col(f"{flag}_n").alias("n"), F.col(f"{flag}_rate").alias("rate")
         )
-    ).alias("__row")
-    return df.agg(*measures).select(listed).select("__row.*")
+        for flag in flags
+    ]
+    return df.agg(*measures).select(F.inline(F.array(*listed)))
 
 
 def unmapped_codes(df: DataFrame, code: str, mapped: str) -> DataFrame:
@@ -130,12 +124,6 @@ def rows_and_members(df: DataFrame, keys: Sequence[str], member: str, rows: str,
     )
 
 
-def fill_domain(df: DataFrame, key: str, low: int, high: int) -> DataFrame:
-    """Every key from ``low`` to ``high``; keys without a row get NULLs."""
-    domain = df.sparkSession.range(low, high + 1).select(F.col("id").cast("int").alias(key))
-    return domain.join(df.where(F.col(key).isNotNull()), key, "left")
-
-
 def unseen_labels(df: DataFrame, known: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """Labels that occur in ``df`` but not in ``known``."""
     names = [*keys, label]

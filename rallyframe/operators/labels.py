@@ -102,13 +102,12 @@ def encode(
 def class_list(dictionary: DataFrame, label: str) -> list[str]:
     """Labels in code-point order, which is index order, as a list for models that hold one entry per class.
 
-    The number is checked before anything is collected.
+    Too many classes are an error; no more than the limit are collected.
     """
-    found = dictionary.select(label).distinct()
-    n_found = found.count()
-    if n_found > MOST_CLASSES:
-        raise ValueError(f"{label} has {n_found} classes; a model with one entry per class takes {MOST_CLASSES}")
-    return [row[0] for row in found.orderBy(label).collect()]
+    found = dictionary.select(label).distinct().orderBy(label).limit(MOST_CLASSES + 1).collect()
+    if len(found) > MOST_CLASSES:
+        raise ValueError(f"{label} has more than the {MOST_CLASSES} classes a row of probabilities may have")
+    return [row[0] for row in found]
 
 
 def class_counts(df: DataFrame, dictionary: DataFrame, target: str, label: str, index: str = "idx") -> DataFrame:
