@@ -158,6 +158,57 @@ _EVALUATION = "substr('#+!-/=', CAST(floor(value) AS INTEGER) % 6 + 1, 1)"
 _TOUCH = "event_type <> 'error'"
 
 
+_FEATURES = f"""{_EV},
+season AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS point_id,
+    CASE WHEN user_id % 3 = 0 THEN 'pre' ELSE 'conf1' END AS period,
+    substr('#+!-/=?', CAST(floor(value) AS INTEGER) % 7 + 1, 1) AS code,
+    CAST(-(event_id % 40) AS VARCHAR) AS server, CAST(-(event_id % 12) AS VARCHAR) AS attacker
+  FROM ev
+),
+focus AS (SELECT * FROM season WHERE event_id % 2 = 0 AND event_type <> 'error'),
+court AS (
+  SELECT event_id, slot,
+    CASE WHEN user_id % 2 = 0 THEN CAST(-((user_id + slot) % 20) AS VARCHAR)
+         ELSE CAST(-(100 + (event_id + slot) % 15) AS VARCHAR) END AS recv,
+    CASE WHEN user_id % 2 = 0 THEN CAST(-(100 + (event_id + slot) % 15) AS VARCHAR)
+         ELSE CAST(-((user_id + slot) % 20) AS VARCHAR) END AS opp
+  FROM focus CROSS JOIN range(1, 7) r(slot)
+),
+lagged AS (
+  SELECT *, lag(attacker) OVER w AS before, coalesce(lag(point_id) OVER w = point_id - 1, FALSE) AS gate,
+    lag(value) OVER w AS before_value
+  FROM focus WINDOW w AS (PARTITION BY user_id, d ORDER BY event_id)
+),
+rows_ AS (
+  SELECT *, CASE WHEN gate THEN before ELSE 'none' END AS prev_label,
+    CASE WHEN gate AND before_value >= 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prev_point_won
+  FROM lagged
+),
+train AS (SELECT * FROM rows_ WHERE ts < TIMESTAMP '2024-01-02'),
+servers AS (
+  SELECT period, label, CAST(row_number() OVER (PARTITION BY period ORDER BY label) - 1 AS INTEGER) AS idx
+  FROM (SELECT DISTINCT period, server AS label FROM train)),
+players AS (
+  SELECT period, label, CAST(row_number() OVER (PARTITION BY period ORDER BY label) - 1 AS INTEGER) AS idx
+  FROM (SELECT period, recv AS label FROM court JOIN train USING (event_id)
+        UNION SELECT period, opp FROM court JOIN train USING (event_id))),
+befores AS (
+  SELECT period, label, CAST(row_number() OVER (PARTITION BY period ORDER BY label) - 1 AS INTEGER) AS idx
+  FROM (SELECT DISTINCT period, prev_label AS label FROM train)),
+targets AS (
+  SELECT period, label, CAST(row_number() OVER (PARTITION BY period ORDER BY label) - 1 AS INTEGER) AS idx
+  FROM (SELECT DISTINCT period, attacker AS label FROM train)),
+tops AS (
+  SELECT period, attacker, event_type FROM (
+    SELECT period, attacker, event_type,
+      row_number() OVER (PARTITION BY period, attacker ORDER BY count(*) DESC, event_type) AS rn
+    FROM train GROUP BY 1, 2, 3) WHERE rn = 1),
+top_codes AS (
+  SELECT period, event_type, CAST(row_number() OVER (PARTITION BY period ORDER BY event_type) - 1 AS INTEGER) AS idx
+  FROM (SELECT DISTINCT period, event_type FROM tops))"""
+
+
 def _metric_rows(source: str) -> str:
     return " UNION ALL ".join(
         f"SELECT '{name}' AS metric, round({name}, 6) AS value FROM {source}" for name in _METRICS
@@ -366,4 +417,53 @@ LEFT JOIN ev ON CAST(ev.user_id AS VARCHAR) = dict.label AND ev.ts >= TIMESTAMP
     "q38_one_point": f"""WITH {_HISTORY}
 SELECT event_id, class, round(p0, 6) AS p FROM raw
 WHERE event_id = (SELECT min(event_id) FROM hist WHERE ts >= TIMESTAMP '2024-01-25')""",
+    "q39_file_tags": """WITH named AS (
+  SELECT *, o_orderkey % 7 = 0 AS short, o_orderkey % 7 <> 0 AND o_orderkey % 11 = 0 AS odd FROM orders)
+SELECT o_orderkey,
+  CASE WHEN NOT short AND NOT odd THEN CAST(o_orderkey % 30 AS INTEGER) END AS game_number,
+  CASE WHEN odd THEN 'pre' WHEN NOT short THEN o_orderstatus END AS period,
+  CASE WHEN odd THEN 'train' WHEN NOT short THEN CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END END AS split,
+  CASE WHEN short THEN 'unexpected naming format' WHEN odd THEN 'game number is not an integer' END AS reject_reason
+FROM named""",
+    "q40_roster_lookup": """WITH listed AS (
+  SELECT c_nationkey AS game, c_custkey % 2 AS side, (c_custkey // 2) % 120 AS shirt,
+    CAST(min(c_custkey) AS VARCHAR) AS player_id, min(c_name) AS player_name
+  FROM customer WHERE (c_custkey // 2) % 120 <= 99 GROUP BY 1, 2, 3)
+SELECT o_orderkey, player_id, player_name FROM orders
+LEFT JOIN listed ON game = o_orderkey % 25 AND shirt = o_custkey % 130
+  AND side = CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END""",
+    "q41_sections": f"""WITH {_EV},
+lines AS (
+  SELECT event_id, user_id, event_type,
+    max(CASE WHEN event_type = 'error' THEN event_id END) OVER (
+      PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header,
+    CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS line_no
+  FROM ev)
+SELECT event_id, user_id, 'SECTION' || (header % 5) AS section, line_no FROM lines WHERE event_type <> 'error'""",
+    "q42_one_name": """SELECT p_brand, p_size, p_name FROM (
+  SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1""",
+    "q42_several_names": """SELECT p_brand, p_size, count(DISTINCT p_name) AS n_names FROM part
+GROUP BY 1, 2 HAVING count(DISTINCT p_name) > 1""",
+    "q43_features": f"""WITH {_FEATURES}
+SELECT r.event_id, r.period,
+  CAST(CASE code WHEN '#' THEN 4 WHEN '+' THEN 3 WHEN '!' THEN 2 WHEN '-' THEN 1 WHEN '/' THEN 0.5
+       WHEN '=' THEN 0 END AS DOUBLE) AS pass_quality,
+  CAST(CASE CASE WHEN user_id % 2 = 0 THEN r.event_id % 6 + 1 ELSE user_id % 6 + 1 END
+       WHEN 1 THEN 1 WHEN 6 THEN 2 WHEN 5 THEN 3 WHEN 4 THEN 4 WHEN 3 THEN 5 WHEN 2 THEN 6 END AS INTEGER)
+    AS receiving_rotation,
+  coalesce(s.idx, -1) AS server_encoded, coalesce(p1.idx, -1) AS recv_p1_enc, coalesce(p6.idx, -1) AS recv_p6_enc,
+  coalesce(o2.idx, -1) AS opp_p2_enc, prev_point_won, coalesce(b.idx, -1) AS prev_attacker_enc,
+  t.idx AS target, tc.idx AS player_top_attack_enc
+FROM rows_ r
+LEFT JOIN servers s ON s.period = r.period AND s.label = r.server
+LEFT JOIN befores b ON b.period = r.period AND b.label = r.prev_label
+LEFT JOIN targets t ON t.period = r.period AND t.label = r.attacker
+LEFT JOIN tops ON tops.period = r.period AND tops.attacker = r.attacker
+LEFT JOIN top_codes tc ON tc.period = r.period AND tc.event_type = tops.event_type
+JOIN court c1 ON c1.event_id = r.event_id AND c1.slot = 1
+JOIN court c2 ON c2.event_id = r.event_id AND c2.slot = 2
+JOIN court c6 ON c6.event_id = r.event_id AND c6.slot = 6
+LEFT JOIN players p1 ON p1.period = r.period AND p1.label = c1.recv
+LEFT JOIN players p6 ON p6.period = r.period AND p6.label = c6.recv
+LEFT JOIN players o2 ON o2.period = r.period AND o2.label = c2.opp""",
 }

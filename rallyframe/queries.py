@@ -18,12 +18,21 @@ from rallyframe.models.frequency import fit_frequency_model, frequency_rows
 from rallyframe.operators import evaluation as E
 from rallyframe.operators import groups as G
 from rallyframe.operators import labels as L
-from rallyframe.operators.features import add_gated_lag, add_ungated_lag
-from rallyframe.operators.lookups import attach_role
+from rallyframe.operators.features import FeatureBuilder, add_gated_lag, add_ungated_lag
+from rallyframe.operators.lookups import attach_role, ids_with_several_names, names_by_id
 from rallyframe.operators.ordered import Ordered, previous, recent, row_number
 from rallyframe.operators.profiles import add_profile, fit_profile
 from rallyframe.session import settle
-from rallyframe.sources.scout import decode, segment
+from rallyframe.sources.scout import (
+    FILE,
+    decode,
+    first_by_shirt,
+    game_tags,
+    player,
+    player_map,
+    segment,
+    tag_sections,
+)
 from rallyframe.sources.season import new_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -656,6 +665,141 @@ def q38_one_point(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# --- files, rosters, features ---------------------------------------------------------------
+
+
+def q39_file_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """Game, period, split and reject reason of file names made from orders."""
+    order = F.col("o_orderkey")
+    split = F.when(order % 5 == 0, F.lit("test")).otherwise(F.lit("train"))
+    name = (
+        F.when(order % 7 == 0, F.lit("X-Y.dvw"))
+        .when(order % 11 == 0, F.lit("xx_pre_train_vs_Z.dvw"))
+        .otherwise(
+            F.concat(
+                F.lpad((order % 30).cast("string"), 2, "0"),
+                F.lit("_"),
+                F.col("o_orderstatus"),
+                F.lit("_"),
+                split,
+                F.lit("_vs_"),
+                F.col("o_orderpriority"),
+                F.lit(".dvw"),
+            )
+        )
+    )
+    tags = [column.alias(tag) for tag, column in game_tags(F.col("name")).items()]
+    return _table(spark, sf, "orders").select("o_orderkey", name.alias("name")).select("o_orderkey", *tags)
+
+
+def q40_roster_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as the rosters of 25 games; orders look up a side and a shirt."""
+    customer = F.col("c_custkey")
+    listed = _table(spark, sf, "customer").select(
+        F.col("c_nationkey").cast("string").alias(FILE),
+        F.when(customer % 2 == 0, F.lit("*")).otherwise(F.lit("a")).alias("side"),
+        (F.floor(customer / 2) % 120).cast("int").alias("shirt"),
+        customer.cast("string").alias("player_id"),
+        F.col("c_name").alias("player_name"),
+        customer.alias("line_no"),
+    )
+    rosters = settle(player_map(first_by_shirt(listed, ["player_id", "player_name"])))
+    order = F.col("o_orderkey")
+    touched = _table(spark, sf, "orders").select(
+        "o_orderkey",
+        (order % 25).cast("string").alias(FILE),
+        F.when(order % 3 == 0, F.lit("*")).otherwise(F.lit("a")).alias("side"),
+        (F.col("o_custkey") % 130).cast("int").alias("shirt"),
+    )
+    found = player(F.col("side"), F.col("shirt"))
+    return touched.join(rosters, FILE, "left").select(
+        "o_orderkey", found["player_id"].alias("player_id"), found["player_name"].alias("player_name")
+    )
+
+
+def q41_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors as section headers; every other event gets its section and line number."""
+    header = F.concat(F.lit("[3SECTION"), (F.col("event_id") % 5).cast("string"), F.lit("]"))
+    lines = _events(spark, sf).select(
+        "event_id",
+        "user_id",
+        F.when(F.col("event_type") == "error", header).otherwise(F.col("event_type")).alias("value"),
+    )
+    return tag_sections(_by_user(lines)).df.select("event_id", "user_id", "section", "line_no")
+
+
+def q42_one_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as players: brand = game, size = id, several names per id."""
+    return names_by_id(_table(spark, sf, "part"), ["p_brand"], "p_size", "p_name", "p_partkey")
+
+
+def q42_several_names(spark: SparkSession, sf: str) -> DataFrame:
+    return ids_with_several_names(_table(spark, sf, "part"), ["p_brand"], "p_size", "p_name")
+
+
+def _season_like(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with the columns the feature builder reads: user = game, day = set, place in the game = point."""
+    event, user = F.col("event_id"), F.col("user_id")
+    numbered = _by_user(
+        _events(spark, sf).select("event_id", "user_id", "event_type", "value", "ts", "d")
+    ).scan(point_id=row_number()).df
+    receives = F.when(event % 2 == 0, F.lit("A")).otherwise(F.lit("B"))
+    home = F.when(user % 2 == 0, F.lit("A")).otherwise(F.lit("B"))
+
+    def opposite(team: Column) -> Column:
+        return F.when(team == "A", F.lit("B")).otherwise(F.lit("A"))
+
+    players = {}
+    for slot in range(1, 7):
+        players[f"home_player_id{slot}"] = (-((user + slot) % 20)).cast("string")
+        players[f"visiting_player_id{slot}"] = (-(100 + (event + slot) % 15)).cast("string")
+    code = F.substring(F.lit("#+!-/=?"), (F.floor("value") % 7 + 1).cast("int"), F.lit(1))
+    return numbered.withColumns(
+        {
+            "game_number": user,
+            "set_number": F.dayofmonth("d"),
+            "period": F.when(user % 3 == 0, F.lit("pre")).otherwise(F.lit("conf1")),
+            "receiving_team": receives,
+            "serving_team": opposite(receives),
+            "home_team": home,
+            "visiting_team": opposite(home),
+            "home_setter_position": (event % 6 + 1).cast("int"),
+            "visiting_setter_position": (user % 6 + 1).cast("int"),
+            "receive_eval_code": code,
+            "server_id": (-(event % 40)).cast("string"),
+            "attacker_id": (-(event % 12)).cast("string"),
+            "attack_code": F.col("event_type"),
+            "point_won_by": F.when(F.col("value") >= 50, F.lit("A")).otherwise(F.lit("B")),
+            "score_diff": (event % 9).cast("int"),
+            "no_attack": F.col("event_type") == "error",
+            "prev_point_won": F.lit(None).cast("boolean"),
+            **players,
+        }
+    )
+
+
+def q43_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature builder fitted on the first day, per period, and applied to all rows."""
+    season = _season_like(spark, sf)
+    fitted = FeatureBuilder("A", ["period"], include_attacker_profile=True).fit(
+        season.where(_before(DICTIONARY_UNTIL))
+    )
+    return fitted.transform(season).select(
+        "event_id",
+        "period",
+        "pass_quality",
+        "receiving_rotation",
+        "server_encoded",
+        "recv_p1_enc",
+        "recv_p6_enc",
+        "opp_p2_enc",
+        "prev_point_won",
+        "prev_attacker_enc",
+        "target",
+        "player_top_attack_enc",
+    )
+
+
 def registered() -> dict[str, Query]:
     """Every query by name."""
     return {name: query for name, query in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}

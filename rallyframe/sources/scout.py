@@ -7,6 +7,8 @@ by ``seq`` inside their file.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,12 +129,15 @@ def read_lines(
     return number_lines(placed)
 
 
-def tag_sections(lines: DataFrame, splittable: bool) -> Ordered:
-    """Add the section name and the line number to every line, and drop header and empty lines."""
+def order_lines(lines: DataFrame, splittable: bool) -> Ordered:
+    """Lines of ``read_lines`` in file order; without splittable files a file is a bounded group."""
     if splittable:
-        ordered = Ordered.by_block(lines, [FILE], ["block", "seq"], F.col("block"))
-    else:
-        ordered = Ordered.bounded(lines, [FILE], ["seq"])
+        return Ordered.by_block(lines, [FILE], ["block", "seq"], F.col("block"))
+    return Ordered.bounded(lines, [FILE], ["seq"])
+
+
+def tag_sections(ordered: Ordered) -> Ordered:
+    """Add the section name and the line number to every line, and drop header and empty lines."""
     is_header = F.col("value").startswith(SECTION_MARK)
     name = F.when(is_header, F.regexp_extract("value", r"^\[3([^\]]*)", 1))
     return ordered.scan(section=last_so_far(name), line_no=row_number()).map(
@@ -178,13 +183,7 @@ def roster(tagged: DataFrame) -> DataFrame:
         F.transform(F.slice(f, 4, 5), lambda slot: F.nullif(slot, F.lit(""))).alias("starts"),
         F.coalesce(F.get(f, 12) == "L", F.lit(False)).alias("is_libero"),
     )
-    entry = F.struct("player_id", "player_name", "starts", "is_libero")
-    return (
-        listed.where(F.col("shirt").between(0, 99))
-        .groupBy(FILE, "side", "shirt")
-        .agg(F.min_by(entry, "line_no").alias("e"))
-        .select(FILE, "side", "shirt", "e.*")
-    )
+    return first_by_shirt(listed, ["player_id", "player_name", "starts", "is_libero"])
 
 
 def set_results(tagged: DataFrame) -> DataFrame:
@@ -216,14 +215,25 @@ def code_table(tagged: DataFrame) -> DataFrame:
     )
 
 
-def match_header(tagged: DataFrame) -> DataFrame:
-    """One row per file: the teams and a map from side and shirt (such as ``*7``) to player id and name.
+def first_by_shirt(listed: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per (source_file, side, shirt): the first by line; only shirts from 0 to 99 can be coded."""
+    entry = F.struct(*columns)
+    return (
+        listed.where(F.col("shirt").between(0, 99))
+        .groupBy(FILE, "side", "shirt")
+        .agg(F.min_by(entry, "line_no").alias("e"))
+        .select(FILE, "side", "shirt", "e.*")
+    )
+
+
+def player_map(shirts: DataFrame) -> DataFrame:
+    """(source_file, players): a map from side and shirt (such as ``*7``) to player id and name.
 
-    The map holds at most two sides of 100 shirts. Within a file an id keeps the first name listed for
-    it, so a name found through the map is the same for every touch of that id.
+    A map holds at most two sides of 100 shirts. Within a file an id keeps the first name listed for it,
+    so a name found through the map is the same for every touch of that id.
     """
     entry = F.struct("side", "shirt", "player_id", "player_name")
-    listed = roster(tagged).groupBy(FILE).agg(F.array_sort(F.collect_list(entry)).alias("listed"))
+    listed = shirts.groupBy(FILE).agg(F.array_sort(F.collect_list(entry)).alias("listed"))
     named = F.transform(
         "listed",
         lambda one: F.struct(
@@ -236,8 +246,17 @@ def match_header(tagged: DataFrame) -> DataFrame:
             ).alias("player"),
         ),
     )
-    players = listed.select(FILE, F.map_from_entries(named).alias("players"))
-    return teams(tagged).join(players, FILE, "left")
+    return listed.select(FILE, F.map_from_entries(named).alias("players"))
+
+
+def player(side: Column, shirt: Column) -> Column:
+    """Id and name of the player with a shirt, from the ``players`` map; NULL when it is not listed."""
+    return F.element_at("players", F.concat(side, shirt.cast("string")))
+
+
+def match_header(tagged: DataFrame) -> DataFrame:
+    """One row per file: the teams and the player map."""
+    return teams(tagged).join(player_map(roster(tagged)), FILE, "left")
 
 
 # --- touches --------------------------------------------------------------------------------
@@ -332,22 +351,18 @@ def touches(lines: DataFrame, splittable: bool = True) -> DataFrame:
 
     ``splittable`` = False says that no file was read in more than one split.
     """
-    tagged = tag_sections(lines, splittable)
+    tagged = tag_sections(order_lines(lines, splittable))
     header = match_header(tagged.df)
     coded = tagged.map(
         lambda df: decode(df.where(F.col("section") == "SCOUT")).where(F.col("is_touch") | F.col("is_point"))
     )
     rows = segment(coded).df.join(header, FILE, "left")
 
-    def player(side: str | Column, shirt: Column) -> Column:
-        side = F.lit(side) if isinstance(side, str) else side
-        return F.element_at("players", F.concat(side, shirt.cast("string")))
-
     toucher = player(F.col("side"), F.col("shirt"))
     is_home = F.col("side") == HOME
     team = side_value(is_home, F.col("home_team"), F.col("visiting_team"))
     on_court = {
-        f"{name}_player_id{slot}": player(mark, F.col(f"{name}_p{slot}"))["player_id"]
+        f"{name}_player_id{slot}": player(F.lit(mark), F.col(f"{name}_p{slot}"))["player_id"]
         for name, mark in (("home", HOME), ("visiting", VISITING))
         for slot in COURT
     }

@@ -85,7 +85,7 @@ def test_touch_invariants(spark, folder):
 
 def test_header_sections(spark, folder):
     path = str(folder / "01_pre_train_vs_X.dvw")
-    tagged = scout.tag_sections(scout.read_lines(spark, path), splittable=False).df
+    tagged = scout.tag_sections(scout.order_lines(scout.read_lines(spark, path), splittable=False)).df
     assert scout.roster(tagged).count() == 16
     libero = scout.roster(tagged).where("is_libero").orderBy("side").collect()
     assert [(row.side, row.shirt) for row in libero] == [("*", 18), ("a", 33)]
