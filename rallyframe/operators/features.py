@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.functions import columns as C
-from rallyframe.operators.labels import encode, fit_dictionary, fit_joint_dictionary
+from rallyframe.operators.labels import encode, fit_dictionaries
 from rallyframe.operators.ordered import Ordered, previous
 from rallyframe.operators.profiles import add_profile, fit_profile
 from rallyframe.schema import (
     COURT,
+    GAME_TAGS,
     LABEL_OF_NO_PREVIOUS,
     PASS_QUALITY,
     PROFILE_FEATURE,
@@ -22,6 +23,22 @@ from rallyframe.schema import (
 
 COURT_COLUMNS = [f"{side}_p{slot}" for side in ("recv", "opp") for slot in COURT]
 
+# What models and reports read of a feature row; the rest of a point can be joined back by game and point.
+FEATURE_INPUTS = [
+    *GAME_TAGS.fieldNames(),
+    "set_number",
+    "point_id",
+    "receiving_rotation",
+    "pass_quality",
+    "score_diff",
+    "server_id",
+    *COURT_COLUMNS,
+    "attacker_id",
+    "attack_code",
+    "prev_attacker_id",
+    "prev_point_won",
+]
+
 
 def focus_rows(season: DataFrame, focus_team: str) -> DataFrame:
     """Rows where the focus side receives and attacks."""
@@ -29,19 +46,17 @@ def focus_rows(season: DataFrame, focus_team: str) -> DataFrame:
 
 
 def add_quality_and_sides(df: DataFrame) -> DataFrame:
-    """Pass quality, rotation, and the players on court by role, ids in canonical form."""
+    """Pass quality, rotation, and the players on court by role."""
     receives_home = F.col("receiving_team") == F.col("home_team")
     serves_home = F.col("serving_team") == F.col("home_team")
     setter = C.side_value(receives_home, F.col("home_setter_position"), F.col("visiting_setter_position"))
     court = {}
     for slot in COURT:
         home, visiting = F.col(f"home_player_id{slot}"), F.col(f"visiting_player_id{slot}")
-        court[f"recv_p{slot}"] = C.canonical_id(C.side_value(receives_home, home, visiting))
-        court[f"opp_p{slot}"] = C.canonical_id(C.side_value(serves_home, home, visiting))
+        court[f"recv_p{slot}"] = C.side_value(receives_home, home, visiting)
+        court[f"opp_p{slot}"] = C.side_value(serves_home, home, visiting)
     return df.withColumns(
         {
-            "server_id": C.canonical_id(F.col("server_id")),
-            "attacker_id": C.canonical_id(F.col("attacker_id")),
             "pass_quality": C.lookup(F.col("receive_eval_code"), PASS_QUALITY),
             "receiving_rotation": C.lookup(setter, ROTATION_OF_SETTER_POSITION),
             **court,
@@ -167,25 +182,26 @@ class FeatureBuilder:
     def fit(self, train: DataFrame) -> FeatureModel:
         return self.fit_rows(base_features(train, self.focus_team, self.gated_lag))
 
-    def fit_rows(self, rows: DataFrame, target_rows: DataFrame | None = None) -> FeatureModel:
-        """``rows``: from ``base_features``. ``target_rows``: the training rows where others are fitted on more."""
-        keys = list(self.keys)
-        learn_from = rows if target_rows is None else target_rows
-
-        def dictionary(source: DataFrame, label: Column) -> DataFrame:
-            return fit_dictionary(source.select(*keys, label.alias("label")), "label", keys)
+    def fit_rows(self, rows: DataFrame, target_rows: Column | None = None) -> FeatureModel:
+        """Fit on rows from ``base_features``, all dictionaries in one pass.
 
-        court: Mapping[str, Column] = {name: C.label_text(F.col(name)) for name in COURT_COLUMNS}
+        ``target_rows`` marks the rows to learn the target and the profiles from, where the other
+        dictionaries are fitted on more.
+        """
+        keys = list(self.keys)
+        learn = F.lit(True) if target_rows is None else C.never_null(target_rows)
+        fitted = fit_dictionaries(
+            rows,
+            {
+                "servers": [C.label_text(F.col("server_id"))],
+                "players": [C.label_text(F.col(name)) for name in COURT_COLUMNS],
+                "previous": [F.col("prev_attacker_id")],
+                "targets": [F.when(learn, F.col("attacker_id"))],
+            },
+            "label",
+            keys,
+        )
         profiles = None
         if self.include_attacker_profile:
-            profiles = fit_profile(learn_from, "attacker_id", "attack_code", PROFILE_FEATURE, keys)
-        return FeatureModel(
-            focus_team=self.focus_team,
-            keys=keys,
-            gated_lag=self.gated_lag,
-            servers=dictionary(rows, C.label_text(F.col("server_id"))),
-            players=fit_joint_dictionary(rows, court, "label", keys),
-            previous=dictionary(rows, F.col("prev_attacker_id")),
-            targets=dictionary(learn_from, F.col("attacker_id")),
-            profiles=profiles,
-        )
+            profiles = fit_profile(rows.where(learn), "attacker_id", "attack_code", PROFILE_FEATURE, keys)
+        return FeatureModel(self.focus_team, keys, self.gated_lag, profiles=profiles, **fitted)

@@ -66,6 +66,20 @@ def fit_dictionary(df: DataFrame, label: str, keys: Sequence[str] = (), index: s
     return settle(rank(labels, label, keys, index))
 
 
+def fit_dictionaries(
+    df: DataFrame, columns: Mapping[str, Sequence[Column]], label: str, keys: Sequence[str] = (), index: str = "idx"
+) -> dict[str, DataFrame]:
+    """Several dictionaries in one pass: name -> the columns that share it."""
+    pooled = [
+        F.struct(F.lit(name).alias("__dictionary"), column.alias(label))
+        for name, members in columns.items()
+        for column in members
+    ]
+    labelled = df.select(*keys, F.inline(F.array(*pooled)))
+    fitted = fit_dictionary(labelled, label, [*keys, "__dictionary"], index)
+    return {name: fitted.where(F.col("__dictionary") == name).drop("__dictionary") for name in columns}
+
+
 def pool_labels(df: DataFrame, columns: Mapping[str, Column], label: str, keys: Sequence[str] = ()) -> DataFrame:
     """The labels of several columns in one."""
     return df.select(*keys, F.explode(F.array(*columns.values())).alias(label))

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from rallyframe.models.boosted import BoostedModel, fit_boosted_model
 from rallyframe.operators import evaluation as E
-from rallyframe.operators.features import FeatureBuilder, FeatureModel, base_features, on_court
+from rallyframe.operators.features import (
+    FEATURE_INPUTS,
+    FeatureBuilder,
+    FeatureModel,
+    base_features,
+    on_court,
+)
 from rallyframe.operators.groups import unseen_labels, value_counts
 from rallyframe.operators.labels import class_counts, class_list
 from rallyframe.plans.season import IN_SYSTEM, model_rows, score
@@ -91,15 +97,17 @@ def analyse_match(
     train_sets: Sequence[int] = TRAIN_SETS,
 ) -> MatchAnalysis:
     """``fit_encoders_on``: "all" rows or only "train" rows for every dictionary but the target's."""
-    base = settle(base_features(match, focus_team, gated_lag=False))
-    complete = base.na.drop(subset=NULLABLE_FEATURES)
-    train = complete.where(F.col("set_number").isin(list(train_sets)))
+    base = settle(base_features(match, focus_team, gated_lag=False).select(*FEATURE_INPUTS))
+    in_training = F.col("set_number").isin(list(train_sets))
+    complete = in_training
+    for name in NULLABLE_FEATURES:
+        complete = complete & F.col(name).isNotNull()
     builder = FeatureBuilder(focus_team, [], gated_lag=False, include_attacker_profile=include_attacker_profile)
-    fitted = builder.fit_rows(base if fit_encoders_on == "all" else train, train)
+    fitted = builder.fit_rows(base if fit_encoders_on == "all" else base.where(in_training), complete)
     names = [*MODEL_FEATURES, PROFILE_FEATURE] if include_attacker_profile else list(MODEL_FEATURES)
     rows = settle(model_rows(fitted.encode(base), names))
     classes = class_list(fitted.targets, "label")
-    training = rows.where(F.col("set_number").isin(list(train_sets)))
+    training = rows.where(in_training)
     model = fit_boosted_model(training, names, "target", classes, **settings)
     known = fitted.targets.withColumnRenamed("label", "attacker_id")
     unseen = unseen_labels(base, known, "attacker_id")

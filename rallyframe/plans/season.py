@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rallyframe.functions.columns import percent, player_label
 from rallyframe.operators import evaluation as E
 from rallyframe.operators.features import (
+    FEATURE_INPUTS,
     FeatureBuilder,
     FeatureModel,
     base_features,
@@ -97,7 +98,7 @@ def analyse_season(
     Training and test rows go through the same plan with the period as a column; lags run within a game
     and a game has one split, so splitting later changes nothing. Only the model fits loop over periods.
     """
-    base = settle(base_features(season.where(F.col("period").isin(list(periods))), focus_team))
+    base = settle(base_features(season.where(F.col("period").isin(list(periods))), focus_team).select(*FEATURE_INPUTS))
     train = base.where(F.col("split") == "train")
     builder = FeatureBuilder(focus_team, ["period"], include_attacker_profile=include_attacker_profile)
     fitted = builder.fit_rows(train)

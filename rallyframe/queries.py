@@ -780,7 +780,7 @@ def _season_like(spark: SparkSession, sf: str) -> DataFrame:
 
 def q43_features(spark: SparkSession, sf: str) -> DataFrame:
     """The feature builder fitted on the first day, per period, and applied to all rows."""
-    season = _season_like(spark, sf)
+    season = settle(_season_like(spark, sf))
     fitted = FeatureBuilder("A", ["period"], include_attacker_profile=True).fit(
         season.where(_before(DICTIONARY_UNTIL))
     )

@@ -115,6 +115,13 @@ SERVE_RECEIVE = T.StructType(
     + _fields(["prev_point_won", *SITUATION_FLAGS], T.BooleanType())
 )
 
+# Columns of the older form of the table, without names, outcome and lag.
+BASIC_COLUMNS = [
+    name
+    for name in SERVE_RECEIVE.fieldNames()
+    if not name.endswith("_name") and name not in ("point_won_by", "prev_point_won")
+]
+
 GAME_TAGS = T.StructType(
     [
         T.StructField("game_number", T.IntegerType()),

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rallyframe.functions.columns import canonical_id
 from rallyframe.operators.points import serve_receive
-from rallyframe.schema import SEASON, SERVE_RECEIVE
+from rallyframe.schema import SEASON, SERVE_RECEIVE, player_id_columns
 from rallyframe.sources.scout import (
     FILE,
     Paths,
@@ -157,6 +158,14 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, header=True, nullValue="NA")
 
 
+def canonical_ids(rows: DataFrame) -> DataFrame:
+    """Every player and team id in canonical form, for rows that were not read from match files here."""
+    ids = [name for name in rows.columns if name.endswith("_id") and name != "point_id"]
+    ids += player_id_columns("home") + player_id_columns("visiting")
+    return rows.withColumns({name: canonical_id(F.col(name)) for name in ids})
+
+
 def read_csv(spark: SparkSession, path: str, tagged: bool = False) -> DataFrame:
+    """Rows of ``write_csv``, or of a file with the same columns whose ids were written as numbers."""
     schema = SEASON if tagged else SERVE_RECEIVE
-    return spark.read.schema(schema).csv(path, header=True, nullValue="NA")
+    return canonical_ids(spark.read.schema(schema).csv(path, header=True, nullValue="NA"))

@@ -8,6 +8,7 @@ from rallyframe.operators import features as X
 from rallyframe.operators import labels as L
 from rallyframe.operators.profiles import add_profile, fit_profile, top_codes
 from rallyframe.schema import SEASON
+from rallyframe.sources.season import canonical_ids
 
 
 def season_table(spark, rows):
@@ -37,7 +38,7 @@ def season_table(spark, rows):
         }
         base.update(row)
         full.append(tuple(base.get(name) for name in SEASON.fieldNames()))
-    return spark.createDataFrame(full, SEASON)
+    return canonical_ids(spark.createDataFrame(full, SEASON))
 
 
 def test_pass_quality_and_rotation(spark):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rallyframe.schema import SERVE_RECEIVE
+from rallyframe.schema import BASIC_COLUMNS, SERVE_RECEIVE
 from rallyframe.sources import scout, season
 from rallyframe.streaming import season_stream
 from tests.scoutgen import Match, write_season
@@ -49,6 +49,7 @@ def test_rows_match_the_match_that_was_played(loaded, name):
 def test_columns_are_the_declared_ones(loaded):
     assert loaded.rows.columns[: len(SERVE_RECEIVE)] == SERVE_RECEIVE.fieldNames()
     assert len(SERVE_RECEIVE) == 58
+    assert len(loaded.rows.select(*BASIC_COLUMNS).columns) == 52
 
 
 def test_files_that_cannot_be_used_are_listed(loaded):
@@ -164,6 +165,14 @@ def test_csv_round_trip(spark, loaded, tmp_path):
     )
 
 
+def test_csv_ids_written_as_numbers(spark, tmp_path):
+    names = SERVE_RECEIVE.fieldNames()
+    line = {name: "NA" for name in names} | {"point_id": "4", "attacker_id": "-9.0", "home_player_id1": "-12"}
+    (tmp_path / "m.csv").write_text(",".join(names) + "\n" + ",".join(line[name] for name in names) + "\n")
+    row = season.read_csv(spark, str(tmp_path)).first()
+    assert (row.point_id, row.attacker_id, row.home_player_id1, row.server_id) == (4, "-9", "-12", None)
+
+
 def test_pieces_combine(loaded):
     one = loaded.rows.where("game_number = 1")
     rest = loaded.rows.where("game_number <> 1")
