@@ -20,7 +20,7 @@ from rallyframe.operators.ordered import (
     last_so_far,
     row_number,
 )
-from rallyframe.schema import COURT, SKILLS
+from rallyframe.schema import COURT, SKILLS, shirt_columns
 
 FILE = "source_file"
 
@@ -30,11 +30,12 @@ Paths = str | list[str]
 # --- fixed values of the file format ---------------------------------------------------------
 SECTION_MARK = "[3"
 HOME, VISITING = "*", "a"
+BLANK_CODES = ["", "~", " ", "~~", "~ ", " ~", "  "]
 TOUCH_PATTERN = r"^[*a][0-9]{2}[SREABDF]"
 POINT_PATTERN = r"^[*a]p[0-9]+:[0-9]+"
 FIELD_SET_NUMBER = 8
 FIELD_SETTER_POSITION = {"home": 9, "visiting": 10}
-FIELD_FIRST_SHIRT = {"home": 14, "visiting": 20}
+FIELD_FIRST_SHIRT = 14  # six of the home side, then six of the visiting side
 # --- end of fixed values ---------------------------------------------------------------------
 
 
@@ -50,7 +51,7 @@ def _number(fields: Column, place: int) -> Column:
 def _code_part(code: Column, start: int, length: int) -> Column:
     """Characters of a touch code; blanks and filler characters are NULL."""
     part = F.substring(code, start, length)
-    return F.when(F.translate(part, "~ ", "") != "", part)
+    return F.when(~part.isin(BLANK_CODES), part)
 
 
 # --- files -----------------------------------------------------------------------------------
@@ -264,29 +265,33 @@ def match_header(tagged: DataFrame) -> DataFrame:
 
 def decode(lines: DataFrame, value: str = "value") -> DataFrame:
     """Add the columns one line holds by itself; lines that are neither touch nor point get NULLs."""
-    fields, code = F.split(value, ";"), F.col("code")
+    # Fields and scores are columns of their own so that each line is split once.
+    fields, code, scores = F.col("__fields"), F.col("code"), F.col("__scores")
     is_touch, is_point = F.col("is_touch"), F.col("is_point")
-    scores = F.split(F.regexp_extract(code, r"p([0-9]+:[0-9]+)", 1), ":")
     combination = _code_part(code, 7, 2)
     positions = {
         f"{side}_setter_position": _number(fields, place) for side, place in FIELD_SETTER_POSITION.items()
     }
-    shirts = {
-        f"{side}_p{slot}": _number(fields, first + slot - 1)
-        for side, first in FIELD_FIRST_SHIRT.items()
-        for slot in COURT
-    }
+    # One conversion over the twelve shirt fields: twelve of them would make the compiled method too large.
+    on_court = F.transform(
+        F.slice(fields, FIELD_FIRST_SHIRT + 1, 2 * len(COURT)), lambda shirt: shirt.try_cast("int")
+    )
+    names = shirt_columns("home") + shirt_columns("visiting")
+    shirts = {name: F.get("__on_court", place) for place, name in enumerate(names)}
     return (
-        lines.withColumn("code", F.get(fields, 0))
+        lines.withColumn("__fields", F.split(value, ";"))
+        .withColumn("code", F.get(fields, 0))
         .withColumns({"is_touch": code.rlike(TOUCH_PATTERN), "is_point": code.rlike(POINT_PATTERN)})
+        .withColumn("__on_court", on_court)
+        .withColumn("__scores", F.when(is_point, F.split(F.substring(code, 3, 10), ":")))
         .withColumns(
             {
                 "side": F.when(is_touch | is_point, F.substring(code, 1, 1)),
                 "shirt": F.when(is_touch, F.substring(code, 2, 2).try_cast("int")),
                 "skill": F.when(is_touch, lookup(F.substring(code, 4, 1), SKILLS)),
                 "set_number": _number(fields, FIELD_SET_NUMBER),
-                "home_points": F.when(is_point, F.get(scores, 0).try_cast("int")),
-                "visiting_points": F.when(is_point, F.get(scores, 1).try_cast("int")),
+                "home_points": F.get(scores, 0).try_cast("int"),
+                "visiting_points": F.get(scores, 1).try_cast("int"),
                 **positions,
                 **shirts,
             }
@@ -299,7 +304,7 @@ def decode(lines: DataFrame, value: str = "value") -> DataFrame:
                 "attack_code": F.when(F.col("skill") == "Attack", combination),
             }
         )
-        .drop("code")
+        .drop("code", "__fields", "__scores", "__on_court")
     )
 
 
