@@ -103,9 +103,10 @@ class Ordered:
         df: DataFrame,
         keys: Sequence[str],
         position: str,
-        block_rows: int = BLOCK_ROWS,
-        hot_share: float = HOT_SHARE,
+        block_rows: int | None = None,
+        hot_share: float | None = None,
     ) -> Ordered:
+        block_rows, hot_share = block_rows or BLOCK_ROWS, hot_share or HOT_SHARE
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
         total = sizes.agg(F.sum("__rows").alias("__total")).scalar()
         hot = sizes.where((F.col("__rows") > block_rows) & (F.col("__rows") > total * hot_share)).select(
