@@ -166,7 +166,7 @@ season AS (
     CAST(-(event_id % 40) AS VARCHAR) AS server, CAST(-(event_id % 12) AS VARCHAR) AS attacker
   FROM ev
 ),
-focus AS (SELECT * FROM season WHERE event_id % 2 = 0 AND event_type <> 'error'),
+focus AS (SELECT * FROM season WHERE value >= 20 AND event_type <> 'error'),
 court AS (
   SELECT event_id, slot,
     CASE WHEN user_id % 2 = 0 THEN CAST(-((user_id + slot) % 20) AS VARCHAR)
@@ -177,12 +177,12 @@ court AS (
 ),
 lagged AS (
   SELECT *, lag(attacker) OVER w AS before, coalesce(lag(point_id) OVER w = point_id - 1, FALSE) AS gate,
-    lag(value) OVER w AS before_value
+    lag(event_id) OVER w AS before_event
   FROM focus WINDOW w AS (PARTITION BY user_id, d ORDER BY event_id)
 ),
 rows_ AS (
   SELECT *, CASE WHEN gate THEN before ELSE 'none' END AS prev_label,
-    CASE WHEN gate AND before_value >= 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prev_point_won
+    CASE WHEN gate AND before_event % 4 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prev_point_won
   FROM lagged
 ),
 train AS (SELECT * FROM rows_ WHERE ts < TIMESTAMP '2024-01-02'),
@@ -426,9 +426,9 @@ SELECT o_orderkey,
   CASE WHEN short THEN 'unexpected naming format' WHEN odd THEN 'game number is not an integer' END AS reject_reason
 FROM named""",
     "q40_roster_lookup": """WITH listed AS (
-  SELECT c_nationkey AS game, c_custkey % 2 AS side, (c_custkey // 2) % 120 AS shirt,
+  SELECT c_nationkey AS game, c_custkey % 2 AS side, (c_custkey // 2) % 100 AS shirt,
     CAST(min(c_custkey) AS VARCHAR) AS player_id, min(c_name) AS player_name
-  FROM customer WHERE (c_custkey // 2) % 120 <= 99 GROUP BY 1, 2, 3)
+  FROM customer GROUP BY 1, 2, 3)
 SELECT o_orderkey, player_id, player_name FROM orders
 LEFT JOIN listed ON game = o_orderkey % 25 AND shirt = o_custkey % 130
   AND side = CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END""",

@@ -698,7 +698,7 @@ def q40_roster_lookup(spark: SparkSession, sf: str) -> DataFrame:
     listed = _table(spark, sf, "customer").select(
         F.col("c_nationkey").cast("string").alias(FILE),
         F.when(customer % 2 == 0, F.lit("*")).otherwise(F.lit("a")).alias("side"),
-        (F.floor(customer / 2) % 120).cast("int").alias("shirt"),
+        (F.floor(customer / 2) % 100).cast("int").alias("shirt"),
         customer.cast("string").alias("player_id"),
         F.col("c_name").alias("player_name"),
         customer.alias("line_no"),
@@ -743,7 +743,7 @@ def _season_like(spark: SparkSession, sf: str) -> DataFrame:
     numbered = _by_user(
         _events(spark, sf).select("event_id", "user_id", "event_type", "value", "ts", "d")
     ).scan(point_id=row_number()).df
-    receives = F.when(event % 2 == 0, F.lit("A")).otherwise(F.lit("B"))
+    receives = F.when(F.col("value") >= COURT_VALUE, F.lit("A")).otherwise(F.lit("B"))
     home = F.when(user % 2 == 0, F.lit("A")).otherwise(F.lit("B"))
 
     def opposite(team: Column) -> Column:
@@ -769,7 +769,7 @@ def _season_like(spark: SparkSession, sf: str) -> DataFrame:
             "server_id": (-(event % 40)).cast("string"),
             "attacker_id": (-(event % 12)).cast("string"),
             "attack_code": F.col("event_type"),
-            "point_won_by": F.when(F.col("value") >= 50, F.lit("A")).otherwise(F.lit("B")),
+            "point_won_by": F.when(event % 4 == 0, F.lit("A")).otherwise(F.lit("B")),
             "score_diff": (event % 9).cast("int"),
             "no_attack": F.col("event_type") == "error",
             "prev_point_won": F.lit(None).cast("boolean"),

@@ -171,7 +171,7 @@ class Match:
             self.setter_slot[receive_side] = (self.setter_slot[receive_side] - 2) % 6 + 1
 
     def text(self):
-        head = ["[3DATAVOLLEYSCOUT]", "FILEFORMAT: 2.0", "[3MATCH]", "01/01/2030;06.00.00;;;;;;;;1;;Z;", "[3TEAMS]"]
+        head = ["[3HEADER]", "FILEFORMAT: 2.0", "[3MATCH]", "01/01/2030;06.00.00;;;;;;;;1;;Z;", "[3TEAMS]"]
         for side in "*a":
             head.append(f"{TEAMS[side][0]};{TEAMS[side][1]};{self.won[side]};;;;")
         # a comment that looks like a touch must not count
