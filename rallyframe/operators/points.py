@@ -12,6 +12,7 @@ from rallyframe.operators.groups import Role, first_by_role
 from rallyframe.operators.lookups import names_by_id
 from rallyframe.operators.ordered import Ordered, previous
 from rallyframe.schema import SERVE_RECEIVE, player_id_columns, shirt_columns
+from rallyframe.session import settle
 
 ROLES = ["server", "receiver", "setter", "attacker"]
 
@@ -132,8 +133,8 @@ def serve_receive(
     points = add_situation(points, focus_team_id).where(F.col("serving_team") != F.col("receiving_team"))
     if bounded_games:
         ordered = Ordered.bounded(points, [game], ["point_id"])
-    else:
-        ordered = Ordered.by_position(points, [game], "point_id")
+    else:  # the sizes of the games are counted first: not from the touches again
+        ordered = Ordered.by_position(settle(points), [game], "point_id")
     lagged = ordered.scan(__previous=previous("point_won_by")).df.withColumn(
         "prev_point_won", F.col("__previous.point_won_by") == focus_team_name
     )

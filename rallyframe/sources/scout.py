@@ -21,6 +21,7 @@ from rallyframe.operators.ordered import (
     row_number,
 )
 from rallyframe.schema import COURT, SKILLS, shirt_columns
+from rallyframe.session import settle
 
 FILE = "source_file"
 
@@ -357,6 +358,8 @@ def touches(lines: DataFrame, splittable: bool = True) -> DataFrame:
     ``splittable`` = False says that no file was read in more than one split.
     """
     tagged = tag_sections(order_lines(lines, splittable))
+    if splittable:  # every further step would read the files again, for the rows and for the blocks
+        tagged = tagged.map(settle)
     header = match_header(tagged.df)
     coded = tagged.map(
         lambda df: decode(df.where(F.col("section") == "SCOUT")).where(F.col("is_touch") | F.col("is_point"))
