@@ -360,7 +360,9 @@ def touches(lines: DataFrame, splittable: bool = True) -> DataFrame:
     tagged = tag_sections(order_lines(lines, splittable))
     if splittable:  # every further step would read the files again, for the rows and for the blocks
         tagged = tagged.map(settle)
-    header = match_header(tagged.df)
+        header = settle(match_header(tagged.df))
+    else:
+        header = match_header(tagged.df)
     coded = tagged.map(
         lambda df: decode(df.where(F.col("section") == "SCOUT")).where(F.col("is_touch") | F.col("is_point"))
     )
