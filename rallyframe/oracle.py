@@ -90,10 +90,10 @@ raw AS (
   LEFT JOIN freq f ON f.prev_type = h.prev_type AND f.event_type = c.class
   LEFT JOIN court ON court.event_id = h.event_id AND court.class = c.class
 ),
+masses AS (SELECT event_id, sum(p1 ORDER BY class) AS mass FROM raw GROUP BY event_id),
 masked AS (
-  SELECT *, CASE WHEN sum(p1) OVER (PARTITION BY event_id) > 0
-                 THEN p1 / sum(p1) OVER (PARTITION BY event_id) ELSE p1 END AS p
-  FROM raw
+  SELECT raw.*, CASE WHEN mass > 0 THEN p1 / mass ELSE p1 END AS p
+  FROM raw JOIN masses ON masses.event_id = raw.event_id
 )"""
 
 _SCORED = f"""{_HISTORY},
@@ -104,7 +104,7 @@ scored AS (
   FROM (
     SELECT event_id, any_value(user_id) AS user_id, any_value(d) AS d, any_value(ts) AS ts,
       any_value(value) AS value, any_value(actual) AS actual,
-      0.0 - sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0.0 END) + 0.0 AS pred_entropy,
+      0.0 - sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0.0 END ORDER BY class) + 0.0 AS pred_entropy,
       first(class ORDER BY p DESC, class) AS top_predicted,
       max(CASE WHEN class = actual THEN p END) AS p_actual
     FROM masked GROUP BY event_id)
@@ -365,7 +365,7 @@ patterns AS (SELECT event_id, list(round(p, 9) ORDER BY class) AS pattern FROM m
 SELECT count(*) AS n_rows, count(DISTINCT pattern) AS n_patterns, count(DISTINCT pattern) = 1 AS all_identical
 FROM patterns""",
     "q31_diagnostics": f"""WITH {_HISTORY}
-SELECT event_id, round(sum(p), 6) AS row_sum, CAST(count(CASE WHEN p > 0 THEN 1 END) AS INTEGER) AS n_positive,
+SELECT event_id, round(sum(p ORDER BY class), 6) AS row_sum, CAST(count(CASE WHEN p > 0 THEN 1 END) AS INTEGER) AS n_positive,
   coalesce((SELECT string_agg(class, ',' ORDER BY class) FROM court WHERE court.event_id = masked.event_id), '') AS available
 FROM masked GROUP BY event_id""",
     "q33_decode": f"""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '*' ELSE 'a' END AS side,
