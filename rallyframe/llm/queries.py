@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rallyframe.llm.packing import packed, token_pieces
 from rallyframe.llm.sharding import byte_shards
 
 
@@ -14,6 +16,18 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return pack_documents(_documents(spark, sf))
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """One row for each token piece: what it holds, as a checksum, and its place."""
+    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+    rows = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packed(rows, 4096)
+
+
 def op10_shards(spark: SparkSession, sf: str) -> DataFrame:
     """Documents in 24 shards of near equal bytes, contiguous by doc_id."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
@@ -32,6 +46,7 @@ def op10_shards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_packing": op5_packing,
     "op10_shards": op10_shards,
 }
 
