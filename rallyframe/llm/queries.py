@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 
 from rallyframe.llm.packing import packed, token_pieces
 from rallyframe.llm.sharding import byte_shards
+from rallyframe.llm.substrings import substring_dedup
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    """Words left of each document once 13-word windows of earlier documents are gone."""
+    return substring_dedup(_documents(spark, sf), window=13).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     return pack_documents(_documents(spark, sf))
@@ -46,8 +54,31 @@ def op10_shards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
     "op5_packing": op5_packing,
     "op10_shards": op10_shards,
 }
 
-SQL: dict[str, str] = {}
+#: Words of whole texts, in order.
+_WORDS = r"""
+  texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents)
+"""
+
+SQL: dict[str, str] = {
+    "op1_substrings": f"""
+WITH {_WORDS},
+  starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS p FROM texts),
+  windows AS (SELECT doc_id, p, array_to_string(list_slice(words, p, p + 12), ' ') AS w FROM starts),
+  firsts AS (SELECT w, min(doc_id) AS first_id FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+  gone AS (
+    SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM windows JOIN firsts USING (w) WHERE first_id < doc_id),
+  removed AS (SELECT doc_id, list(p) AS places FROM gone GROUP BY doc_id),
+  kept AS (
+    SELECT doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+      CASE WHEN places IS NULL THEN words
+        ELSE [words[p] FOR p IN range(1, len(words) + 1) IF NOT list_contains(places, p)]
+      END AS left_words
+    FROM texts LEFT JOIN removed USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(left_words, ' ')) AS kept_sha256 FROM kept
+""",
+}
