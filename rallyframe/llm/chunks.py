@@ -41,7 +41,7 @@ ASKED = "bucket int, chunk long, keys binary, rest binary"
 ANSWERED = "chunk long, bucket int, bits binary"
 
 
-def by_bucket(order: np.ndarray, buckets: int, keys: np.ndarray) -> np.ndarray:
+def by_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """The bounds of the buckets in sorted 64-bit keys: equal ranges of the key space."""
     width = (1 << 64) // buckets + 1
     edges = np.array([min(k * width, (1 << 64) - 1) for k in range(buckets)], U64)
@@ -69,7 +69,7 @@ def ungaps(raw: bytes) -> np.ndarray:
 
 def questions(chunk: int, buckets: int, keys: np.ndarray, rest: Callable[[int, int], bytes], first: int = 0) -> dict:
     """Columns of ASKED for sorted keys; `rest(a, b)` gives what else goes with entries a to b."""
-    bounds = by_bucket(keys, buckets, keys)
+    bounds = by_bucket(keys, buckets)
     full = [b for b in range(buckets) if bounds[b + 1] > bounds[b]]
     return {
         "bucket": [first + b for b in full],
@@ -107,7 +107,7 @@ def answers(rows: pa.Table, first: int, buckets: int, keys: np.ndarray) -> np.nd
     found = np.zeros(len(keys), np.bool_)
     if not rows.num_rows:
         return found
-    bounds = by_bucket(keys, buckets, keys)
+    bounds = by_bucket(keys, buckets)
     for bucket, bits in zip(rows.column("bucket").to_pylist(), rows.column("bits").to_pylist()):
         if first <= bucket < first + buckets:
             a, b = bounds[bucket - first], bounds[bucket - first + 1]
@@ -116,72 +116,77 @@ def answers(rows: pa.Table, first: int, buckets: int, keys: np.ndarray) -> np.nd
 
 
 class Sketch:
-    """A count-min sketch with counters 0, 1 and many, kept as the cells that each chunk has hit.
+    """A count-min sketch, kept as the cells that each chunk has hit.
 
-    A cell is a range of a rehash of the key, in each of `depth` rows; a chunk sends its cells with a flag for those
-    hit more than once there. A bucket adds up a cell's counts over all chunks and answers which of them are many.
-    A key's estimate is the least of its cells, so it is never too low: no repeated key is lost.
+    A cell is a range of a rehash of the key, in each of `depth` rows; a chunk sends its cells and their counts. A
+    bucket adds up a cell's counts over all chunks and answers which of `levels` the sum reaches. A key's estimate is
+    the least of its cells, so it is never too low, and it is the same for every chunk that asks.
     """
 
-    def __init__(self, n_keys: int, buckets: int, depth: int = 2, per_key: int = 2):
+    def __init__(self, n_keys: int, buckets: int, levels: tuple[int, ...] = (2,), depth: int = 2, per_key: int = 2):
         self.bits = max(10, int(n_keys * per_key - 1).bit_length()) if n_keys else 10
-        self.buckets, self.depth = buckets, depth
+        self.buckets, self.levels, self.depth = buckets, levels, depth
 
-    def _cells(self, row: int, keys: np.ndarray, counts: np.ndarray):
-        """(sorted cells as the high bits of 64, many or not, the cell of each key)."""
-        cell = T.mixed(keys ^ U64(int(T.SECOND) * (2 * row + 1) % (1 << 64))) >> U64(64 - self.bits)
+    def _cells(self, row: int, keys: np.ndarray):
+        """(sorted cells as the high bits of 64, the cell of each key)."""
+        seed = U64(int(T.SECOND) * (2 * row + 1) % (1 << 64))
+        cell = T.mixed(keys ^ seed) >> U64(64 - self.bits)
         order = np.argsort(cell)
         ordered = cell[order]
         head = np.ones(len(cell), np.bool_)
         head[1:] = ordered[1:] != ordered[:-1]
-        at = np.flatnonzero(head)
-        many = np.add.reduceat(np.minimum(counts, 2)[order], at) >= 2 if len(at) else np.empty(0, np.bool_)
         back = np.empty(len(cell), np.int64)
         back[order] = np.cumsum(head) - 1
-        return ordered[at] << U64(64 - self.bits), many, back
+        return ordered[head] << U64(64 - self.bits), back
 
     def ask(self, chunk: int, keys: np.ndarray, counts: np.ndarray) -> list[dict]:
         """Questions for distinct keys and how often the chunk has each."""
         out = []
         for row in range(self.depth):
-            cells, many, _ = self._cells(row, keys, counts)
+            cells, back = self._cells(row, keys)
+            sums = np.minimum(np.bincount(back, weights=counts, minlength=len(cells)), 255).astype(np.uint8)
             small = cells >> U64(64 - self.bits)
-            bounds = by_bucket(cells, self.buckets, cells)
+            bounds = by_bucket(cells, self.buckets)
             full = [b for b in range(self.buckets) if bounds[b + 1] > bounds[b]]
             out.append(
                 {
                     "bucket": [row * self.buckets + b for b in full],
                     "chunk": [chunk] * len(full),
                     "keys": [gaps(small[bounds[b] : bounds[b + 1]]) for b in full],
-                    "rest": [np.packbits(many[bounds[b] : bounds[b + 1]]).tobytes() for b in full],
+                    "rest": [sums[bounds[b] : bounds[b + 1]].tobytes() for b in full],
                 }
             )
         return out
 
-    @staticmethod
-    def merge(rows: pa.Table) -> pa.Table:
+    def merge(self, rows: pa.Table) -> pa.Table:
         """Adds up one bucket's cells over all chunks."""
         cells = [ungaps(raw) for raw in rows.column("keys").to_pylist()]
-        many = [
-            np.unpackbits(np.frombuffer(raw, np.uint8), count=len(c))
-            for raw, c in zip(rows.column("rest").to_pylist(), cells)
-        ]
-        sizes = [len(c) for c in cells]
+        ends = np.cumsum([len(c) for c in cells])[:-1]
+        counts = np.frombuffer(b"".join(rows.column("rest").to_pylist()), np.uint8)
         every = np.concatenate(cells)
         order = np.argsort(every)
         ordered = every[order]
         head = np.ones(len(every), np.bool_)
         head[1:] = ordered[1:] != ordered[:-1]
-        group = np.cumsum(head) - 1
-        total = np.bincount(group, weights=1 + np.concatenate(many)[order])
-        repeated = np.empty(len(every), np.bool_)
-        repeated[order] = total[group] >= 2
-        return answered(rows, np.split(repeated, np.cumsum(sizes)[:-1]))
-
-    def repeated(self, rows: pa.Table, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Which keys are estimated to occur more than once in the corpus."""
-        found = np.ones(len(keys), np.bool_)
+        group = np.empty(len(every), np.int64)
+        group[order] = np.cumsum(head) - 1
+        total = np.bincount(group, weights=counts)[group]
+        by_level = [np.split(total >= level, ends) for level in self.levels]
+        return answered(rows, [np.concatenate(own) for own in zip(*by_level)])
+
+    def reached(self, rows: pa.Table, keys: np.ndarray) -> list[np.ndarray]:
+        """For each level, which keys are estimated to occur at least so often in the corpus."""
+        found = [np.ones(len(keys), np.bool_) for _ in self.levels]
         for row in range(self.depth):
-            cells, _, back = self._cells(row, keys, counts)
-            found &= answers(rows, row * self.buckets, self.buckets, cells)[back]
+            cells, back = self._cells(row, keys)
+            bounds = by_bucket(cells, self.buckets)
+            reach = np.zeros((len(self.levels), len(cells)), np.bool_)
+            for bucket, bits in zip(rows.column("bucket").to_pylist(), rows.column("bits").to_pylist()):
+                b = bucket - row * self.buckets
+                if 0 <= b < self.buckets:
+                    n = bounds[b + 1] - bounds[b]
+                    own = np.unpackbits(np.frombuffer(bits, np.uint8), count=n * len(self.levels))
+                    reach[:, bounds[b] : bounds[b + 1]] = own.reshape(len(self.levels), n)
+            for level, own in zip(reach, found):
+                own &= level[back]
         return found

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rallyframe.llm.packing import packed, token_pieces
 from rallyframe.llm.sharding import byte_shards
 from rallyframe.llm.substrings import substring_dedup
+from rallyframe.llm.suffixes import suffix_dedup
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,6 +37,13 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return packed(rows, 4096)
 
 
+def op7_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes left of each document once 100-byte strings that start earlier are gone."""
+    return suffix_dedup(_documents(spark, sf), length=100).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op10_shards(spark: SparkSession, sf: str) -> DataFrame:
     """Documents in 24 shards of near equal bytes, contiguous by doc_id."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
@@ -56,6 +64,7 @@ def op10_shards(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op5_packing": op5_packing,
+    "op7_suffixes": op7_suffixes,
     "op10_shards": op10_shards,
 }
 

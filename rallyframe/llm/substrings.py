@@ -107,11 +107,11 @@ def substring_dedup(docs: DataFrame, window: int = 13, carry: Iterable[str] = ()
         return C.asked(*sketch.ask(key[0].as_py(), found.keys, found.counts))
 
     def add(rows: pa.Table) -> pa.Table:
-        return C.Sketch.merge(rows)
+        return sketch.merge(rows)
 
     def ask_exactly(key: tuple[pa.Scalar, ...], rows: pa.Table, said: pa.Table) -> pa.Table:
         found, chunk = Windows(rows, window), key[0].as_py()
-        maybe = sketch.repeated(said, found.keys, found.counts)
+        (maybe,) = sketch.reached(said, found.keys)
         keys, least, second = found.keys[maybe], found.least[maybe].astype("<i8"), found.second(maybe)
         note = {"bucket": [notes + chunk], "chunk": [chunk], "keys": [b""], "rest": [np.packbits(maybe).tobytes()]}
         rest = lambda a, b: C.planes(least[a:b]) + C.planes(second[a:b])
