@@ -27,9 +27,10 @@ def gram_size(length: int) -> int:
 
 
 def anchored_runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first start, end start) of the runs of windows that share their least gram fingerprint.
+    """(anchor, first start, end start) of the runs of windows that share the place of their least gram.
 
-    The anchor depends on the window's bytes alone, so equal windows have equal anchors, wherever they lie.
+    A window's anchor is the fingerprint of its least gram, the leftmost among equals. Both depend on the window's bytes
+    alone, so equal windows have equal anchors in equal places, and two equal windows never share a run.
     """
     gram = gram_size(length)
     n = len(data) - length + 1
@@ -41,19 +42,22 @@ def anchored_runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np
     for k in range(8, gram, 8):
         grams *= T.LANE
         grams += eight[k : k + len(grams)]
-    least = T.mixed(grams)
+    grams = T.mixed(grams)
+    low = np.uint64(0xFFFFFFFF)
+    least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     width, have = length - gram + 1, 1
     while have < width:
         step = min(have, width - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
+    least &= low
     valid = np.zeros(n + 1, np.bool_)
     valid[T.ragged(bounds[:-1], sizes)] = True
     head = valid[:n].copy()
     head[1:] &= ~valid[: n - 1] | (least[1:n] != least[: n - 1])
     first = np.flatnonzero(head)
     tail = valid[:n] & (~valid[1:] | np.append(head[1:], True))
-    return least[first], first, np.flatnonzero(tail) + 1
+    return grams[least[first].astype(np.int64)], first, np.flatnonzero(tail) + 1
 
 
 def previous_factors(place: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
@@ -150,12 +154,9 @@ class Segments:
         self.ids = ids
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct anchors, runs of each, the anchor of each run); a run longer than one gram's reach counts twice."""
+        """(distinct anchors, runs of each, the anchor of each run)."""
         keys, back = np.unique(self.anchor, return_inverse=True)
-        reach = self.length - gram_size(self.length) + 1
-        long = self.end - self.first > reach
-        counts = np.bincount(back, weights=1 + long, minlength=len(keys)).astype(np.int64)
-        return keys, counts, back
+        return keys, np.bincount(back, minlength=len(keys)), back
 
     def take(self, maybe: np.ndarray, hot: np.ndarray) -> None:
         """Keep the runs marked `maybe`; of those marked `hot`, every window becomes a segment of its own."""
@@ -232,11 +233,9 @@ def merge_segments(rows: pa.Table, length: int) -> pa.Table:
     later = (doc[order] > doc[first]) | ((doc[order] == doc[first]) & (low[order] > low[first]))
     late = order[later]
     bits[T.ragged(ends[late], windows[late])] = True
-    # distinct segments of one anchor are compared by suffix order, and so is one that may repeat itself
+    # distinct segments of one anchor are compared by suffix order
     family = np.cumsum(new_key[head]) - 1
-    alone = np.bincount(family)[family] == 1
-    reach = length - gram_size(length) + 1
-    chosen = np.flatnonzero(~alone | (windows[lead] > reach))
+    chosen = np.flatnonzero(np.bincount(family)[family] > 1)
     cut = np.cumsum(size[lead[chosen]])
     edge = 0
     while edge < len(chosen):
