@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rallyframe.llm.neardup import near_duplicates
 from rallyframe.llm.packing import packed, token_pieces
 from rallyframe.llm.sharding import byte_shards
 from rallyframe.llm.substrings import substring_dedup
@@ -44,6 +45,11 @@ def op7_suffixes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles are at least 0.8 alike."""
+    return near_duplicates(_documents(spark, sf), size=4, percent=80)
+
+
 def op10_shards(spark: SparkSession, sf: str) -> DataFrame:
     """Documents in 24 shards of near equal bytes, contiguous by doc_id."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op5_packing": op5_packing,
     "op7_suffixes": op7_suffixes,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_shards": op10_shards,
 }
 
