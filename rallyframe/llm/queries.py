@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rallyframe.llm.decontaminate import benchmark_overlap
 from rallyframe.llm.neardup import near_duplicates
 from rallyframe.llm.packing import packed, token_pieces
 from rallyframe.llm.sharding import byte_shards
@@ -38,6 +39,19 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return packed(rows, 4096)
 
 
+def op6_benchmark(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of each document inside 10-word windows of benchmark items, and which items."""
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    return benchmark_overlap(_documents(spark, sf), items, window=10).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op7_suffixes(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes left of each document once 100-byte strings that start earlier are gone."""
     return suffix_dedup(_documents(spark, sf), length=100).select(
@@ -70,6 +84,7 @@ def op10_shards(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op5_packing": op5_packing,
+    "op6_benchmark": op6_benchmark,
     "op7_suffixes": op7_suffixes,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_shards": op10_shards,
@@ -96,5 +111,33 @@ WITH {_WORDS},
       END AS left_words
     FROM texts LEFT JOIN removed USING (doc_id))
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(left_words, ' ')) AS kept_sha256 FROM kept
+""",
+    "op6_benchmark": r"""
+WITH
+  lowered AS (
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents),
+  texts AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM lowered),
+  asked AS (
+    SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM benchmark),
+  sized AS (SELECT item, words, least(len(words), 10) AS n FROM asked WHERE len(words) > 0),
+  item_starts AS (SELECT item, words, n, unnest(range(1, len(words) - n + 2)) AS p FROM sized),
+  phrases AS (SELECT DISTINCT item, n, array_to_string(list_slice(words, p, p + n - 1), ' ') AS w FROM item_starts),
+  sizes AS (SELECT DISTINCT n FROM phrases),
+  doc_starts AS (
+    SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS p FROM texts, sizes WHERE len(words) >= n),
+  windows AS (SELECT doc_id, n, p, array_to_string(list_slice(words, p, p + n - 1), ' ') AS w FROM doc_starts),
+  found AS (SELECT doc_id, n, p, item FROM windows JOIN phrases USING (n, w)),
+  covered AS (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM found),
+  hits AS (SELECT doc_id, count(*) AS n_hit FROM covered GROUP BY doc_id),
+  names AS (
+    SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items
+    FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)
 """,
 }
