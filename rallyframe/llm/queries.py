@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rallyframe.llm.decontaminate import benchmark_overlap
 from rallyframe.llm.neardup import near_duplicates
 from rallyframe.llm.packing import packed, token_pieces
+from rallyframe.llm.quality import fit_quality, quality_rules
 from rallyframe.llm.sharding import byte_shards
 from rallyframe.llm.substrings import substring_dedup
 from rallyframe.llm.suffixes import suffix_dedup
@@ -27,6 +28,13 @@ def op1_substrings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality counts and verdict for every document."""
+    docs = _documents(spark, sf)
+    model = fit_quality(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    return quality_rules(docs, model, threshold=0.5)
+
+
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     return pack_documents(_documents(spark, sf))
@@ -83,6 +91,7 @@ def op10_shards(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
+    "op3_quality": op3_quality,
     "op5_packing": op5_packing,
     "op6_benchmark": op6_benchmark,
     "op7_suffixes": op7_suffixes,
