@@ -15,6 +15,7 @@ from rallyframe.llm.quality import fit_quality, quality_rules
 from rallyframe.llm.sharding import byte_shards
 from rallyframe.llm.substrings import substring_dedup
 from rallyframe.llm.suffixes import suffix_dedup
+from rallyframe.llm.toxicity import fit_toxicity, toxicity
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,6 +68,21 @@ def op7_suffixes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score of every document; a third of the ids is held out from the labels learned."""
+    docs = _documents(spark, sf)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet"), where=~held_out)
+    return toxicity(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "lang_threshold",
+        F.col("toxic").alias("toxic_by_language"),
+    )
+
+
 def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles are at least 0.8 alike."""
     return near_duplicates(_documents(spark, sf), size=4, percent=80)
@@ -95,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_benchmark": op6_benchmark,
     "op7_suffixes": op7_suffixes,
+    "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_shards": op10_shards,
 }

@@ -13,10 +13,12 @@ from rallyframe.llm import chunks as C
 from rallyframe.llm import textbytes as T
 from rallyframe.llm.inputs import documents, text_bytes, unpacked
 
-#: Anchors of a bucket, about; anchors with so many segments are asked about window by window.
-BUCKET_KEYS, HOT_ANCHOR = 1 << 17, 1 << 14
+#: Anchors of a bucket of the sketch and of a bucket of segments, about.
+SKETCH_KEYS, BUCKET_KEYS = 1 << 18, 1 << 15
+#: Anchors with so many segments are asked about window by window.
+HOT_ANCHOR = 1 << 14
 #: Bytes of segments that one suffix order covers, unless one anchor alone has more.
-ORDER_BYTES = 1 << 20
+ORDER_BYTES = 1 << 18
 RESULTS = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"]
 NO_ID = np.iinfo(np.int64).min
 
@@ -279,8 +281,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, carry: Iterable[str] = ())
     _, total = text_bytes(source)
     n_keys = 2 * total // (length - gram_size(length) + 2)
     buckets = max(1, -(-n_keys // BUCKET_KEYS))
-    sketch = C.Sketch(n_keys, buckets, levels=(2, HOT_ANCHOR))
-    exact = sketch.depth * buckets
+    sketch = C.Sketch(n_keys, max(1, -(-n_keys // SKETCH_KEYS)), levels=(2, HOT_ANCHOR))
+    exact = sketch.depth * sketch.buckets
     notes = exact + buckets
     placed = C.dealt(source, C.n_chunks(total))
     by_chunk = placed.groupBy("chunk")
