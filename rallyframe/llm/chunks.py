@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.llm import textbytes as T
@@ -32,8 +32,11 @@ def dealt(source: DataFrame, chunks: int) -> DataFrame:
 
     Id and text decide, so rows that share an id are spread as long as their texts differ.
     """
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
-    return source.select(chunk, *source.columns).repartition("chunk")
+    return source.select(chunk_of(chunks, "doc_id", "text"), *source.columns).repartition("chunk")
+
+
+def chunk_of(chunks: int, *keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(chunks)).alias("chunk")
 
 
 #: A question: bucket, chunk, and columns of bytes; an answer: chunk, bucket and bits.

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rallyframe.llm.crossentropy import cross_entropy_difference
 from rallyframe.llm.decontaminate import benchmark_overlap
 from rallyframe.llm.neardup import near_duplicates
 from rallyframe.llm.packing import packed, token_pieces
@@ -36,6 +37,12 @@ def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(docs, model, threshold=0.5)
 
 
+def op4_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """How much closer each document is to those labelled good than to all documents."""
+    good = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1 AND toxic = 0").select("doc_id")
+    return cross_entropy_difference(_documents(spark, sf), good, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     return pack_documents(_documents(spark, sf))
@@ -108,6 +115,7 @@ def op10_shards(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op3_quality": op3_quality,
+    "op4_cross_entropy": op4_cross_entropy,
     "op5_packing": op5_packing,
     "op6_benchmark": op6_benchmark,
     "op7_suffixes": op7_suffixes,
