@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.llm.crossentropy import cross_entropy_difference
 from rallyframe.llm.decontaminate import benchmark_overlap
+from rallyframe.llm.licences import TEMPLATES, licence_scan
 from rallyframe.llm.neardup import near_duplicates
 from rallyframe.llm.packing import packed, token_pieces
 from rallyframe.llm.quality import fit_quality, quality_rules
@@ -30,6 +31,13 @@ def op1_substrings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_licences(spark: SparkSession, sf: str) -> DataFrame:
+    """Licence notices in every document: how many, and the most similar template."""
+    return licence_scan(_documents(spark, sf), threshold=0.8).select(
+        "doc_id", "n_segments", F.size("licences").cast("long").alias("n_matches"), "best_licence", "best_dice"
+    )
+
+
 def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Quality counts and verdict for every document."""
     docs = _documents(spark, sf)
@@ -114,6 +122,7 @@ def op10_shards(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
+    "op2_licences": op2_licences,
     "op3_quality": op3_quality,
     "op4_cross_entropy": op4_cross_entropy,
     "op5_packing": op5_packing,
@@ -129,6 +138,13 @@ _WORDS = r"""
   texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents)
 """
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_QUOTED = ", ".join(
+    "('" + name.replace("'", "''") + "', '" + text.replace("'", "''") + "')" for name, text in TEMPLATES.items()
+)
+_BIGRAMS = "list_distinct([words[p] || ' ' || words[p + 1] FOR p IN range(1, len(words))])"
+
 SQL: dict[str, str] = {
     "op1_substrings": f"""
 WITH {_WORDS},
@@ -173,5 +189,38 @@ WITH
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)
+""",
+    "op2_licences": f"""
+WITH
+  templates(licence, text) AS (VALUES {_QUOTED}),
+  template_words AS (SELECT licence, regexp_extract_all({_LOWER.format("text")}, {_ALNUM}) AS words FROM templates),
+  template_grams AS (SELECT licence, {_BIGRAMS} AS grams FROM template_words),
+  lines AS (
+    SELECT doc_id, generate_subscripts(parts, 1) AS p, unnest(parts) AS line
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+  full_lines AS (
+    SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS block
+    FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+  blocks AS (
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS line FROM full_lines
+    GROUP BY doc_id, block HAVING count(*) > 1),
+  segments AS (
+    SELECT doc_id, row_number() OVER () AS segment, line
+    FROM (SELECT doc_id, line FROM full_lines UNION ALL SELECT doc_id, line FROM blocks)),
+  segment_words AS (SELECT doc_id, segment, regexp_extract_all({_LOWER.format("line")}, {_ALNUM}) AS words FROM segments),
+  segment_grams AS (SELECT doc_id, segment, {_BIGRAMS} AS grams FROM segment_words),
+  vocabulary AS (SELECT DISTINCT licence, len(grams) AS m, unnest(grams) AS gram FROM template_grams),
+  pairs AS (SELECT doc_id, segment, len(grams) AS n, unnest(grams) AS gram FROM segment_grams),
+  shared AS (
+    SELECT doc_id, segment, licence, 2.0::DOUBLE * count(*) / (n + m) AS dice
+    FROM pairs JOIN vocabulary USING (gram) GROUP BY doc_id, segment, licence, n, m),
+  matches AS (SELECT * FROM shared WHERE dice >= 0.8),
+  best AS (
+    SELECT doc_id, count(*) AS n_matches, max(dice) AS best_dice,
+      min(licence) FILTER (WHERE dice = top) AS best_licence
+    FROM (SELECT *, max(dice) OVER (PARTITION BY doc_id) AS top FROM matches) GROUP BY doc_id),
+  counted AS (SELECT doc_id, count(*) AS n_segments FROM segments GROUP BY doc_id)
+SELECT doc_id, coalesce(n_segments, 0) AS n_segments, coalesce(n_matches, 0) AS n_matches, best_licence, best_dice
+FROM documents LEFT JOIN counted USING (doc_id) LEFT JOIN best USING (doc_id)
 """,
 }
