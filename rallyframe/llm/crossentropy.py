@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.llm import chunks as C
 from rallyframe.llm import textbytes as T
-from rallyframe.llm.inputs import documents, text_bytes, unpacked
+from rallyframe.llm.inputs import documents, result_schema, text_bytes, unpacked
 from rallyframe.llm.wordbpe import encoded, loaded
 
 #: Weight of the single-token model in tokens seen after a context, and what every token of the vocabulary has extra.
@@ -156,11 +156,11 @@ def cross_entropy_difference(
 
     asked = placed.groupBy("chunk").cogroup(targets.groupBy("chunk")).applyInArrow(count, C.ASKED)
     told = asked.groupBy("bucket").applyInArrow(add, C.ANSWERED)
-    carried = f", carried {source.schema['carried'].dataType.simpleString()}" if carry else ""
+    kept = ["carried"] if "carried" in source.columns else []
     rows = (
         placed.groupBy("chunk")
         .cogroup(told.groupBy("chunk"))
-        .applyInArrow(score, f"doc_id long, n_tokens long, target_loss double, background_loss double{carried}")
+        .applyInArrow(score, result_schema(source, "n_tokens long, target_loss double, background_loss double"))
     )
     scored = rows.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
-    return unpacked(scored.select(*RESULTS, *(["carried"] if carry else [])), carry)
+    return unpacked(scored.select(*RESULTS, *kept))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rallyframe.llm import textbytes as T
 from rallyframe.llm.fmindex import FMIndex
@@ -168,8 +169,8 @@ def _pass(source: DataFrame, phrases: Phrases) -> DataFrame:
                     names=[*kept.schema.names, "n_words", "spans", "items"],
                 )
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields)
-    return source.mapInArrow(find, f"{schema}, n_words long, spans {_SPAN}, items array<string>")
+    results = StructType.fromDDL(f"n_words long, spans {_SPAN}, items array<string>")
+    return source.mapInArrow(find, StructType([*source.schema.fields, *results.fields]))
 
 
 def _cleaned(rows: DataFrame) -> DataFrame:
@@ -255,7 +256,5 @@ def benchmark_overlap(
         found = _cleaned(found)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     extra = ["cleaned"] if clean else []
-    kept = ["carried"] if carry else []
-    return unpacked(
-        found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans", *extra, *kept), carry
-    )
+    kept = ["carried"] if "carried" in source.columns else []
+    return unpacked(found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans", *extra, *kept))

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def column(name: str) -> Column:
@@ -16,23 +17,27 @@ def column(name: str) -> Column:
 def documents(docs: DataFrame, carry: Iterable[str] = (), results: Iterable[str] = ()) -> DataFrame:
     """`doc_id`, `text` as bytes, and the carried columns as one struct `carried`.
 
-    Other columns are left out, so their names cannot clash; a carried name that equals a result's is an error.
+    Other columns are left out, so their names cannot clash; a carried column with the name of a result is left out too.
     """
-    carry = list(carry)
     taken = {name.lower() for name in results}
-    if clash := [name for name in carry if name.lower() in taken]:
-        raise ValueError(f"carried columns have names of results: {clash}")
+    carry = [name for name in carry if name.lower() not in taken]
     packed = [F.struct(*[column(name) for name in carry]).alias("carried")] if carry else []
     return docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("text"), *packed)
 
 
-def unpacked(rows: DataFrame, carry: Iterable[str]) -> DataFrame:
-    """The struct `carried` as columns again, after the results."""
-    carry = list(carry)
-    if not carry:
+def unpacked(rows: DataFrame) -> DataFrame:
+    """The struct `carried`, if there is one, as columns again, after the results."""
+    if "carried" not in rows.columns:
         return rows
     rest = [column(name) for name in rows.columns if name != "carried"]
-    return rows.select(*rest, *[F.col("carried").getField(name).alias(name) for name in carry])
+    names = rows.schema["carried"].dataType.names
+    return rows.select(*rest, *[F.col("carried").getField(name).alias(name) for name in names])
+
+
+def result_schema(source: DataFrame, results: str) -> StructType:
+    """The type of rows that have the id, `results` and, if `source` carries columns, those."""
+    schema = StructType([source.schema["doc_id"], *StructType.fromDDL(results).fields])
+    return schema.add(source.schema["carried"]) if "carried" in source.columns else schema
 
 
 def text_bytes(docs: DataFrame) -> tuple[int, int]:

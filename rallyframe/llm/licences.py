@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.llm import textbytes as T
 from rallyframe.llm.decontaminate import words_of
-from rallyframe.llm.inputs import documents, unpacked
+from rallyframe.llm.inputs import documents, result_schema, unpacked
 
 #: Wording of public licences and of the notices that name them.
 TEMPLATES: dict[str, str] = {
@@ -183,11 +183,10 @@ def licence_scan(
                     names=["doc_id", "n_segments", "licences", *kept.schema.names[2:]],
                 )
 
-    name = source.schema["doc_id"].dataType.simpleString()
-    carried = f", carried {source.schema['carried'].dataType.simpleString()}" if carry else ""
+    kept = ["carried"] if "carried" in source.columns else []
     found = "licences array<struct<licence: string, dice: double, start: long, end: long>>"
-    rows = source.mapInArrow(scan, f"doc_id {name}, n_segments long, {found}{carried}")
+    rows = source.mapInArrow(scan, result_schema(source, f"n_segments long, {found}"))
     ranked = F.array_sort(F.transform("licences", lambda m: F.struct((-m["dice"]).alias("d"), m["licence"].alias("licence"))))
     best = F.try_element_at(ranked, F.lit(1))
     judged = rows.withColumn("best_licence", best["licence"]).withColumn("best_dice", -best["d"])
-    return unpacked(judged.select(*RESULTS, *(["carried"] if carry else [])), carry)
+    return unpacked(judged.select(*RESULTS, *kept))

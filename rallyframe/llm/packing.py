@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.llm.inputs import documents
+from rallyframe.llm.inputs import documents, result_schema
 from rallyframe.llm.wordbpe import encoded
 from rallyframe.session import settle
 
@@ -26,7 +26,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
     Null and empty texts are `end_id` alone. Repeated rows are documents of their own. Other columns are left out.
     """
     source = documents(docs)
-    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids binary"
+    schema = result_schema(source, "piece int, start long, length long, ids binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.llm import textbytes as T
-from rallyframe.llm.inputs import documents, unpacked
+from rallyframe.llm.inputs import documents, result_schema, unpacked
 from rallyframe.llm.samples import labelled_sample, platt, sigmoid
 
 #: Buckets of each family of n-grams: words, pairs of words, three characters, five characters.
@@ -199,10 +199,9 @@ def quality_rules(docs: DataFrame, model: QualityModel, threshold: float = 0.5,
                     names=["doc_id", *RESULTS[1:6], "quality", *kept.schema.names[2:]],
                 )
 
-    name = source.schema["doc_id"].dataType.simpleString()
-    carried = f", carried {source.schema['carried'].dataType.simpleString()}" if carry else ""
+    kept = ["carried"] if "carried" in source.columns else []
     counts = ", ".join(f"{x} long" for x in RESULTS[1:6])
-    rows = source.mapInArrow(score, f"doc_id {name}, {counts}, quality double{carried}")
+    rows = source.mapInArrow(score, result_schema(source, f"{counts}, quality double"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     judged = rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= threshold))
-    return unpacked(judged.select(*RESULTS, *(["carried"] if carry else [])), carry)
+    return unpacked(judged.select(*RESULTS, *kept))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.llm import chunks as C
 from rallyframe.llm import textbytes as T
-from rallyframe.llm.inputs import documents, text_bytes, unpacked
+from rallyframe.llm.inputs import documents, result_schema, text_bytes, unpacked
 
 #: Bytes of a word with its space, for sizing; keys that a bucket holds, about.
 WORD_BYTES, BUCKET_KEYS = 6, 1 << 20
@@ -152,8 +152,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, carry: Iterable[str] = ()
     likely = by_chunk.applyInArrow(ask, C.ASKED).groupBy("bucket").applyInArrow(add, C.ANSWERED)
     wanted = by_chunk.cogroup(likely.groupBy("chunk")).applyInArrow(ask_exactly, C.ASKED)
     told = wanted.groupBy("bucket").applyInArrow(group, C.ANSWERED)
-    carried = f", carried {source.schema['carried'].dataType.simpleString()}" if carry else ""
     rows = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(
-        keep, f"doc_id long, n_words long, n_removed long, kept_text binary{carried}"
+        keep, result_schema(source, "n_words long, n_removed long, kept_text binary")
     )
-    return unpacked(rows.withColumn("kept_text", F.col("kept_text").cast("string")), carry)
+    return unpacked(rows.withColumn("kept_text", F.col("kept_text").cast("string")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.llm import chunks as C
 from rallyframe.llm import textbytes as T
-from rallyframe.llm.inputs import documents, text_bytes, unpacked
+from rallyframe.llm.inputs import documents, result_schema, text_bytes, unpacked
 
 #: Anchors of a bucket of the sketch and of a bucket of segments, about.
 SKETCH_KEYS, BUCKET_KEYS = 1 << 18, 1 << 15
@@ -354,10 +354,11 @@ def suffix_dedup(docs: DataFrame, length: int = 100, carry: Iterable[str] = ())
     likely = by_chunk.applyInArrow(ask, C.ASKED).groupBy("bucket").applyInArrow(add, C.ANSWERED)
     wanted = by_chunk.cogroup(likely.groupBy("chunk")).applyInArrow(ask_exactly, C.ASKED)
     told = wanted.groupBy("bucket").applyInArrow(group, C.ANSWERED)
-    carried = f", carried {source.schema['carried'].dataType.simpleString()}" if carry else ""
     rows = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(
         keep,
-        "doc_id long, n_bytes long, n_removed long, n_spans long, "
-        f"spans array<struct<start: long, end: long>>, kept binary{carried}",
+        result_schema(
+            source,
+            "n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary",
+        ),
     )
-    return unpacked(rows, carry)
+    return unpacked(rows)
