@@ -63,8 +63,8 @@ def load_and_combine_games(
     focus_team_name: str,
     force_rerun: bool = False,
 ) -> DataFrame:
-    """Season table of a folder; games already stored are not extracted again unless forced."""
-    return update_season(spark, folder, stored, focus_team_id, focus_team_name, force_rerun)
+    """Season table of a folder; files already stored are not extracted again unless forced."""
+    return update_season(spark, folder, stored, focus_team_id, focus_team_name, force_rerun).rows
 
 
 def build_features(

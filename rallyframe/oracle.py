@@ -423,7 +423,7 @@ SELECT o_orderkey,
   CASE WHEN NOT short AND NOT odd THEN CAST(o_orderkey % 30 AS INTEGER) END AS game_number,
   CASE WHEN odd THEN 'pre' WHEN NOT short THEN o_orderstatus END AS period,
   CASE WHEN odd THEN 'train' WHEN NOT short THEN CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END END AS split,
-  CASE WHEN short THEN 'unexpected naming format' WHEN odd THEN 'game number is not an integer' END AS reject_reason
+  CASE WHEN short THEN 'name has fewer than three parts' WHEN odd THEN 'game number is not an integer' END AS reject_reason
 FROM named""",
     "q40_roster_lookup": """WITH listed AS (
   SELECT c_nationkey AS game, c_custkey % 2 AS side, (c_custkey // 2) % 100 AS shirt,

@@ -575,7 +575,7 @@ def _coded_lines(spark: SparkSession, sf: str) -> DataFrame:
     target = F.when(
         kind == "signup", F.substring(F.lit("FBCPS"), (event % 5 + 1).cast("int"), F.lit(1))
     ).otherwise(F.lit("~"))
-    touch = F.concat(side, shirt, letter, F.lit("M"), evaluation, combination, target, F.lit("79D"))
+    touch = F.concat(side, shirt, letter, F.lit("M"), evaluation, combination, target, F.lit("15A"))
     point = F.concat(
         side,
         F.lit("p"),
@@ -597,7 +597,7 @@ def _coded_lines(spark: SparkSession, sf: str) -> DataFrame:
         (event % 6 + 1).cast("string"),
         (F.col("user_id") % 6 + 1).cast("string"),
         F.lit("1"),
-        F.lit("432"),
+        F.lit("905"),
         blank,
         *court,
         blank,

@@ -130,4 +130,15 @@ GAME_TAGS = T.StructType(
     ]
 )
 
-SEASON = T.StructType(SERVE_RECEIVE.fields + GAME_TAGS.fields)
+# A season row also names the file it comes from, which is what identifies a game.
+SEASON = T.StructType([*SERVE_RECEIVE.fields, *GAME_TAGS.fields, T.StructField("source_file", T.StringType())])
+
+# One row for each file that was read: the load that has its rows, and why it has none.
+LOADED_FILES = T.StructType(
+    [
+        T.StructField("source_file", T.StringType()),
+        T.StructField("file_name", T.StringType()),
+        T.StructField("load", T.LongType()),
+        T.StructField("reason", T.StringType()),
+    ]
+)

@@ -96,7 +96,7 @@ def game_tags(name: Column) -> dict[str, Column]:
         "game_number": game,
         "period": F.get(parts, 1),
         "split": F.get(parts, 2),
-        "reject_reason": F.when(F.size(parts) < 3, F.lit("unexpected naming format")).when(
+        "reject_reason": F.when(F.size(parts) < 3, F.lit("name has fewer than three parts")).when(
             game.isNull(), F.lit("game number is not an integer")
         ),
     }

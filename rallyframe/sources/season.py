@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rallyframe.functions.columns import canonical_id
 from rallyframe.operators.points import serve_receive
-from rallyframe.schema import SEASON, SERVE_RECEIVE, player_id_columns
+from rallyframe.schema import LOADED_FILES, SEASON, SERVE_RECEIVE, player_id_columns
 from rallyframe.sources.scout import (
     FILE,
     Paths,
@@ -20,8 +25,12 @@ from rallyframe.sources.scout import (
     read_lines,
     touches,
 )
+from rallyframe.session import settle
 
-PARTITIONS = ["period", "game_number"]
+# Files of one load: their paths pass through the driver, as the file listing itself does.
+FILES_PER_LOAD = 10_000
+
+NO_POINT = "no serve-receive point"
 
 
 @dataclass(frozen=True)
@@ -52,7 +61,7 @@ def extract(lines: DataFrame, splittable: bool, focus_team_id: str, focus_team_n
 
 
 def tag_games(rows: DataFrame) -> DataFrame:
-    """Season rows: game number, period and split from the file name in place of the file."""
+    """Season rows: game number, period and split from the file name."""
     tags = game_tags(file_name(F.col(FILE)))
     del tags["reject_reason"]
     return rows.withColumns(tags).select(*SEASON.fieldNames())
@@ -87,7 +96,7 @@ def load_season(spark: SparkSession, paths: Paths, focus_team_id: str, focus_tea
     lines = read_lines(spark, paths, named_games_only=True)
     rows = extract(lines, has_splittable_files(spark, paths), focus_team_id, focus_team_name)
     empty = accepted.join(rows.select(FILE).distinct(), FILE, "left_anti").select(
-        FILE, "file_name", F.lit("no serve-receive point").alias("reason")
+        FILE, "file_name", F.lit(NO_POINT).alias("reason")
     )
     misnamed = files.where(F.col("reject_reason").isNotNull()).select(
         FILE, "file_name", F.col("reject_reason").alias("reason")
@@ -103,54 +112,80 @@ def combine(*pieces: DataFrame) -> DataFrame:
     return season
 
 
-def new_rows(candidates: DataFrame, stored: DataFrame, key: str = "game_number") -> DataFrame:
+def new_rows(candidates: DataFrame, stored: DataFrame, key: str = FILE) -> DataFrame:
     """Rows whose key is not stored yet."""
     return candidates.join(stored.select(key).distinct(), key, "left_anti")
 
 
-def write_season(season: DataFrame, path: str) -> None:
-    """Store the games of a season table, replacing those that are stored already and no others.
+def _parts(path: str) -> tuple[str, str]:
+    return f"{path}/rows", f"{path}/files"
+
 
-    Running it twice stores the same rows. The rebalance gathers each game into few files and still
-    splits one that is too large for a task.
+def write_season(rows: DataFrame, files: DataFrame, path: str) -> None:
+    """Store one load: the season ``rows`` of some ``files`` (source_file, file_name, reason), null for files with rows.
+
+    Rows are appended first and the files after them, each with the number of the load. Readers take a file's rows from
+    its last listed load, so a load replaces the files it holds and no others, one that broke off counts for nothing,
+    and running it twice gives the same table. Each period's rows are gathered into few files, and a period that is
+    too large for a task is split.
     """
-    (
-        season.hint("rebalance", *PARTITIONS)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS)
-        .parquet(path)
-    )
+    stored, listed = _parts(path)
+    load = F.lit(time.time_ns())
+    rows.select(*SEASON.fieldNames(), load.alias("load")).hint("rebalance", "period").write.mode("append").partitionBy(
+        "period"
+    ).parquet(stored)
+    files.select(FILE, "file_name", load.alias("load"), "reason").write.mode("append").parquet(listed)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, file_name, load, reason): the last load of every file of a stored season; no rows if there is none."""
+    try:
+        listed = spark.read.schema(LOADED_FILES).parquet(_parts(path)[1])
+    except AnalysisException:
+        return spark.createDataFrame([], LOADED_FILES)
+    last = F.max_by(F.struct("file_name", "load", "reason"), "load").alias("last")
+    return listed.groupBy(FILE).agg(last).select(FILE, "last.*")
 
 
 def read_season(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table; a filter on period or game reads only those folders."""
-    return spark.read.schema(SEASON).parquet(path).select(*SEASON.fieldNames())
+    """The stored table; a filter on the period reads only its folder."""
+    schema = StructType([*SEASON.fields, StructField("load", LongType())])
+    rows = spark.read.schema(schema).parquet(_parts(path)[0])
+    current = read_files(spark, path).where(F.col("reason").isNull()).select(FILE, "load")
+    return rows.join(current, [FILE, "load"], "left_semi").select(*SEASON.fieldNames())
 
 
-def season_exists(spark: SparkSession, path: str) -> bool:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+def _batches(paths: Iterator[str]) -> Iterator[list[str]]:
+    while batch := list(islice(paths, FILES_PER_LOAD)):
+        yield batch
 
 
 def update_season(
     spark: SparkSession, folder: str, path: str, focus_team_id: str, focus_team_name: str, force: bool = False
-) -> DataFrame:
-    """Extract the games that are not stored yet (all of them with ``force``) and return the stored table.
+) -> SeasonLoad:
+    """Extract the files that are not stored yet (all of them with ``force``); the stored table and its rejects.
 
-    Which files are new is decided from the file listing, so stored games are not read again.
+    A file is known by its path: several files of one game are all kept, and files without a usable point are
+    remembered and not read again. Which files are new is decided from the listing; they are read in loads of at most
+    FILES_PER_LOAD.
     """
-    if force or not season_exists(spark, path):
-        loaded = load_season(spark, folder, focus_team_id, focus_team_name)
-        write_season(loaded.rows, path)
-        return read_season(spark, path)
-    stored = read_season(spark, path)
     files = tagged_files(spark, folder).where(F.col("reject_reason").isNull())
-    fresh = [row[0] for row in new_rows(files, stored).select(FILE).collect()]
-    if fresh:
-        loaded = load_season(spark, fresh, focus_team_id, focus_team_name)
-        write_season(loaded.rows, path)
-    return read_season(spark, path)
+    if files.isEmpty():
+        raise ValueError(f"no match files with a usable name in {folder}")
+    fresh = files if force else new_rows(files, read_files(spark, path), FILE)
+    paths = (row[0] for row in settle(fresh.select(FILE)).toLocalIterator())
+    for batch in _batches(paths):
+        loaded = load_season(spark, batch, focus_team_id, focus_team_name)
+        rows = settle(loaded.rows)
+        read = tagged_files(spark, batch).join(rows.select(FILE).distinct().withColumn("full", F.lit(True)), FILE, "left")
+        reason = F.when(F.col("full").isNull(), F.lit(NO_POINT)).alias("reason")
+        write_season(rows, read.select(FILE, "file_name", reason), path)
+    misnamed = tagged_files(spark, folder).where(F.col("reject_reason").isNotNull())
+    empty = read_files(spark, path).where(F.col("reason").isNotNull())
+    rejects = misnamed.select(FILE, "file_name", F.col("reject_reason").alias("reason")).unionByName(
+        empty.select(FILE, "file_name", "reason")
+    )
+    return SeasonLoad(read_season(spark, path), rejects)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

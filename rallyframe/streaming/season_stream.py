@@ -1,7 +1,7 @@
 """A season table that follows a folder: each match file is extracted once.
 
 The file source keeps which files it has read in its checkpoint, so files need not be compared with the
-stored table, and a batch that is repeated after a failure replaces its own games.
+stored table, and a batch that is repeated after a failure replaces its own files.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rallyframe.sources.scout import FILE, has_usable_name, number_lines, place_lines
-from rallyframe.sources.season import extract, tag_games, write_season
+from rallyframe.session import settle
+from rallyframe.sources.scout import FILE, file_name, has_usable_name, number_lines, place_lines
+from rallyframe.sources.season import NO_POINT, extract, tag_games, write_season
 
 
 def start(
@@ -38,7 +39,11 @@ def start(
         try:
             splittable = not batch.where(F.col("block").isNotNull()).isEmpty()
             rows = extract(number_lines(batch), splittable, focus_team_id, focus_team_name)
-            write_season(tag_games(rows), path)
+            games = settle(tag_games(rows))
+            full = games.select(FILE).distinct().withColumn("full", F.lit(True))
+            read = batch.select(FILE).distinct().join(full, FILE, "left")
+            reason = F.when(F.col("full").isNull(), F.lit(NO_POINT)).alias("reason")
+            write_season(games, read.select(FILE, file_name(F.col(FILE)).alias("file_name"), reason), path)
         finally:
             batch.unpersist()
 

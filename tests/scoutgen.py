@@ -40,7 +40,7 @@ class Match:
     # one line of the last section
     def line(self, code, set_number):
         fields = [code, "", "", "", "-1-1", "-1-1", "-1-1", "", str(set_number)]
-        fields += [str(self.setter_slot["*"]), str(self.setter_slot["a"]), "1", "432", ""]
+        fields += [str(self.setter_slot["*"]), str(self.setter_slot["a"]), "2", "905", ""]
         fields += [str(n) for n in self.court["*"]] + [str(n) for n in self.court["a"]] + [""]
         self.lines.append(";".join(fields))
 
@@ -53,7 +53,7 @@ class Match:
             self.play_rally(number, rally)
             if rally == 4:  # substitution: a short line
                 out, new = self.court["*"][2], next(n for n in SHIRTS["*"] if n not in self.court["*"])
-                self.lines.append(f"*c{out:02d}:{new:02d};;;;1010;-1-1;10111;;{number};0;0;1;535;;")
+                self.lines.append(f"*c{out:02d}:{new:02d};;;;77;88;99;;{number};3;4;2;905;;")
                 self.court["*"][2] = new
         self.finals.append(f"{self.score['*']}-{self.score['a']}")
         self.won[max("*a", key=lambda side: self.score[side])] += 1
@@ -62,7 +62,7 @@ class Match:
 
     def touch(self, side, slot, skill, evaluation, combination="~~", target="~", set_number=1):
         shirt = self.court[side][slot]
-        self.line(f"{side}{shirt:02d}{skill}M{evaluation}{combination}{target}79D~~00", set_number)
+        self.line(f"{side}{shirt:02d}{skill}M{evaluation}{combination}{target}15A~~33", set_number)
         return shirt
 
     def play_rally(self, number, rally):
@@ -171,12 +171,12 @@ class Match:
             self.setter_slot[receive_side] = (self.setter_slot[receive_side] - 2) % 6 + 1
 
     def text(self):
-        head = ["[3HEADER]", "FILEFORMAT: 2.0", "[3MATCH]", "01/01/2030;06.00.00;;;;;;;;1;;Z;", "[3TEAMS]"]
+        head = ["[3HEADER]", "FILEFORMAT: 2.0", "[3MATCH]", "17/05/2031;19.30.00;Friendly;;;", "[3TEAMS]"]
         for side in "*a":
             head.append(f"{TEAMS[side][0]};{TEAMS[side][1]};{self.won[side]};;;;")
         # a comment that looks like a touch must not count
-        head += ["[3COMMENTS]", "a14SM-~~~79D~~~00;;;;", "[3SET]"]
-        head += [f"True;8-4;16-7;21-8;{final};25;" for final in self.finals]
+        head += ["[3COMMENTS]", "a10SQ+~~~15A~~~33;;;;", "[3SET]"]
+        head += [f"True;5-3;11-9;17-12;{final};19;" for final in self.finals]
         for side, section in (("*", "[3PLAYERS-H]"), ("a", "[3PLAYERS-V]")):
             head.append(section)
             for place, shirt in enumerate(SHIRTS[side], 1):
@@ -185,8 +185,8 @@ class Match:
                     f"{0 if side == '*' else 1};{shirt};{place};1;*;;;;{player_id(side, shirt)};"
                     f"Last{side_name(side)}{shirt};First{shirt};Nick;{libero};;;;;"
                 )
-        head += ["[3ATTACKCOMBINATION]", "X5;4;R;H;Hut;;255;4912;F;;", "X6;2;L;Q;Red;;255;4988;B;;"]
-        head += ["[3SETTERCALL]", "K1;;Quick ahead;;16711680;3949;;;;", "[3WINNINGSYMBOLS]", "=~~~#", "[3RESERVE]"]
+        head += ["[3ATTACKCOMBINATION]", "X5;3;C;T;Wide step;;1234;1357;C;;", "X6;1;C;M;Far post;;4321;2468;S;;"]
+        head += ["[3SETTERCALL]", "K1;;Fast middle;;65280;1212;;;;", "[3WINNINGSYMBOLS]", "#~~~=", "[3RESERVE]"]
         return "\r\n".join([*head, "[3SCOUT]", *self.lines]) + "\r\n"
 
 

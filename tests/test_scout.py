@@ -43,6 +43,7 @@ def test_rows_match_the_match_that_was_played(loaded, name):
     assert len(got) == len(match.expected) > 20
     for row, want in zip(got, match.expected):
         assert (row.pop("game_number"), row.pop("period"), row.pop("split")) == (game, period, split)
+        assert row.pop("source_file").endswith(name.replace(" ", "%20"))
         assert row == want
 
 
@@ -55,7 +56,7 @@ def test_columns_are_the_declared_ones(loaded):
 def test_files_that_cannot_be_used_are_listed(loaded):
     reasons = {row.file_name: row.reason for row in loaded.rejects.collect()}
     assert reasons == {
-        "X-Y.dvw": "unexpected naming format",
+        "X-Y.dvw": "name has fewer than three parts",
         "xx_pre_train_vs_Q.dvw": "game number is not an integer",
         "12_conf1_test_vs_E.dvw": "no serve-receive point",
     }
@@ -93,8 +94,8 @@ def test_header_sections(spark, folder):
     results = scout.set_results(tagged).orderBy("set_number").collect()
     assert [row.final_score for row in results] == Match(1).finals
     codes = {row.code: (row.kind, row.zone, row.description, row.target) for row in scout.code_table(tagged).collect()}
-    assert codes["X5"] == ("attack", 4, "Hut", "F")
-    assert codes["K1"] == ("set", None, "Quick ahead", None)
+    assert codes["X5"] == ("attack", 3, "Wide step", "C")
+    assert codes["K1"] == ("set", None, "Fast middle", None)
 
 
 def test_a_file_read_in_many_splits_gives_the_same_rows(spark, folder):
@@ -121,21 +122,45 @@ def test_store_and_update(spark, folder, tmp_path):
     source = tmp_path / "games"
     source.mkdir()
     (source / "01_pre_train_vs_X.dvw").write_text(Match(1).text())
-    first = season.update_season(spark, str(source), path, "1", "Team A")
+    first = season.update_season(spark, str(source), path, "1", "Team A").rows
     assert first.select("game_number").distinct().count() == 1
     stamps = {f: f.stat().st_mtime_ns for f in (tmp_path / "season").rglob("*.parquet")}
     (source / "02_pre_train_vs_Y.dvw").write_text(Match(2).text())
-    second = season.update_season(spark, str(source), path, "1", "Team A")
+    second = season.update_season(spark, str(source), path, "1", "Team A").rows
     assert sorted(row.game_number for row in second.select("game_number").distinct().collect()) == [1, 2]
     for file, stamp in stamps.items():
         assert file.stat().st_mtime_ns == stamp
     stored = sorted(second.collect())
-    again = season.update_season(spark, str(source), path, "1", "Team A")
+    again = season.update_season(spark, str(source), path, "1", "Team A").rows
     assert sorted(again.collect()) == stored
-    forced = season.update_season(spark, str(source), path, "1", "Team A", force=True)
+    forced = season.update_season(spark, str(source), path, "1", "Team A", force=True).rows
     assert sorted(forced.collect()) == stored
 
 
+def test_files_of_one_game_are_all_kept(spark, tmp_path, monkeypatch):
+    """Two files with one game number, and one without a point: by update, and by stream."""
+    monkeypatch.setattr(season, "FILES_PER_LOAD", 1)
+    source, path, streamed = tmp_path / "games", str(tmp_path / "season"), str(tmp_path / "streamed")
+    source.mkdir()
+    (source / "01_pre_train_vs_X.dvw").write_text(Match(1).text())
+    season.update_season(spark, str(source), path, "1", "Team A")
+    season_stream.run_available(spark, str(source), streamed, str(tmp_path / "progress"), "1", "Team A")
+    (source / "01_conf1_test_vs_Y.dvw").write_text(Match(2).text())
+    (source / "01_pre_test_vs_Z.dvw").write_text(Match(3).text())
+    (source / "07_pre_test_vs_E.dvw").write_text("[3TEAMS]\n1;Team A;0;\n2;Team B;0;\n")
+    (source / "X-Y.dvw").write_text(Match(4).text())
+    updated = season.update_season(spark, str(source), path, "1", "Team A")
+    season_stream.run_available(spark, str(source), streamed, str(tmp_path / "progress"), "1", "Team A")
+    whole = sorted(season.load_season(spark, str(source), "1", "Team A").rows.collect())
+    assert len(whole) == sum(len(Match(seed).expected) for seed in (1, 2, 3))
+    assert sorted(updated.rows.collect()) == whole
+    assert sorted(season.read_season(spark, streamed).collect()) == whole
+    reasons = {row.file_name: row.reason for row in updated.rejects.collect()}
+    assert reasons == {"07_pre_test_vs_E.dvw": "no serve-receive point", "X-Y.dvw": "name has fewer than three parts"}
+    listed = {row.file_name for row in season.read_files(spark, streamed).collect()}
+    assert listed == {row.file_name for row in season.read_files(spark, path).collect()}
+
+
 def test_stream_picks_up_new_files_only(spark, tmp_path):
     source, path, checkpoint = tmp_path / "games", str(tmp_path / "season"), str(tmp_path / "progress")
     source.mkdir()
