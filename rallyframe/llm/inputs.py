@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application: their Python need not have it installed."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    if getattr(context, "rallyframe_shipped", False) or not root.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="rallyframe-code-")) / "rallyframe.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in root.rglob("*.py"):
+            archive.write(file, Path(root.name) / file.relative_to(root))
+    context.addPyFile(str(path))
+    context.rallyframe_shipped = True
+
+
 def column(name: str) -> Column:
     """A column by its exact name, dots included."""
     return F.col(f"`{name}`")
@@ -19,6 +36,7 @@ def documents(docs: DataFrame, carry: Iterable[str] = (), results: Iterable[str]
 
     Other columns are left out, so their names cannot clash; a carried column with the name of a result is left out too.
     """
+    ship(docs.sparkSession)
     taken = {name.lower() for name in results}
     carry = [name for name in carry if name.lower() not in taken]
     packed = [F.struct(*[column(name) for name in carry]).alias("carried")] if carry else []

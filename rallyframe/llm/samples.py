@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rallyframe.llm.inputs import ship
+
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, rows: int, doc_bytes: int, where: Column | None = None
@@ -15,6 +17,7 @@ def labelled_sample(
     The rows with the least hashes of their id are taken, so that the sample is random and the same in every run. Null
     labels and ids are left out.
     """
+    ship(docs.sparkSession)
     usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(
         F.col("doc_id").isNotNull() & F.col("label").isNotNull()
     )
