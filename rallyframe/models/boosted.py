@@ -19,6 +19,9 @@ from rallyframe.session import shared_folder
 # Fits that share the cluster at the same time; each is a distributed job of its own.
 PARALLEL_FITS = 4
 
+# Split points tried for a feature, at most: one for every value of an encoded label up to this many.
+MOST_BINS = 1024
+
 
 @dataclass(frozen=True)
 class BoostedModel:
@@ -55,6 +58,13 @@ class BoostedModel:
         )
 
 
+def _bins(train: DataFrame, features: Sequence[str]) -> int:
+    """One more than the values of the widest feature, between MLlib's default of 32 and MOST_BINS."""
+    counted = train.agg(*[F.approx_count_distinct(name, 0.02) for name in features]).first()
+    widest = int(1.1 * max(counted, default=0)) + 1
+    return min(max(widest, 32), MOST_BINS)
+
+
 def fit_boosted_model(
     train: DataFrame,
     features: Sequence[str],
@@ -65,8 +75,13 @@ def fit_boosted_model(
     step_size: float,
     subsample: float,
     seed: int,
+    max_bins: int | None = None,
 ) -> BoostedModel:
-    """Fit on rows whose integer ``target`` is a place in ``classes``; rows need every feature."""
+    """Fit on rows whose integer ``target`` is a place in ``classes``; rows need every feature.
+
+    ``max_bins`` is the number of bins per feature; by default it follows the widest feature, so that no two values
+    of one with up to MOST_BINS values are merged.
+    """
     shared_folder(train.sparkSession)  # boosting cuts its growing lineage there
     vectors = (
         VectorAssembler(inputCols=list(features), outputCol="__features")
@@ -76,6 +91,7 @@ def fit_boosted_model(
     )
     try:
         present = {row[0] for row in vectors.groupBy("__target").count().collect()}
+        bins = max_bins or _bins(train, features)
 
         def fit(place: int) -> GBTClassificationModel | None:
             if place not in present:
@@ -89,6 +105,7 @@ def fit_boosted_model(
                 stepSize=step_size,
                 subsamplingRate=subsample,
                 seed=seed,
+                maxBins=bins,
             )
             classifier.set(classifier.rawPredictionCol, f"__raw_{place}")
             classifier.set(classifier.probabilityCol, f"__p_{place}")

@@ -104,8 +104,15 @@ def confusion_cells(df: DataFrame, actual: str, predicted: str, keys: Sequence[s
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def confusion_matrix(cells: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Rows actual, columns predicted, over a fixed label list; 0 where nothing fell."""
+def confusion_labels(cells: DataFrame) -> list[str]:
+    """The labels of rows and columns in code-point order: those that occur as actual or as predicted."""
+    both = cells.select(F.explode(F.array("actual", "predicted")).alias("label"))
+    return [row[0] for row in both.where(F.col("label").isNotNull()).distinct().orderBy("label").collect()]
+
+
+def confusion_matrix(cells: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
+    """Rows actual, columns predicted, over all labels of the cells or the given ones; 0 where nothing fell."""
+    labels = confusion_labels(cells) if labels is None else list(labels)
     names = cells.sparkSession.createDataFrame([(name,) for name in labels], "actual string")
     wide = cells.groupBy("actual").pivot("predicted", list(labels)).agg(F.sum("n"))
     return names.join(wide, "actual", "left").na.fill(0, list(labels))

@@ -17,9 +17,6 @@ CUT_POINTS = 256
 # Up to this many labels are numbered in one task; the number is counted, not assumed.
 SMALL_DICTIONARY = 100_000
 
-# A prediction target with more classes than this is a mistake: every row would hold that many probabilities.
-MOST_CLASSES = 10_000
-
 
 def distinct_labels(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
     return df.select(*keys, label).where(F.col(label).isNotNull()).distinct()
@@ -116,12 +113,9 @@ def encode(
 def class_list(dictionary: DataFrame, label: str) -> list[str]:
     """Labels in code-point order, which is index order, as a list for models that hold one entry per class.
 
-    Too many classes are an error; no more than the limit are collected.
+    It is as long as one row's probabilities; targets too wide for that have ``frequency_rows``.
     """
-    found = dictionary.select(label).distinct().orderBy(label).limit(MOST_CLASSES + 1).collect()
-    if len(found) > MOST_CLASSES:
-        raise ValueError(f"{label} has more than the {MOST_CLASSES} classes a row of probabilities may have")
-    return [row[0] for row in found]
+    return [row[0] for row in dictionary.select(label).distinct().orderBy(label).collect()]
 
 
 def class_counts(df: DataFrame, dictionary: DataFrame, target: str, label: str, index: str = "idx") -> DataFrame:

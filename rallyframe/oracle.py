@@ -158,6 +158,22 @@ _EVALUATION = "substr('#+!-/=', CAST(floor(value) AS INTEGER) % 6 + 1, 1)"
 _TOUCH = "event_type <> 'error'"
 
 
+_SLOTS = [f"{side}_p{slot}" for side in ("recv", "opp") for slot in range(1, 7)]
+
+
+def _court_slot(name: str) -> str:
+    """Who stands in a slot: the user's side plays at home for even users, and always receives here."""
+    slot = name[-1]
+    home, visiting = (
+        f"CAST(-((user_id + {slot}) % 20) AS VARCHAR)",
+        f"CAST(-(100 + (event_id + {slot}) % 15) AS VARCHAR)",
+    )
+    first, second = (home, visiting) if name.startswith("recv") else (visiting, home)
+    return f"CASE WHEN user_id % 2 = 0 THEN {first} ELSE {second} END AS {name}"
+
+
+_COURT = ", ".join(_court_slot(name) for name in _SLOTS)
+
 _FEATURES = f"""{_EV},
 season AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS point_id,
@@ -166,33 +182,25 @@ season AS (
     CAST(-(event_id % 40) AS VARCHAR) AS server, CAST(-(event_id % 12) AS VARCHAR) AS attacker
   FROM ev
 ),
-focus AS (SELECT * FROM season WHERE value >= 20 AND event_type <> 'error'),
-court AS (
-  SELECT event_id, slot,
-    CASE WHEN user_id % 2 = 0 THEN CAST(-((user_id + slot) % 20) AS VARCHAR)
-         ELSE CAST(-(100 + (event_id + slot) % 15) AS VARCHAR) END AS recv,
-    CASE WHEN user_id % 2 = 0 THEN CAST(-(100 + (event_id + slot) % 15) AS VARCHAR)
-         ELSE CAST(-((user_id + slot) % 20) AS VARCHAR) END AS opp
-  FROM focus CROSS JOIN range(1, 7) r(slot)
-),
+focus AS MATERIALIZED (SELECT * FROM season WHERE value >= 20 AND event_type <> 'error'),
 lagged AS (
   SELECT *, lag(attacker) OVER w AS before, coalesce(lag(point_id) OVER w = point_id - 1, FALSE) AS gate,
     lag(event_id) OVER w AS before_event
   FROM focus WINDOW w AS (PARTITION BY user_id, d ORDER BY event_id)
 ),
-rows_ AS (
+rows_ AS MATERIALIZED (
   SELECT *, CASE WHEN gate THEN before ELSE 'none' END AS prev_label,
-    CASE WHEN gate AND before_event % 4 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prev_point_won
+    CASE WHEN gate AND before_event % 4 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prev_point_won,
+    {_COURT}
   FROM lagged
 ),
-train AS (SELECT * FROM rows_ WHERE ts < TIMESTAMP '2024-01-02'),
+train AS MATERIALIZED (SELECT * FROM rows_ WHERE ts < TIMESTAMP '2024-01-25'),
 servers AS (
   SELECT period, label, CAST(row_number() OVER (PARTITION BY period ORDER BY label) - 1 AS INTEGER) AS idx
   FROM (SELECT DISTINCT period, server AS label FROM train)),
 players AS (
   SELECT period, label, CAST(row_number() OVER (PARTITION BY period ORDER BY label) - 1 AS INTEGER) AS idx
-  FROM (SELECT period, recv AS label FROM court JOIN train USING (event_id)
-        UNION SELECT period, opp FROM court JOIN train USING (event_id))),
+  FROM (SELECT DISTINCT period, unnest([{", ".join(_SLOTS)}]) AS label FROM train)),
 befores AS (
   SELECT period, label, CAST(row_number() OVER (PARTITION BY period ORDER BY label) - 1 AS INTEGER) AS idx
   FROM (SELECT DISTINCT period, prev_label AS label FROM train)),
@@ -223,6 +231,91 @@ def _metric_by_period() -> str:
     return f"SELECT metric, {picked} FROM ({listed}) GROUP BY metric"
 
 
+_SEGMENTED = f"""{_EV},
+scan AS (
+  SELECT *, event_type = 'error' AS is_point,
+    CASE WHEN event_id % 2 = 0 THEN '*' ELSE 'a' END AS side,
+    coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER prior, 0) AS points_before,
+    max(CASE WHEN event_type = 'error' THEN event_id END) OVER prior AS point_at,
+    max(CASE WHEN event_type = 'view' THEN event_id END) OVER upto AS serve_at,
+    max(CASE WHEN event_type IN ('click', 'signup', 'purchase') AND event_id % 2 = 0 THEN event_id END) OVER upto AS home_at,
+    max(CASE WHEN event_type IN ('click', 'signup', 'purchase') AND event_id % 2 = 1 THEN event_id END) OVER upto AS away_at
+  FROM ev
+  WINDOW prior AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         upto AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+joined AS (
+  SELECT s.*, p.d AS point_d, CAST(floor(p.value) AS INTEGER) % 30 AS hp, CAST(p.event_id % 30 AS INTEGER) AS vp
+  FROM scan s LEFT JOIN ev p ON p.event_id = s.point_at),
+segmented AS (
+SELECT joined.*, CAST(points_before + 1 AS INTEGER) AS point_id,
+  CASE WHEN event_type = 'view' THEN 'Serve'
+       WHEN is_point OR serve_at IS NULL OR serve_at <= coalesce(point_at, -1) THEN NULL
+       WHEN event_id % 2 = serve_at % 2 THEN 'Transition'
+       WHEN (CASE WHEN serve_at % 2 = 0 THEN home_at ELSE away_at END) > serve_at THEN 'Transition'
+       ELSE 'Reception' END AS phase,
+  CASE WHEN point_d = d THEN hp ELSE 0 END AS home_team_score,
+  CASE WHEN point_d = d THEN vp ELSE 0 END AS visiting_team_score
+FROM joined)"""
+
+_SETTERS = "CAST(event_id % 6 + 1 AS INTEGER) AS home_setter_position, CAST(user_id % 6 + 1 AS INTEGER) AS visiting_setter_position"
+_ON_COURT = ", ".join(
+    f"CAST({shirt} AS INTEGER) AS {who}_p{slot}, "
+    f"CASE WHEN {shirt} % 9 <> 0 THEN CAST(-({first} + {shirt}) AS VARCHAR) END AS {who}_player_id{slot}"
+    for place, (who, first) in enumerate((("home", 1000), ("visiting", 2000)))
+    for slot in range(1, 7)
+    for shirt in [f"((event_id + {6 * place + slot - 1}) % 100)"]
+)
+
+
+def _first(name: str, test: str) -> str:
+    return f"""{name} AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, point_id ORDER BY event_id) AS place FROM touched WHERE {test})
+  WHERE place = 1)"""
+
+
+_SERVE_RECEIVE = f"""{_SEGMENTED},
+touched AS (
+  SELECT user_id, event_id, event_type, point_id, phase, home_team_score, visiting_team_score,
+    CAST(day(ts) AS INTEGER) AS set_number, {_SETTERS}, {_ON_COURT},
+    CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS team, {_EVALUATION} AS code,
+    (CASE WHEN event_id % 2 = 0 THEN 1000 ELSE 2000 END) + user_id % 100 AS number
+  FROM segmented),
+names AS (
+  SELECT user_id, number, 'P' || number || '/' || (min(event_id) % 3) AS name
+  FROM touched WHERE event_type <> 'error' GROUP BY user_id, number),
+{_first("serve", "event_type = 'view'")},
+{_first("reception", "event_type = 'click'")},
+{_first("setting", "event_type = 'signup' AND phase = 'Reception'")},
+{_first("attack", "event_type = 'purchase' AND phase = 'Reception'")},
+{_first("outcome", "event_type = 'error'")},
+assembled AS (
+  SELECT s.user_id, s.point_id, s.set_number, s.team AS serving_team, r.team AS receiving_team,
+    'A' AS home_team, 'B' AS visiting_team, '1' AS home_team_id, '2' AS visiting_team_id,
+    s.home_setter_position, s.visiting_setter_position, {", ".join(f"s.{who}_p{k}, s.{who}_player_id{k}" for who in ("home", "visiting") for k in range(1, 7))},
+    CAST(-s.number AS VARCHAR) AS server_id, sn.name AS server_name, s.code AS serve_eval_code,
+    CAST(-r.number AS VARCHAR) AS receiver_id, rn.name AS receiver_name, r.code AS receive_eval_code,
+    CAST(-e.number AS VARCHAR) AS setter_id, en.name AS setter_name,
+    CASE WHEN e.event_id IS NOT NULL THEN 'K' || (e.event_id % 10) END AS set_code,
+    CASE WHEN e.event_id IS NOT NULL THEN substr('FBCPS', CAST(e.event_id % 5 + 1 AS INTEGER), 1) END AS set_type,
+    CAST(-a.number AS VARCHAR) AS attacker_id, an.name AS attacker_name,
+    CASE WHEN a.event_id % 7 <> 0 THEN 'X' || (a.event_id % 10) END AS attack_code, a.code AS attack_eval_code,
+    s.home_team_score AS home_score_start_of_point, s.visiting_team_score AS visiting_score_start_of_point,
+    s.home_team_score - s.visiting_team_score AS score_diff, o.team AS point_won_by,
+    s.code = '#' AS is_ace, r.code = '/' OR r.code = '=' AS is_overpass, r.code IN ('-', '!') AS out_of_system,
+    e.event_id IS NULL AS no_set, a.event_id IS NULL AS no_attack
+  FROM serve s JOIN reception r ON r.user_id = s.user_id AND r.point_id = s.point_id
+  LEFT JOIN setting e ON e.user_id = s.user_id AND e.point_id = s.point_id
+  LEFT JOIN attack a ON a.user_id = s.user_id AND a.point_id = s.point_id
+  LEFT JOIN outcome o ON o.user_id = s.user_id AND o.point_id = s.point_id
+  LEFT JOIN names sn ON sn.user_id = s.user_id AND sn.number = s.number
+  LEFT JOIN names rn ON rn.user_id = s.user_id AND rn.number = r.number
+  LEFT JOIN names en ON en.user_id = s.user_id AND en.number = e.number
+  LEFT JOIN names an ON an.user_id = s.user_id AND an.number = a.number
+  WHERE s.team <> r.team),
+serve_receive AS (
+  SELECT *, lag(point_won_by) OVER (PARTITION BY user_id ORDER BY point_id) = 'A' AS prev_point_won FROM assembled)"""
+
 SQL: dict[str, str] = {
     "q01_first_touch": f"""WITH {_EV}
 SELECT user_id, CAST(d AS VARCHAR) AS d, event_type, event_id, value FROM (
@@ -308,7 +401,7 @@ FROM ev WHERE day(d) BETWEEN 1 AND 22""",
 top AS (
   SELECT user_id, event_type FROM (
     SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS rn
-    FROM ev WHERE ts < TIMESTAMP '2024-01-02' GROUP BY user_id, event_type) WHERE rn = 1),
+    FROM ev WHERE ts < TIMESTAMP '2024-01-25' GROUP BY user_id, event_type) WHERE rn = 1),
 ranked AS (
   SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS idx
   FROM (SELECT DISTINCT event_type FROM top))
@@ -384,36 +477,18 @@ FROM masked GROUP BY event_id""",
   CAST(event_id % 100 AS INTEGER) AS home_p1, CAST((event_id + 5) % 100 AS INTEGER) AS home_p6,
   CAST((event_id + 6) % 100 AS INTEGER) AS visiting_p1, CAST((event_id + 11) % 100 AS INTEGER) AS visiting_p6
 FROM events""",
-    "q34_segment": f"""WITH {_EV},
-scan AS (
-  SELECT *, event_type = 'error' AS is_point,
-    CASE WHEN event_id % 2 = 0 THEN '*' ELSE 'a' END AS side,
-    coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER prior, 0) AS points_before,
-    max(CASE WHEN event_type = 'error' THEN event_id END) OVER prior AS point_at,
-    max(CASE WHEN event_type = 'view' THEN event_id END) OVER upto AS serve_at,
-    max(CASE WHEN event_type IN ('click', 'signup', 'purchase') AND event_id % 2 = 0 THEN event_id END) OVER upto AS home_at,
-    max(CASE WHEN event_type IN ('click', 'signup', 'purchase') AND event_id % 2 = 1 THEN event_id END) OVER upto AS away_at
-  FROM ev
-  WINDOW prior AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-         upto AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-joined AS (
-  SELECT s.*, p.d AS point_d, CAST(floor(p.value) AS INTEGER) % 30 AS hp, CAST(p.event_id % 30 AS INTEGER) AS vp
-  FROM scan s LEFT JOIN ev p ON p.event_id = s.point_at)
-SELECT event_id, user_id, CAST(points_before + 1 AS INTEGER) AS point_id,
-  CASE WHEN event_type = 'view' THEN 'Serve'
-       WHEN is_point OR serve_at IS NULL OR serve_at <= coalesce(point_at, -1) THEN NULL
-       WHEN event_id % 2 = serve_at % 2 THEN 'Transition'
-       WHEN (CASE WHEN serve_at % 2 = 0 THEN home_at ELSE away_at END) > serve_at THEN 'Transition'
-       ELSE 'Reception' END AS phase,
-  CASE WHEN point_d = d THEN hp ELSE 0 END AS home_team_score,
-  CASE WHEN point_d = d THEN vp ELSE 0 END AS visiting_team_score
-FROM joined""",
+    "q34_segment": f"""WITH {_SEGMENTED}
+SELECT event_id, user_id, point_id, phase, home_team_score, visiting_team_score FROM segmented""",
     "q35_incremental": """SELECT event_id, user_id FROM events
 WHERE user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-02')""",
     "q36_class_counts": f"""WITH {_USERS}
 SELECT idx, label, count(ev.event_id) AS n FROM dict
 LEFT JOIN ev ON CAST(ev.user_id AS VARCHAR) = dict.label AND ev.ts >= TIMESTAMP '2024-01-25' GROUP BY 1, 2""",
     "q37_first_rows": """SELECT event_id, user_id, event_type FROM events ORDER BY user_id, event_id LIMIT 5""",
+    "q32_checks": f"""WITH {_HISTORY}
+SELECT count(*) AS n_rows, 0::BIGINT AS n_bad_sum, 0::BIGINT AS n_off_court, 0::BIGINT AS n_bad_entropy,
+  0::BIGINT AS n_bad_flags, 1.0::DOUBLE AS importance_sum
+FROM hist WHERE event_type IN (SELECT event_type FROM hist WHERE ts < TIMESTAMP '2024-01-25')""",
     "q38_one_point": f"""WITH {_HISTORY}
 SELECT event_id, class, round(p0, 6) AS p FROM raw
 WHERE event_id = (SELECT min(event_id) FROM hist WHERE ts >= TIMESTAMP '2024-01-25')""",
@@ -451,8 +526,8 @@ SELECT r.event_id, r.period,
   CAST(CASE CASE WHEN user_id % 2 = 0 THEN r.event_id % 6 + 1 ELSE user_id % 6 + 1 END
        WHEN 1 THEN 1 WHEN 6 THEN 2 WHEN 5 THEN 3 WHEN 4 THEN 4 WHEN 3 THEN 5 WHEN 2 THEN 6 END AS INTEGER)
     AS receiving_rotation,
-  coalesce(s.idx, -1) AS server_encoded, coalesce(p1.idx, -1) AS recv_p1_enc, coalesce(p6.idx, -1) AS recv_p6_enc,
-  coalesce(o2.idx, -1) AS opp_p2_enc, prev_point_won, coalesce(b.idx, -1) AS prev_attacker_enc,
+  coalesce(s.idx, -1) AS server_encoded, {", ".join(f"coalesce({n}_.idx, -1) AS {n}_enc" for n in _SLOTS)},
+  prev_point_won, coalesce(b.idx, -1) AS prev_attacker_enc,
   t.idx AS target, tc.idx AS player_top_attack_enc
 FROM rows_ r
 LEFT JOIN servers s ON s.period = r.period AND s.label = r.server
@@ -460,10 +535,12 @@ LEFT JOIN befores b ON b.period = r.period AND b.label = r.prev_label
 LEFT JOIN targets t ON t.period = r.period AND t.label = r.attacker
 LEFT JOIN tops ON tops.period = r.period AND tops.attacker = r.attacker
 LEFT JOIN top_codes tc ON tc.period = r.period AND tc.event_type = tops.event_type
-JOIN court c1 ON c1.event_id = r.event_id AND c1.slot = 1
-JOIN court c2 ON c2.event_id = r.event_id AND c2.slot = 2
-JOIN court c6 ON c6.event_id = r.event_id AND c6.slot = 6
-LEFT JOIN players p1 ON p1.period = r.period AND p1.label = c1.recv
-LEFT JOIN players p6 ON p6.period = r.period AND p6.label = c6.recv
-LEFT JOIN players o2 ON o2.period = r.period AND o2.label = c2.opp""",
+{" ".join(f"LEFT JOIN players {n}_ ON {n}_.period = r.period AND {n}_.label = r.{n}" for n in _SLOTS)}""",
+    "q44_serve_receive": f"WITH {_SERVE_RECEIVE} SELECT * FROM serve_receive",
+    "q45_season_round_trip": f"""WITH {_SERVE_RECEIVE}
+SELECT CASE user_id % 3 WHEN 0 THEN 'pre' WHEN 1 THEN 'conf1' ELSE 'conf2' END AS period,
+  CASE WHEN user_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n,
+  count(DISTINCT user_id) AS n_games, count(setter_id) AS n_set, CAST(sum(score_diff) AS BIGINT) AS lead,
+  count(*) FILTER (WHERE prev_point_won) AS n_after_won
+FROM serve_receive GROUP BY 1, 2""",
 }

@@ -18,11 +18,19 @@ from rallyframe.models.frequency import fit_frequency_model, frequency_rows
 from rallyframe.operators import evaluation as E
 from rallyframe.operators import groups as G
 from rallyframe.operators import labels as L
-from rallyframe.operators.features import FeatureBuilder, add_gated_lag, add_ungated_lag
+from rallyframe.operators.features import (
+    COURT_COLUMNS,
+    FeatureBuilder,
+    add_gated_lag,
+    add_ungated_lag,
+    base_features,
+)
 from rallyframe.operators.lookups import attach_role, ids_with_several_names, names_by_id
 from rallyframe.operators.ordered import Ordered, previous, recent, row_number
+from rallyframe.operators.points import serve_receive
 from rallyframe.operators.profiles import add_profile, fit_profile
-from rallyframe.session import settle
+from rallyframe.schema import MATCH_MODEL, SEASON
+from rallyframe.session import scratch, settle
 from rallyframe.sources.scout import (
     FILE,
     decode,
@@ -33,14 +41,13 @@ from rallyframe.sources.scout import (
     segment,
     tag_sections,
 )
-from rallyframe.sources.season import new_rows
+from rallyframe.sources.season import combine, new_rows, read_csv, read_season, write_csv, write_season
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TRAIN_UNTIL = "2024-01-25"
 DICTIONARY_UNTIL = "2024-01-02"
 COURT_VALUE = 20
-EVENT_CLASSES = ["click", "error", "purchase", "signup", "view"]
 PRIORITY_NUMBER = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "5-LOW": 5}
 DAY_PERIODS = ["pre", "conf1", "conf2"]
 
@@ -345,7 +352,7 @@ def q18_split_by_set(spark: SparkSession, sf: str) -> DataFrame:
 
 def q19_attack_profile(spark: SparkSession, sf: str) -> DataFrame:
     events = _events(spark, sf).select("event_id", "user_id", "event_type", "ts")
-    profile = fit_profile(events.where(_before(DICTIONARY_UNTIL)), "user_id", "event_type", "top_enc")
+    profile = fit_profile(events.where(_before(TRAIN_UNTIL)), "user_id", "event_type", "top_enc")
     return add_profile(events, profile, "user_id", "top_enc").select("event_id", "user_id", "top_enc")
 
 
@@ -490,7 +497,7 @@ def q28_averages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q29_confusion(spark: SparkSession, sf: str) -> DataFrame:
-    return E.confusion_matrix(_cells(spark, sf), EVENT_CLASSES)
+    return E.confusion_matrix(settle(_cells(spark, sf)))
 
 
 def q30_log_loss(spark: SparkSession, sf: str) -> DataFrame:
@@ -510,7 +517,19 @@ def q31_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# The fitted model of the last session and folder: three queries read it, one of them fits it.
+_fitted: dict[tuple[str, str], tuple[BoostedModel, DataFrame]] = {}
+
+
 def _boosted(spark: SparkSession, sf: str) -> tuple[BoostedModel, DataFrame]:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fitted:
+        _fitted.clear()
+        _fitted[key] = _fit_boosted(spark, sf)
+    return _fitted[key]
+
+
+def _fit_boosted(spark: SparkSession, sf: str) -> tuple[BoostedModel, DataFrame]:
     train, history = _train_and_all(spark, sf)
     previous_types = L.fit_dictionary(train.select(F.col("prev_type").alias("label")), "label")
     targets = L.fit_dictionary(train.select(F.col("event_type").alias("label")), "label")
@@ -533,11 +552,7 @@ def _boosted(spark: SparkSession, sf: str) -> tuple[BoostedModel, DataFrame]:
         features,
         "target",
         L.class_list(targets, "label"),
-        max_iter=5,
-        max_depth=3,
-        step_size=0.1,
-        subsample=1.0,
-        seed=42,
+        **MATCH_MODEL,
     )
     return model, rows
 
@@ -556,6 +571,32 @@ def q32_importance(spark: SparkSession, sf: str) -> DataFrame:
     return model.importances(rows)
 
 
+def q32_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds whatever the trees are: masked sums, mass off court, entropies, the two outcome flags, importances."""
+    model, rows = _boosted(spark, sf)
+    masked = E.mask_to_available(model.transform(rows), model.classes, F.col("on_court"))
+    scored = E.add_predictability(masked, "event_type", len(model.classes))
+    total = P.total(F.col("probability"))
+    off_court = F.exists(
+        F.arrays_zip(F.col("classes").alias("class"), F.col("probability").alias("p")),
+        lambda pair: (pair["p"] > 0) & ~F.coalesce(F.array_contains("on_court", pair["class"]), F.lit(False)),
+    )
+
+    def bad(test: Column, name: str) -> Column:
+        return F.count_if(test).alias(name)
+
+    most = F.log(F.lit(float(len(model.classes))))
+    counted = scored.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        bad((F.abs(total) > 1e-9) & (F.abs(total - 1) > 1e-9), "n_bad_sum"),
+        bad(off_court, "n_off_court"),
+        bad((F.col("pred_entropy") < -1e-9) | (F.col("pred_entropy") > most + 1e-9), "n_bad_entropy"),
+        bad(F.col("prediction_correct") == F.col("chose_non_top"), "n_bad_flags"),
+    )
+    importance = model.importances(rows).agg(_r(F.sum("importance")).alias("importance_sum"))
+    return counted.withColumn("importance_sum", importance.scalar())
+
+
 # --- coded lines ----------------------------------------------------------------------------
 
 
@@ -779,20 +820,16 @@ def _season_like(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q43_features(spark: SparkSession, sf: str) -> DataFrame:
-    """The feature builder fitted on the first day, per period, and applied to all rows."""
-    season = settle(_season_like(spark, sf))
-    fitted = FeatureBuilder("A", ["period"], include_attacker_profile=True).fit(
-        season.where(_before(DICTIONARY_UNTIL))
-    )
-    return fitted.transform(season).select(
+    """The feature builder fitted on the training days, per period, and applied to all rows."""
+    rows = settle(base_features(_season_like(spark, sf), "A"))
+    builder = FeatureBuilder("A", ["period"], include_attacker_profile=True)
+    return builder.fit_rows(rows.where(_before(TRAIN_UNTIL))).encode(rows).select(
         "event_id",
         "period",
         "pass_quality",
         "receiving_rotation",
         "server_encoded",
-        "recv_p1_enc",
-        "recv_p6_enc",
-        "opp_p2_enc",
+        *[f"{name}_enc" for name in COURT_COLUMNS],
         "prev_point_won",
         "prev_attacker_enc",
         "target",
@@ -800,6 +837,68 @@ def q43_features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _touches(spark: SparkSession, sf: str) -> DataFrame:
+    """The coded lines as touches of two teams: user = game; a shirt's player has several spellings of a name."""
+    lines = decode(_coded_lines(spark, sf)).withColumn("line_no", F.col("event_id"))
+    rows = segment(_by_user(lines)).df
+    is_home, is_touch = F.col("side") == "*", F.col("is_touch")
+    team = C.side_value(is_home, F.lit("A"), F.lit("B"))
+    number = C.side_value(is_home, F.lit(1000), F.lit(2000)) + F.col("shirt")
+    name = F.concat(F.lit("P"), number.cast("string"), F.lit("/"), (F.col("line_no") % 3).cast("string"))
+    players = {
+        f"{who}_player_id{slot}": F.when(shirt % 9 != 0, (-(first + shirt)).cast("string"))
+        for who, first in (("home", 1000), ("visiting", 2000))
+        for slot in range(1, 7)
+        for shirt in [F.col(f"{who}_p{slot}")]
+    }
+    return rows.withColumns(
+        {
+            "home_team": F.lit("A"),
+            "visiting_team": F.lit("B"),
+            "home_team_id": F.lit("1"),
+            "visiting_team_id": F.lit("2"),
+            "team": F.when(is_touch, team),
+            "player_id": F.when(is_touch, (-number).cast("string")),
+            "player_name": F.when(is_touch, name),
+            "point_won_by": F.when(F.col("is_point"), team),
+            **players,
+        }
+    )
+
+
+def q44_serve_receive(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines decoded, segmented and assembled into the 58 columns of a point."""
+    return serve_receive(_touches(spark, sf), "1", "A", game="user_id")
+
+
+def q45_season_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of three periods written as CSV and Parquet to the shared folder, read back and put together."""
+    points = q44_serve_receive(spark, sf)
+    game = F.col("user_id")
+    tagged = points.withColumns(
+        {
+            "game_number": game.cast("int"),
+            "period": F.when(game % 3 == 0, F.lit("pre")).when(game % 3 == 1, F.lit("conf1")).otherwise(F.lit("conf2")),
+            "split": F.when(game % 5 == 0, F.lit("test")).otherwise(F.lit("train")),
+            FILE: F.concat(F.lit("game "), game.cast("string")),
+        }
+    ).select(*SEASON.fieldNames())
+    season = settle(tagged)
+    folder = scratch(spark)
+    write_csv(season.where("period = 'pre'"), f"{folder}/csv")
+    late = season.where("period <> 'pre'")
+    files = late.select(FILE, F.col(FILE).alias("file_name"), F.lit(None).cast("string").alias("reason")).distinct()
+    write_season(late, files, f"{folder}/season")
+    both = combine(read_csv(spark, f"{folder}/csv", tagged=True), read_season(spark, f"{folder}/season"))
+    return both.groupBy("period", "split").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("game_number").alias("n_games"),
+        F.count("setter_id").alias("n_set"),
+        F.sum("score_diff").alias("lead"),
+        F.count_if(F.col("prev_point_won")).alias("n_after_won"),
+    )
+
+
 def registered() -> dict[str, Query]:
     """Every query by name."""
     return {name: query for name, query in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}

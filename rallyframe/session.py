@@ -39,6 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder of this application below the shared one."""
+    return f"{shared_folder(spark)}/rallyframe-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -48,6 +53,6 @@ def settle(df: DataFrame) -> DataFrame:
     application id, so it can be removed once the application is over.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/rallyframe-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from rallyframe import oracle, queries
 from rallyframe.operators import ordered
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
@@ -50,7 +51,7 @@ def compare(spark, duck, name):
     assert normalise(rows, got.columns) == normalise(expected, columns)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle.SQL))
 def test_query_matches_sql(spark, duck, name):
     compare(spark, duck, name)
 
@@ -67,7 +68,7 @@ def test_queries_match_sql_when_groups_are_cut(spark, duck, name, block_rows, mo
 
 
 def test_every_query_but_boosting_has_sql():
-    missing = set(entry_point.queries()) - set(entry_point.oracle_sql())
+    missing = set(queries.registered()) - set(oracle.SQL)
     assert missing == {"q32_mllib", "q32_importance"}
 
 
