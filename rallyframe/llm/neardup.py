@@ -75,22 +75,43 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return keys
 
 
+def _parities(place: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, WORDS) bitmaps; every place in `row * SKETCH_BITS + bit` flips that bit."""
+    odd = (np.bincount(place, minlength=rows * SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8").reshape(rows, WORDS)
+
+
 def odd_sketches(least: np.ndarray) -> np.ndarray:
-    """(rows, WORDS) parity bitmaps: every sample flips the bit that its number and value choose."""
+    """Parity bitmaps of the MinHash samples: each flips the bit that its number and value choose."""
     samples, rows = least.shape
     number = (np.arange(samples, dtype=np.uint64) + np.uint64(1)) << np.uint64(32)
     bit = T.mixed(least.astype(np.uint64) | number[:, None]) % np.uint64(SKETCH_BITS)
-    place = bit.astype(np.int64) + np.arange(rows) * SKETCH_BITS
-    odd = (np.bincount(place.reshape(-1), minlength=rows * SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view("<u8").reshape(rows, WORDS)
+    return _parities((bit.astype(np.int64) + np.arange(rows) * SKETCH_BITS).reshape(-1), rows)
+
+
+def set_parities(prints: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of the whole sets: two of them differ in at most as many bits as the sets differ in shingles."""
+    rows = len(bounds) - 1
+    bit = (T.mixed(prints ^ T.LANE) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return _parities(bit + np.repeat(np.arange(rows) * SKETCH_BITS, np.diff(bounds)), rows)
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """The similarity that the XOR of two odd sketches tells; at least -1."""
-    flips = sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(WORDS)), F.lit(0))
-    rest = F.greatest(F.lit(1e-9), 1 - flips * (2.0 / SKETCH_BITS))
+def _flips(a: Column, b: Column, first: int) -> Column:
+    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(first, first + WORDS)), F.lit(0))
+
+
+def plausible(n_a: Column, n_b: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether two classes may be similar enough, from their sizes and bitmaps (of samples, then of sets).
+
+    Sizes and the bitmaps of the sets bound the similarity from above: those bounds lose nothing. The XOR of the odd
+    sketches estimates it: -1/2 ln(1 - 2 flips / bits) / ln(1 - 2 / bits) of the samples differ.
+    """
+    sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    differ, both = _flips(a, b, WORDS), n_a + n_b
+    bound = 100 * (both - differ) >= percent * (both + differ)
+    rest = F.greatest(F.lit(1e-9), 1 - _flips(a, b, 0) * (2.0 / SKETCH_BITS))
     differing = F.log(rest) / float(np.log(1 - 2 / SKETCH_BITS)) / 2
-    return 1 - differing / (BANDS * ROWS)
+    return sizes & bound & (1 - differing / (BANDS * ROWS) >= percent / 100 - SLACK)
 
 
 def _signatures(source: DataFrame, size: int) -> DataFrame:
@@ -104,13 +125,14 @@ def _signatures(source: DataFrame, size: int) -> DataFrame:
                 n = np.diff(own)
                 full = np.flatnonzero(n)
                 bands = np.zeros((len(n), BANDS), np.int64)
-                sketch = np.zeros((len(n), WORDS), np.int64)
+                sketch = np.zeros((len(n), 2 * WORDS), np.int64)
                 sums = np.zeros((2, len(n)), np.int64)
                 if len(full):
                     heads = np.append(own[:-1][full], own[-1])
                     least = minhashes(prints, heads)
                     bands[full] = band_keys(least).view(np.int64)
-                    sketch[full] = odd_sketches(least).view(np.int64)
+                    sketch[full, :WORDS] = odd_sketches(least).view(np.int64)
+                    sketch[full, WORDS:] = set_parities(prints, heads).view(np.int64)
                     for k, seed in enumerate((T.SECOND, T.STEP)):
                         sums[k][full] = np.add.reduceat(T.mixed(prints ^ seed), heads[:-1]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -120,7 +142,7 @@ def _signatures(source: DataFrame, size: int) -> DataFrame:
                         pa.array(sums[0]),
                         pa.array(sums[1]),
                         pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), BANDS).cast(pa.list_(pa.int64())),
-                        pa.FixedSizeListArray.from_arrays(pa.array(sketch.reshape(-1)), WORDS).cast(pa.list_(pa.int64())),
+                        pa.FixedSizeListArray.from_arrays(pa.array(sketch.reshape(-1)), 2 * WORDS).cast(pa.list_(pa.int64())),
                     ],
                     names=["doc_id", "n", "set_a", "set_b", "bands", "sketch"],
                 )
@@ -168,10 +190,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     words between ASCII white space; fewer words are one shingle). component_id is the least doc_id that links reach.
 
     Equal sets are one class from the start. MinHash samples of each class give band keys and, folded by parity, an odd
-    sketch. Classes with a band in common are candidates: first each with the most connected member of the band's
-    bucket, which takes time in proportion to the bucket even where copies fill it, then those still in different
-    components with each other. A candidate passes if the XOR of the sketches lets it, and counts if the full sets say
-    so. All pairs of a bucket are thereby decided or known to be connected, and never listed.
+    sketch; a second bitmap folds the whole set. Classes with a band in common are candidates: first each with the most connected member of its buckets,
+    then with that of every bucket, then all of a bucket with each other, each time as far as they are still in
+    different components: that stays in proportion to a bucket even where near copies fill it. A candidate passes if sizes and bitmaps let it, and
+    counts if the full sets say so. All pairs of a bucket are thereby decided or known to be connected, and never listed.
 
     Documents without words are linked with nothing, and so are null ids, which are kept. Rows that share an id are one
     document with several texts. Repeated rows stay. An empty table gives an empty result.
@@ -196,20 +218,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     def likely(pairs: DataFrame) -> DataFrame:
         a = described.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
         b = described.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-        fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        near = estimate(F.col("sketch_a"), F.col("sketch_b")) >= percent / 100 - SLACK
-        return pairs.join(a, "a").join(b, "b").filter(fits & near).select("a", "b").distinct()
+        near = plausible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), percent)
+        return pairs.join(a, "a").join(b, "b").filter(near).select("a", "b").distinct()
 
     hub = F.max(F.struct("weight", (-F.col("node")).alias("minus")))
     hubs = shared.join(described.select("node", "weight"), "node").groupBy("key").agg(hub.alias("hub"))
-    spokes = (
-        shared.join(hubs.select("key", (-F.col("hub.minus")).alias("b")), "key")
+    spokes = settle(
+        shared.join(hubs, "key")
+        .select("node", (-F.col("hub.minus")).alias("b"), F.col("hub.weight").alias("weight"))
         .filter("node != b")
-        .select(F.col("node").alias("a"), "b")
         .distinct()
     )
-    first = settle(_confirmed(likely(spokes), texts, size, percent))
-    reached = components(first)
+    # each member with the best of its hubs first: in a large group that leaves few pairs between components
+    best = spokes.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("weight", -F.col("b"))).alias("b"))
+    links = settle(_confirmed(likely(best), texts, size, percent))
+    reached = components(links)
+    side_a = reached.select(F.col("node").alias("a"), F.col("component").alias("x"))
+    side_b = reached.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    apart = (
+        spokes.select(F.col("node").alias("a"), "b")
+        .join(side_a, "a", "left")
+        .join(side_b, "b", "left")
+        .filter(F.coalesce("x", "a") != F.coalesce("y", "b"))
+        .select("a", "b")
+    )
+    links = settle(links.union(_confirmed(likely(apart), texts, size, percent)))
+    reached = components(links)
     # what is left: members of one bucket in different components; a bucket of two has nothing but its hub
     placed = shared.join(reached, "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("component")
@@ -217,26 +251,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     open_keys = placed.groupBy("key").agg(
         F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")
     )
-    rest = settle(
+    # plain columns that are never null keep the join's condition small enough to be compiled
+    parity = [F.coalesce(F.col("sketch")[WORDS + k], F.lit(0)).alias(f"p{k}") for k in range(WORDS)]
+    rest = (
         placed.join(open_keys.filter("x < y AND members > 2").select("key"), "key", "left_semi")
-        .join(described.select("node", "n", "sketch"), "node")
-        .select("key", "node", "component", "n", "sketch")
+        .join(described.select("node", F.coalesce("n", F.lit(0)).alias("n"), *parity), "node")
+        .select("key", "node", "component", "n", *[f"p{k}" for k in range(WORDS)])
     )
     left, right = rest.alias("l"), rest.alias("r")
-    near = estimate(F.col("l.sketch"), F.col("r.sketch")) >= percent / 100 - SLACK
+    differ = sum((F.bit_count(F.col(f"l.p{k}").bitwiseXOR(F.col(f"r.p{k}"))) for k in range(WORDS)), F.lit(0))
+    both = F.col("l.n") + F.col("r.n")
     others = (
         left.join(
             right,
             (F.col("l.key") == F.col("r.key"))
             & (F.col("l.node") < F.col("r.node"))
             & (F.col("l.component") != F.col("r.component"))
-            & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n"))
-            & near,
+            & (100 * (both - differ) >= percent * (both + differ)),
         )
         .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
         .distinct()
     )
-    second = settle(_confirmed(others, texts, size, percent))
+    second = settle(_confirmed(likely(others), texts, size, percent))
     # an id with several texts ties their classes together
     member = named.distinct().join(classes, ["set_a", "set_b", "n"]).select("doc_id", "node")
     own = settle(member.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("other")))
@@ -245,7 +281,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .filter("node != a")
         .select("a", F.col("node").alias("b"))
     )
-    final = components(first.union(second).union(ties))
+    final = components(links.union(second).union(ties))
     found = own.join(final, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
