@@ -109,15 +109,27 @@ def get_masked_probas(df: DataFrame, model: BoostedModel) -> DataFrame:
 
 
 def compute_predictability(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with the predictability columns, and (metric, value, shown)."""
+    """Rows with the predictability columns, and (metric, rotation, value, shown).
+
+    The six means have no rotation; mean entropy and non-top rate come again for every rotation with rows.
+    """
     scored = E.add_predictability(df, "attacker_id")
-    listed = E.listed_metrics(E.summarise(scored, F.col("pass_quality") >= IN_SYSTEM))
-    rate = F.col("metric").contains("accuracy") | F.col("metric").contains("rate")
+    means = E.listed_metrics(E.summarise(scored, F.col("pass_quality") >= IN_SYSTEM))
+    series = E.by_rotation(scored, "receiving_rotation", 1, 6).select(
+        F.col("receiving_rotation").alias("rotation"),
+        F.col("mean_entropy").alias("entropy_by_rotation"),
+        F.col("non_top_rate").alias("non_top_by_rotation"),
+    )
+    by_rotation = series.unpivot("rotation", ["entropy_by_rotation", "non_top_by_rotation"], "metric", "value")
+    listed = means.withColumn("rotation", F.lit(None).cast("int")).unionByName(by_rotation.where("value IS NOT NULL"))
+    rate = F.col("metric").contains("accuracy") | F.col("metric").contains("non_top_rate")
     shown = F.when(rate, percent(F.col("value"))).otherwise(F.format_number("value", 3))
-    return scored, listed.withColumn("shown", shown)
+    return scored, listed.select("metric", "rotation", "value", shown.alias("shown"))
 
 
 def print_predictability_summary(summary: DataFrame, label: str = "") -> None:
-    """The six metrics as text."""
+    """The six metrics and the two series by rotation as text."""
     print(f"Predictability {label}".strip())
-    summary.select("metric", "shown").show(truncate=False)
+    summary.where("rotation IS NULL").select("metric", "shown").show(truncate=False)
+    series = summary.where("rotation IS NOT NULL")
+    series.orderBy("metric", "value", "rotation").select("metric", "rotation", "shown").show(12, truncate=False)

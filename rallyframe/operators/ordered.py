@@ -1,11 +1,11 @@
 """Running values over ordered rows, for groups of any size.
 
-A plain window sends a whole group to one task. Here a group that holds a notable share of all
-rows is cut into blocks of consecutive positions: the window runs inside (group, block), one small
-summary row per block is folded over the earlier blocks of the group, and the folded value is joined
-back on (group, block) - the partitioning the window already has, so the rows move once. Groups that
-are not large have no block, and when there is no large group at all the adaptive planner removes
-the whole summary branch.
+A plain window sends a whole group to one task. Here a group of more rows than a block is cut into
+as many equal ranges of its positions as it has blocks' worth of rows: the window runs inside
+(group, block), one small summary row per block is folded over the earlier blocks of the group, and
+the folded value is joined back on (group, block) - the partitioning the window already has, so the
+rows move once. Other groups have no block, and when there is no large group at all the adaptive
+planner removes the whole summary branch.
 """
 
 from __future__ import annotations
@@ -17,13 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from rallyframe.session import settle
+
 BLOCK = "__block"
-WIDTH = "__width"
+START, WIDTH = "__start", "__width"
 
-# A group is cut when it holds more than this share of all rows, so at most 1 / share groups are:
-# that is the size bound of the table broadcast to mark them.
-HOT_SHARE = 1e-5
-# ... and more than this many rows; also the number of consecutive positions in a block.
+# A group is cut when it holds more than this many rows, into blocks of so many on average.
 BLOCK_ROWS = 1 << 20
 
 
@@ -98,24 +97,23 @@ class Ordered:
         return cls(df.withColumn(BLOCK, block), keys, order, blocked=True)
 
     @classmethod
-    def by_position(
-        cls,
-        df: DataFrame,
-        keys: Sequence[str],
-        position: str,
-        block_rows: int | None = None,
-        hot_share: float | None = None,
-    ) -> Ordered:
-        block_rows, hot_share = block_rows or BLOCK_ROWS, hot_share or HOT_SHARE
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-        total = sizes.agg(F.sum("__rows").alias("__total")).scalar()
-        hot = sizes.where((F.col("__rows") > block_rows) & (F.col("__rows") > total * hot_share)).select(
-            *keys, F.lit(block_rows).cast("bigint").alias(WIDTH)
+    def by_position(cls, df: DataFrame, keys: Sequence[str], position: str, block_rows: int | None = None) -> Ordered:
+        """The large groups, with first position and block width, are counted and stored first: their number and size
+        are then known, and they are broadcast if small and joined by shuffle otherwise."""
+        block_rows = block_rows or BLOCK_ROWS
+        place = F.col(position).cast("bigint")
+        sizes = df.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("__rows"), F.min(place).alias(START), F.max(place).alias("__end")
+        )
+        blocks = F.expr(f"(__rows + {block_rows - 1}) div {block_rows}")
+        width = F.expr(f"(__end - {START}) div __blocks + 1").alias(WIDTH)
+        large = settle(
+            sizes.where(F.col("__rows") > block_rows).withColumn("__blocks", blocks).select(*keys, START, width)
         )
         marked = (
-            df.join(F.broadcast(hot), list(keys), "left")
-            .withColumn(BLOCK, F.expr(f"`{position}` div {WIDTH}"))
-            .drop(WIDTH)
+            df.join(large, list(keys), "left")
+            .withColumn(BLOCK, F.expr(f"(`{position}` - {START}) div {WIDTH}"))
+            .drop(START, WIDTH)
         )
         return cls(marked, keys, [position], blocked=True)
 
@@ -130,7 +128,9 @@ class Ordered:
     def scan(self, **scans: Scan) -> Ordered:
         """Add one column per running value."""
         parts = [*self.keys, BLOCK] if self.blocked else self.keys
-        rows = self._df.withColumns({name: self._inside(scan, parts) for name, scan in scans.items()})
+        # a join that marked the blocks may have gathered whole groups
+        rows = self._df.repartition(*parts) if self.blocked else self._df
+        rows = rows.withColumns({name: self._inside(scan, parts) for name, scan in scans.items()})
         if self.blocked:
             carried = self._carried(scans, parts)
             rows = (

@@ -117,8 +117,19 @@ def test_large_group_is_spread_and_small_groups_are_not(spark):
     ordered = O.Ordered.by_position(df, ["key"], "position", block_rows=32)
     blocks = ordered._df.groupBy("key").agg(F.countDistinct(O.BLOCK).alias("n")).collect()
     assert {row.key for row in blocks if row.n > 0} == {"h"}
+    n = df.where("key = 'h'").count()
+    assert next(row.n for row in blocks if row.key == "h") == -(-n // 32)
     largest = ordered._df.where("key = 'h'").groupBy(O.BLOCK).count().agg(F.max("count")).first()[0]
-    assert largest <= 32
+    assert largest <= 64
+
+
+def test_sparse_positions_give_no_more_blocks_than_rows_need(spark):
+    data = [(key, position * 1_000_000, value, code) for key, position, value, code in rows(seed=6)]
+    df = spark.createDataFrame(data, SCHEMA)
+    ordered = O.Ordered.by_position(df, ["key"], "position", block_rows=32)
+    n = df.where("key = 'h'").count()
+    assert ordered._df.where("key = 'h'").select(O.BLOCK).distinct().count() <= n // 32 + 1
+    assert scanned(ordered) == brute(data)
 
 
 def test_no_large_group_leaves_a_plain_window(spark):

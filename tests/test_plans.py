@@ -95,6 +95,12 @@ def test_step_by_step(spark, season, capsys):
     assert scored.count() == others.na.drop(subset=[*MODEL_FEATURES, "target"]).count()
     values = {row.metric: row.value for row in summary.collect()}
     assert values["overall_accuracy"] + values["non_top_rate_all"] == pytest.approx(1)
+    series = {(row.metric, row.rotation): row.value for row in summary.where("rotation IS NOT NULL").collect()}
+    for rotation, in scored.select("receiving_rotation").distinct().collect():
+        here = scored.where(F.col("receiving_rotation") == rotation)
+        want = here.agg(F.avg("pred_entropy"), F.avg(F.col("chose_non_top").cast("double"))).first()
+        assert series["entropy_by_rotation", rotation] == pytest.approx(want[0])
+        assert series["non_top_by_rotation", rotation] == pytest.approx(want[1])
     api.print_predictability_summary(summary, "test")
     assert "overall_accuracy" in capsys.readouterr().out
     again, targets = api.encode_target(others, rows)
