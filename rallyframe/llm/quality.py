@@ -19,6 +19,8 @@ FAMILY_BITS, FAMILIES = 16, 4
 #: Rows that a model is fitted on, at most, and bytes of a text among them.
 SAMPLE_ROWS, SAMPLE_DOC_BYTES = 3000, 1 << 16
 ROUNDS, RATE, DECAY = 60, 0.3, 1e-4
+#: Sample rows that a step of the fit has in hand.
+BLOCK_ROWS = 250
 RESULTS = [
     "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept",
 ]
@@ -124,24 +126,34 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fit(places: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression by full-batch steps with their own rate for each weight."""
+    """Logistic regression by full-batch steps with their own rate for each weight, a block of rows at a time."""
     size = FAMILIES << FAMILY_BITS
     weights, shift = np.zeros(size), 0.0
-    place, share = np.concatenate(places), np.concatenate(shares).astype(np.float64)
-    row = np.repeat(np.arange(len(places)), [len(p) for p in places])
+    blocks = []
+    for begin in range(0, len(places), BLOCK_ROWS):
+        own = places[begin : begin + BLOCK_ROWS]
+        row = np.repeat(np.arange(len(own)), [len(p) for p in own])
+        share = np.concatenate(shares[begin : begin + BLOCK_ROWS])
+        blocks.append((slice(begin, begin + len(own)), row.astype(np.int32), np.concatenate(own), share))
     balance = np.where(labels > 0, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6)) / len(labels)
     # rare buckets are damped: their spread over the rows stays small, that of common ones is brought to one
-    spread = np.sqrt(np.bincount(place, weights=share * share, minlength=size) / len(places)) + 0.01
-    share = share / spread[place]
+    spread = np.zeros(size)
+    for _, _, place, share in blocks:
+        spread += np.bincount(place, weights=share * share, minlength=size)
+    spread = np.sqrt(spread / len(places)) + 0.01
     first, second = np.zeros(size), np.zeros(size)
     for k in range(1, ROUNDS + 1):
-        p = sigmoid(np.bincount(row, weights=weights[place] * share, minlength=len(labels)) + shift)
-        pull = (p - labels) * balance
-        slope = np.bincount(place, weights=pull[row] * share, minlength=size) + DECAY * weights
+        slope, change = DECAY * weights, 0.0
+        scaled = weights / spread
+        for own, row, place, share in blocks:
+            raw = np.bincount(row, weights=scaled[place] * share, minlength=own.stop - own.start) + shift
+            pull = (sigmoid(raw) - labels[own]) * balance[own]
+            slope += np.bincount(place, weights=pull[row] * share, minlength=size) / spread
+            change += pull.sum()
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope * slope
         weights -= RATE * 0.1 * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-4)
-        shift -= RATE * pull.sum()
+        shift -= RATE * change
     return weights / spread, shift
 
 
