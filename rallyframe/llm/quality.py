@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from rallyframe.llm import textbytes as T
 from rallyframe.llm.inputs import documents, result_schema, unpacked
-from rallyframe.llm.samples import labelled_sample, platt, sigmoid
+from rallyframe.llm.samples import gathered, labelled_sample, platt, sigmoid
 
 #: Buckets of each family of n-grams: words, pairs of words, three characters, five characters.
 FAMILY_BITS, FAMILIES = 16, 4
+SIZE = FAMILIES << FAMILY_BITS
 #: Rows that a model is fitted on, at most, and bytes of a text among them.
 SAMPLE_ROWS, SAMPLE_DOC_BYTES = 3000, 1 << 16
 ROUNDS, RATE, DECAY = 60, 0.3, 1e-4
@@ -125,30 +126,69 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _fit(places: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
+@dataclass
+class _Block:
+    """Sparse features of a few sample rows: bucket and share of each n-gram, and where each row's begin."""
+
+    places: np.ndarray
+    shares: np.ndarray
+    heads: np.ndarray
+    labels: np.ndarray
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """The weighted sum of every row; every row has a last entry of share 0."""
+        return np.add.reduceat(weights[self.places] * self.shares, self.heads)
+
+    def back(self, values: np.ndarray) -> np.ndarray:
+        """The sum over rows of value times share, by bucket."""
+        counts = np.diff(np.append(self.heads, len(self.places)))
+        return np.bincount(self.places, weights=np.repeat(values, counts) * self.shares, minlength=SIZE)
+
+
+def _blocks(rows: Iterator) -> tuple[list[_Block], list[_Block]]:
+    """The rows to fit on and those to calibrate on, in blocks."""
+    done: tuple[list[_Block], list[_Block]] = ([], [])
+    parts: tuple[list, list] = ([], [])
+
+    def close(side: int) -> None:
+        if part := parts[side]:
+            counts = np.array([len(p) for p, _, _ in part])
+            done[side].append(
+                _Block(
+                    np.concatenate([p for p, _, _ in part]),
+                    np.concatenate([s for _, s, _ in part]),
+                    np.cumsum(counts) - counts,
+                    np.array([y for _, _, y in part], np.float64),
+                )
+            )
+            part.clear()
+
+    for row in rows:
+        side = int(row["fold"] == 0)
+        places = np.append(np.frombuffer(row["places"], "<i4"), np.int32(0))
+        shares = np.append(np.frombuffer(row["shares"], "<f4"), np.float32(0))
+        parts[side].append((places, shares, row["label"]))
+        if len(parts[side]) == BLOCK_ROWS:
+            close(side)
+    close(0)
+    close(1)
+    return done
+
+
+def _fit(blocks: list[_Block], labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression by full-batch steps with their own rate for each weight, a block of rows at a time."""
-    size = FAMILIES << FAMILY_BITS
-    weights, shift = np.zeros(size), 0.0
-    blocks = []
-    for begin in range(0, len(places), BLOCK_ROWS):
-        own = places[begin : begin + BLOCK_ROWS]
-        row = np.repeat(np.arange(len(own)), [len(p) for p in own])
-        share = np.concatenate(shares[begin : begin + BLOCK_ROWS])
-        blocks.append((slice(begin, begin + len(own)), row.astype(np.int32), np.concatenate(own), share))
-    balance = np.where(labels > 0, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6)) / len(labels)
+    weights, shift = np.zeros(SIZE), 0.0
+    good, bad = (0.5 / max(part, 1e-6) / len(labels) for part in (labels.mean(), 1 - labels.mean()))
     # rare buckets are damped: their spread over the rows stays small, that of common ones is brought to one
-    spread = np.zeros(size)
-    for _, _, place, share in blocks:
-        spread += np.bincount(place, weights=share * share, minlength=size)
-    spread = np.sqrt(spread / len(places)) + 0.01
-    first, second = np.zeros(size), np.zeros(size)
+    spread = sum(np.bincount(b.places, weights=b.shares * b.shares, minlength=SIZE) for b in blocks)
+    spread = np.sqrt(spread / len(labels)) + 0.01
+    first, second = np.zeros(SIZE), np.zeros(SIZE)
     for k in range(1, ROUNDS + 1):
         slope, change = DECAY * weights, 0.0
-        scaled = weights / spread
-        for own, row, place, share in blocks:
-            raw = np.bincount(row, weights=scaled[place] * share, minlength=own.stop - own.start) + shift
-            pull = (sigmoid(raw) - labels[own]) * balance[own]
-            slope += np.bincount(place, weights=pull[row] * share, minlength=size) / spread
+        scaled = (weights / spread).astype(np.float32)
+        for block in blocks:
+            pull = (sigmoid(block.sums(scaled) + shift) - block.labels) * np.where(block.labels > 0, good, bad)
+            slope += block.back(pull) / spread
             change += pull.sum()
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope * slope
@@ -162,22 +202,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
 
     With labels of one kind or none, every document gets the share of good ones (a half if there is no label).
     """
-    sample = labelled_sample(docs, labels, "quality", sample_rows, SAMPLE_DOC_BYTES)
-    rows = sample.mapInArrow(_features, "label int, fold int, places binary, shares binary").limit(2 * sample_rows).collect()
-    y = np.array([r["label"] for r in rows], np.float64)
+    sample = labelled_sample(docs, labels, "quality", sample_rows, SAMPLE_DOC_BYTES).limit(2 * sample_rows)
+    fitting, held = _blocks(gathered(sample.mapInArrow(_features, "label int, fold int, places binary, shares binary")))
+    y = np.concatenate([np.empty(0), *(b.labels for b in fitting + held)])
     if not len(y) or y.min() == y.max():
         part = (y.sum() + 0.5) / (len(y) + 1)
         return QualityModel(np.zeros((FAMILIES, 1 << FAMILY_BITS), np.float32), 0.0, 1.0, float(np.log(part / (1 - part))))
-    fold = np.array([r["fold"] for r in rows])
-    places = [np.frombuffer(r["places"], "<i4") for r in rows]
-    shares = [np.frombuffer(r["shares"], "<f4") for r in rows]
-    fitting = np.flatnonzero(fold != 0)
-    if y[fitting].min() == y[fitting].max():
-        fitting = np.arange(len(y))
-    weights, shift = _fit([places[k] for k in fitting], [shares[k] for k in fitting], y[fitting])
-    held = np.flatnonzero(fold == 0) if (fold == 0).any() else fitting
-    raw = np.array([(weights[places[k]] * shares[k]).sum() + shift for k in held])
-    slope, level = platt(raw, y[held])
+    own = np.concatenate([np.empty(0), *(b.labels for b in fitting)])
+    if not len(own) or own.min() == own.max() or not held:
+        fitting = held = fitting + held
+        own = y
+    weights, shift = _fit(fitting, own)
+    raw = np.concatenate([b.sums(weights) for b in held]) + shift
+    slope, level = platt(raw, np.concatenate([b.labels for b in held]))
     return QualityModel(weights.reshape(FAMILIES, -1).astype(np.float32), shift, slope, level)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from rallyframe.llm.inputs import ship
+from rallyframe.session import settle
 
 
 def labelled_sample(
@@ -34,6 +37,11 @@ def labelled_sample(
     )
 
 
+def gathered(sample: DataFrame) -> Iterator[Row]:
+    """The rows of a bounded sample, one stored partition after the other, so that the driver holds no second copy."""
+    return settle(sample).toLocalIterator()
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
