@@ -11,56 +11,35 @@ from rallyframe.operators.ordered import Ordered, row_number
 from rallyframe.schema import UNSEEN
 from rallyframe.session import settle
 
-# Number of cut points that spread the labels over tasks before they are numbered.
-CUT_POINTS = 256
-
-# Up to this many labels are numbered in one task; the number is counted, not assumed.
-SMALL_DICTIONARY = 100_000
+# The range of label order that a stored label was written in.
+RANGE = "__range"
 
 
 def distinct_labels(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
     return df.select(*keys, label).where(F.col(label).isNotNull()).distinct()
 
 
-def rank_small(labels: DataFrame, label: str, keys: Sequence[str] = (), index: str = "idx") -> DataFrame:
-    """0-based place of every label in code-point order, per combination of keys; one task per combination."""
-    numbered = Ordered.bounded(labels.withColumn("__all", F.lit(0)), ["__all", *keys], [label])
-    return _indexed(numbered, label, keys, index)
-
-
-def rank_spread(labels: DataFrame, label: str, keys: Sequence[str] = (), index: str = "idx") -> DataFrame:
-    """The same for any number of distinct labels.
+def spread_labels(labels: DataFrame, label: str, ranges: int | None = None) -> DataFrame:
+    """Labels stored in ranges of their order, whose number follows the amount of labels unless it is given.
 
-    Labels are spread over ranges between cut points, a deterministic sample of the labels
-    themselves, and numbered range by range, so no task sees all of them.
+    No task sees all labels, and the stored ranges do not change when a task is repeated.
     """
-    sample = (
-        labels.select(label)
-        .distinct()
-        .orderBy(F.xxhash64(label), label)
-        .limit(CUT_POINTS)
-        .agg(F.array_sort(F.collect_list(label)).alias("__cuts"))
-    )
-    block = F.size(F.filter("__cuts", lambda cut: cut <= F.col(label)))
-    # One fixed key stands in where the numbering is not per key.
-    rows = labels.withColumns({"__all": F.lit(0), "__cuts": sample.scalar()})
-    ordered = Ordered.by_block(rows, ["__all", *keys], [label], block).map(lambda df: df.drop("__cuts"))
-    return _indexed(ordered, label, keys, index)
+    by_range = labels.repartitionByRange(F.col(label)) if ranges is None else labels.repartitionByRange(ranges, label)
+    return settle(by_range.withColumn(RANGE, F.spark_partition_id()))
 
 
-def _indexed(ordered: Ordered, label: str, keys: Sequence[str], index: str) -> DataFrame:
-    numbered = ordered.scan(__place=row_number()).df
+def rank_labels(spread: DataFrame, label: str, keys: Sequence[str] = (), index: str = "idx") -> DataFrame:
+    """0-based place of every label in code-point order, per combination of keys, range by range."""
+    # one fixed key stands in where the numbering is not per key
+    rows = spread.withColumn("__all", F.lit(0))
+    numbered = Ordered.by_block(rows, ["__all", *keys], [label], F.col(RANGE)).scan(__place=row_number()).df
     return numbered.select(*keys, label, (F.col("__place") - 1).cast("int").alias(index))
 
 
 def fit_dictionary(df: DataFrame, label: str, keys: Sequence[str] = (), index: str = "idx") -> DataFrame:
-    """Dictionary (keys, label, index) of the labels in one column.
-
-    The distinct labels are stored first, so the data is read once however they are numbered.
-    """
-    labels = settle(distinct_labels(df, label, keys))
-    rank = rank_small if labels.count() <= SMALL_DICTIONARY else rank_spread
-    return settle(rank(labels, label, keys, index))
+    """Dictionary (keys, label, index) of the labels in one column."""
+    spread = spread_labels(distinct_labels(df, label, keys), label)
+    return settle(rank_labels(spread, label, keys, index))
 
 
 def fit_dictionaries(

@@ -143,9 +143,12 @@ def test_both_ways_to_number_labels_agree(spark, keys):
     rows = [(f"k{n % 3}", f"-{n * 7919 % 4001}") for n in range(3000)]
     df = spark.createDataFrame(rows, "k string, label string")
     distinct = L.distinct_labels(df, "label", keys)
-    small = sorted(L.rank_small(distinct, "label", keys).collect())
-    spread = sorted(L.rank_spread(distinct, "label", keys).collect())
-    assert small == spread
+    small, spread, free = (
+        sorted(L.rank_labels(L.spread_labels(distinct, "label", ranges), "label", keys).collect())
+        for ranges in (1, 7, None)
+    )
+    assert small == spread == free
+    assert L.spread_labels(distinct, "label", 7).select(L.RANGE).distinct().count() == 7
     if not keys:
         labels = sorted({label for _, label in rows})
         assert [tuple(row) for row in small] == [(label, place) for place, label in enumerate(labels)]
