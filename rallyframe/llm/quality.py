@@ -202,8 +202,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
 
     With labels of one kind or none, every document gets the share of good ones (a half if there is no label).
     """
-    sample = labelled_sample(docs, labels, "quality", sample_rows, SAMPLE_DOC_BYTES).limit(2 * sample_rows)
-    fitting, held = _blocks(gathered(sample.mapInArrow(_features, "label int, fold int, places binary, shares binary")))
+    sample = labelled_sample(docs, labels, "quality", sample_rows, SAMPLE_DOC_BYTES)
+    features = sample.mapInArrow(_features, "label int, fold int, places binary, shares binary")
+    fitting, held = _blocks(gathered(features, 2 * sample_rows))
     y = np.concatenate([np.empty(0), *(b.labels for b in fitting + held)])
     if not len(y) or y.min() == y.max():
         part = (y.sum() + 0.5) / (len(y) + 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row
@@ -13,9 +14,15 @@ from rallyframe.session import settle
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, rows: int, doc_bytes: int, where: Column | None = None
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    rows: int,
+    doc_bytes: int,
+    where: Column | None = None,
+    more: tuple[Column, ...] = (),
 ) -> DataFrame:
-    """doc_id, text, label and `fold` (0 to 4) of at most `rows` labelled documents of at most `doc_bytes` bytes.
+    """doc_id, text, label, `fold` (0 to 4) and `more` of at most `rows` labelled documents of at most `doc_bytes` bytes.
 
     The rows with the least hashes of their id are taken, so that the sample is random and the same in every run. Null
     labels and ids are left out.
@@ -28,18 +35,19 @@ def labelled_sample(
         usable = usable.filter(where)
     # at most `rows` short rows, so they may be sent to every task
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"))
+    text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text")
+    texts = docs.select("doc_id", text, *more)
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)).cast("int").alias("fold")
     return (
         texts.filter(F.octet_length("text") <= doc_bytes)
         .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "text", "label", fold)
+        .select(*texts.columns, "label", fold)
     )
 
 
-def gathered(sample: DataFrame) -> Iterator[Row]:
-    """The rows of a bounded sample, one stored partition after the other, so that the driver holds no second copy."""
-    return settle(sample).toLocalIterator()
+def gathered(sample: DataFrame, rows: int) -> Iterator[Row]:
+    """At most `rows` rows, one stored partition after the other, so that the driver holds no second copy."""
+    return islice(settle(sample).toLocalIterator(), rows)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
