@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.llm.inputs import documents, result_schema
+from rallyframe.llm.inputs import documents, result_schema, ship
 from rallyframe.llm.wordbpe import encoded
 from rallyframe.session import settle
 
@@ -120,6 +120,7 @@ def packed(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     than a leaf or FAN_IN * CARRIED_BINS bins.
     An empty table gives an empty result; pieces that equal each other in every column may swap places.
     """
+    ship(pieces.sparkSession)
     kept = [name for name in pieces.columns if name.lower() not in ("sequence_id", "offset")]
     items = settle(
         pieces.select(
