@@ -130,7 +130,8 @@ def cross_entropy_difference(
             own = np.concatenate([C.unplanes(x[half], "<u8") for x in raw]).astype(np.int64)
             sums.append(np.bincount(back, weights=own, minlength=len(distinct)).astype("<u8")[back])
         said = [C.planes(a) + C.planes(b) for a, b in zip(*(np.split(x, ends) for x in sums))]
-        return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "bits": pa.array(said, pa.binary())})
+        names = {"chunk": rows.column("chunk"), "bucket": rows.column("bucket")}
+        return pa.table(names | {"bits": pa.array(said, pa.binary())})
 
     def score(key: tuple[pa.Scalar, ...], rows: pa.Table, said: pa.Table) -> pa.Table:
         grams = Grams(rows, tokenizer)

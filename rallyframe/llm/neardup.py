@@ -114,6 +114,11 @@ def plausible(n_a: Column, n_b: Column, a: Column, b: Column, percent: int) -> C
     return sizes & bound & (1 - differing / (BANDS * ROWS) >= percent / 100 - SLACK)
 
 
+def _lists(table: np.ndarray) -> pa.Array:
+    flat = pa.array(table.reshape(-1))
+    return pa.FixedSizeListArray.from_arrays(flat, table.shape[1]).cast(pa.list_(pa.int64()))
+
+
 def _signatures(source: DataFrame, size: int) -> DataFrame:
     """doc_id, n, set_a, set_b, bands and sketch of every document."""
 
@@ -141,8 +146,8 @@ def _signatures(source: DataFrame, size: int) -> DataFrame:
                         pa.array(n, pa.int64()),
                         pa.array(sums[0]),
                         pa.array(sums[1]),
-                        pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), BANDS).cast(pa.list_(pa.int64())),
-                        pa.FixedSizeListArray.from_arrays(pa.array(sketch.reshape(-1)), 2 * WORDS).cast(pa.list_(pa.int64())),
+                        _lists(bands),
+                        _lists(sketch),
                     ],
                     names=["doc_id", "n", "set_a", "set_b", "bands", "sketch"],
                 )
@@ -180,7 +185,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
                 [batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"]
             )
 
-    return pairs.join(left, "a").join(right, "b").select("a", "text_a", "b", "text_b").mapInArrow(confirm, "a long, b long")
+    with_texts = pairs.join(left, "a").join(right, "b").select("a", "text_a", "b", "text_b")
+    return with_texts.mapInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -190,10 +196,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     words between ASCII white space; fewer words are one shingle). component_id is the least doc_id that links reach.
 
     Equal sets are one class from the start. MinHash samples of each class give band keys and, folded by parity, an odd
-    sketch; a second bitmap folds the whole set. Classes with a band in common are candidates: first each with the most connected member of its buckets,
-    then with that of every bucket, then all of a bucket with each other, each time as far as they are still in
-    different components: that stays in proportion to a bucket even where near copies fill it. A candidate passes if sizes and bitmaps let it, and
-    counts if the full sets say so. All pairs of a bucket are thereby decided or known to be connected, and never listed.
+    sketch; a second bitmap folds the whole set. Classes with a band in common are candidates: first each with the most
+    connected member of its buckets, then with that of every bucket, then all of a bucket with each other, each time as
+    far as they are still in different components: that stays in proportion to a bucket even where near copies fill it.
+    A candidate passes if sizes and bitmaps let it, and counts if the full sets say so. All pairs of a bucket are thereby
+    decided or known to be connected, and never listed.
 
     Documents without words are linked with nothing, and so are null ids, which are kept. Rows that share an id are one
     document with several texts. Repeated rows stay. An empty table gives an empty result.

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,7 +125,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, carry: Iterable[str] = ()
 
     def keep(key: tuple[pa.Scalar, ...], rows: pa.Table, said: pa.Table) -> pa.Table:
         found, note = Windows(rows, window), notes + key[0].as_py()
-        own = said.filter(pa.compute.equal(said.column("bucket"), note)).column("bits")[0].as_py()
+        own = said.filter(pc.equal(said.column("bucket"), note)).column("bits")[0].as_py()
         maybe = np.unpackbits(np.frombuffer(own, np.uint8), count=len(found.keys)).astype(np.bool_)
         later = np.zeros(len(found.keys), np.bool_)
         later[maybe] = C.answers(said, exact, buckets, found.keys[maybe])

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -311,7 +312,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, carry: Iterable[str] = ())
     def keep(key: tuple[pa.Scalar, ...], rows: pa.Table, said: pa.Table) -> pa.Table:
         found, note = Segments(rows, length), notes + key[0].as_py()
         keys, _, back = found.keys()
-        own = said.filter(pa.compute.equal(said.column("bucket"), note)).column("bits")[0].as_py()
+        own = said.filter(pc.equal(said.column("bucket"), note)).column("bits")[0].as_py()
         maybe, hot = np.unpackbits(np.frombuffer(own, np.uint8), count=2 * len(keys)).astype(np.bool_).reshape(2, -1)
         found.take(maybe[back], hot[back])
         gone = found.removed(said, exact, buckets)
