@@ -18,7 +18,7 @@ from rallyframe.session import settle
 #: Bytes of benchmark text whose phrases one pass over the documents looks for, about.
 PASS_BYTES = 8 << 20
 #: Bytes of text in a shard that gets an index, about.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 RESULTS = ["doc_id", "n_words", "n_hit", "items", "spans", "cleaned"]
 
 

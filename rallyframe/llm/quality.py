@@ -107,7 +107,7 @@ class QualityModel:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sparse features of sample rows: family * buckets + bucket, and the share in the family."""
     for batch in batches:
-        for first, end, data, bounds in T.slices(batch.column("text")):
+        for first, end, data, bounds in T.slices(batch.column("text"), 1 << 18):
             starts, ends, words = T.word_spans(data, bounds, T.NOT_SPACE)
             families = ngrams(data, bounds, T.span_prints(data, starts, ends), words)
             places, shares = [], []

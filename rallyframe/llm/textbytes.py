@@ -11,7 +11,7 @@ U64 = np.uint64
 #: Fixed odd multipliers and seeds of the fingerprints.
 M1, M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 LANE, STEP, SECOND = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(*ranges: tuple[int, int]) -> np.ndarray:
