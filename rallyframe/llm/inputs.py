@@ -12,8 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Texts go to Python in Arrow batches of about so many bytes; Spark's own value fills an executor's off-heap memory.
+BATCH_SETTING, BATCH_BYTES, SPARK_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20, 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has a value of its own."""
+    if spark.conf.get(BATCH_SETTING).strip("b") == str(SPARK_BATCH_BYTES):
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once for each application: their Python need not have it installed."""
+    small_batches(spark)
     context = spark.sparkContext
     root = Path(__file__).resolve().parent.parent
     if getattr(context, "rallyframe_shipped", False) or not root.is_dir():
