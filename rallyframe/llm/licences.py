@@ -51,6 +51,7 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-NC-ND-4.0 notice": "Licensed under CC BY-NC-ND 4.0.",
     "CC0-1.0 notice": "Released into the public domain under CC0 1.0.",
+    "All rights reserved notice": "All rights reserved.",
     "Proprietary notice": "All rights reserved. No part of this work may be reproduced without written permission.",
 }
 RESULTS = ["doc_id", "n_segments", "licences", "best_licence", "best_dice"]
