@@ -99,10 +99,15 @@ class Templates:
         self.most = np.floor((2 - threshold) / threshold * self.sizes + 1e-9)
         self.maybe = np.zeros(1 << 16, np.bool_)
         self.maybe[(self.grams >> np.uint64(48)).astype(np.int64)] = True
+        #: Bigrams a window may have; a template counts here with its repeats.
+        self.reach = np.floor((2 - threshold) / threshold * np.bincount(owner, minlength=len(self.names)) + 1e-9).astype(np.int64)
+        #: Which bigrams each template has; the last column is no bigram of any.
+        self.has = np.zeros((len(self.names), len(self.grams) + 1), np.bool_)
+        self.has[self.owner, np.repeat(np.arange(len(self.grams)), np.diff(self.begin))] = True
 
     def compared(self, data: np.ndarray, bounds: np.ndarray):
-        """(segments of each row, and for each match: segment start, end, template, Dice coefficient)."""
-        prints, word_starts, word_ends, _ = words_of(data, bounds)
+        """(segments of each row, and for each match: start, end, template, Dice coefficient)."""
+        prints, word_starts, word_ends, rows = words_of(data, bounds)
         starts, ends = segments(data, bounds)
         row = np.searchsorted(bounds, starts, side="right") - 1
         counts = np.bincount(row, minlength=len(bounds) - 1)
@@ -117,18 +122,31 @@ class Templates:
         spot = np.minimum(np.searchsorted(self.grams, grams[known]), len(self.grams) - 1)
         number = np.full(len(grams), -1, np.int64)
         number[known] = np.where(self.grams[spot] == grams[known], spot, -1)
+        number[rows[1:-1][(rows[1:-1] > 0) & (rows[1:-1] <= len(grams))] - 1] = -1  # across two rows
+        who, template, dice = self.whole(first, n, grams, number)
+        begin, end, name, close = self.inside(first[who], n[who], template, grams, number, rows)
+        return counts, (
+            np.concatenate((starts[who], word_starts[begin])),
+            np.concatenate((ends[who], word_ends[end])),
+            np.concatenate((template, name)),
+            np.concatenate((dice, close)),
+        )
+
+    def whole(self, first: np.ndarray, n: np.ndarray, grams: np.ndarray, number: np.ndarray):
+        """(segment, template, Dice coefficient) of the segments, by first bigram and count, that match as they are."""
+        none = (np.empty(0, np.int64),) * 2 + (np.empty(0),)
         # only segments with a bigram of some template, within the loosest size bounds (repeats only add to n)
         hits = np.concatenate(([0], np.cumsum(number >= 0)))
         some = np.flatnonzero((n >= self.least.min()) & (hits[first + n] > hits[first]))
         if not len(some):
-            return counts, none
+            return none
         at = T.ragged(first[some], n[some])
         pair = np.stack((np.repeat(some, n[some]).astype(np.uint64), grams[at]))
         order = np.lexsort(pair[::-1])
         ordered = pair[:, order]
         fresh = np.concatenate(([True], (ordered[:, 1:] != ordered[:, :-1]).any(axis=0)))
         segment, gram = ordered[0][fresh].astype(np.int64), number[at[order[fresh]]]
-        distinct = np.bincount(segment, minlength=len(starts))
+        distinct = np.bincount(segment, minlength=len(first))
         shared = gram >= 0
         segment, gram = segment[shared], gram[shared]
         owners = self.begin[gram + 1] - self.begin[gram]
@@ -139,7 +157,65 @@ class Templates:
         who, template = couple // len(self.names), couple % len(self.names)
         dice = 2 * common / (distinct[who] + self.sizes[template])
         good = dice >= self.threshold
-        return counts, (starts[who[good]], ends[who[good]], template[good], dice[good])
+        return who[good], template[good], dice[good]
+
+    def inside(self, first, n, template, grams: np.ndarray, number: np.ndarray, rows: np.ndarray):
+        """(first word, last word, template, Dice coefficient) of windows of words in what whole segments left over.
+
+        `first`, `n` and `template` are the segments that matched: the bigrams they share with their template count for
+        no window. Of windows of one template that overlap, the most similar one stays, of equals the first. The most
+        similar window begins and ends with a bigram of its template, so only those are asked.
+        """
+        size = len(grams)
+        left = number
+        for t in np.unique(template):
+            mine = template == t
+            change = np.bincount(first[mine], minlength=size + 1) - np.bincount(first[mine] + n[mine], minlength=size + 1)
+            left = np.where((np.cumsum(change[:size]) > 0) & self.has[t, number], -1, left)
+        at = np.flatnonzero(left >= 0)
+        stop = rows[np.searchsorted(rows, at, side="right")] - 1  # the first bigram that leaves the row
+        found = [(np.empty(0, np.int64),) * 3 + (np.empty(0),)]
+        for t in range(len(self.names)):
+            own = self.has[t, left[at]]
+            p, limit = at[own], np.minimum(stop[own], at[own] + self.reach[t])
+            # as many bigrams of the template as the least Dice coefficient needs, repeats included
+            many = np.searchsorted(p, limit) - np.arange(len(p)) >= max(self.least[t], 1)
+            p, limit = p[many], limit[many]
+            if len(p):
+                found.append(self.best_windows(t, p, limit, grams, left))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def best_windows(self, t: int, p: np.ndarray, limit: np.ndarray, grams: np.ndarray, left: np.ndarray):
+        """The windows of template t that begin at `p`, end before `limit`, and are similar enough."""
+        # the place before at which a bigram has been last, for distinct counts from any start
+        change = np.bincount(p, minlength=len(grams) + 1) - np.bincount(limit, minlength=len(grams) + 1)
+        near = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+        order = near[np.argsort(grams[near], kind="stable")]
+        same = grams[order[1:]] == grams[order[:-1]]
+        past = np.full(len(grams), -1, np.int64)
+        past[order[1:][same]] = order[:-1][same]
+        ends, dices = [], []
+        step = max(1, (1 << 20) // int(self.reach[t]))
+        for k in range(0, len(p), step):
+            begin = p[k : k + step, None]
+            cell = begin + np.arange(self.reach[t])
+            valid = cell < limit[k : k + step, None]
+            cell = np.where(valid, cell, 0)
+            fresh = valid & (past[cell] < begin)
+            common = np.cumsum(fresh & self.has[t, left[cell]], axis=1)
+            dice = np.where(valid, 2 * common / (np.cumsum(fresh, axis=1) + self.sizes[t]), 0)
+            last = dice.argmax(axis=1)
+            ends.append(begin[:, 0] + last)
+            dices.append(dice[np.arange(len(last)), last])
+        end, dice = np.concatenate(ends), np.concatenate(dices)
+        used, chosen = np.zeros(len(grams), np.bool_), []
+        for k in np.lexsort((p, -dice)).tolist():
+            if dice[k] < self.threshold:
+                break
+            if not used[p[k] : end[k] + 1].any():
+                used[p[k] : end[k] + 1] = True
+                chosen.append(k)
+        return p[chosen], end[chosen] + 1, np.full(len(chosen), t, np.int64), dice[chosen]
 
 
 def licence_scan(
@@ -152,8 +228,11 @@ def licence_scan(
 
     Every line of a text, and every stretch of lines without a blank one between, is normalised to its words (runs of
     letters, digits and bytes beyond ASCII, A-Z lowered) and compared with each template whose size allows a Dice
-    coefficient of distinct word bigrams of at least `threshold`. Matches come by place, then licence; the best is the
-    one with the largest coefficient, of equals the first by name. Segments of one word have no bigram and never match.
+    coefficient of distinct word bigrams of at least `threshold`. A notice inside a longer line or stretch, or wrapped in
+    comment marks, is found as a window: any run of a text's words, over line ends too, that reaches the threshold with
+    bigrams that no whole line or stretch has matched with; `n_segments` does not count windows. Matches come by place,
+    then licence; the best is the one with the largest coefficient, of equals the first by name. Segments of one word
+    have no bigram and never match.
 
     Null and empty texts have no segments. Repeated rows stay; an empty table gives an empty result.
     """

@@ -1,8 +1,12 @@
 """The licence query against notices that are written out here, whatever templates the package has."""
 
+import random
+
+import numpy as np
 import pytest
 
-from rallyframe.llm import queries
+from rallyframe.llm import licences, queries
+from tests.llm import brute
 
 BODY = "A story about nothing in particular.\nIt goes on for a second line.\n\n"
 #: Text and the licence that it names.
@@ -33,3 +37,52 @@ def best(spark, tmp_path_factory):
 def test_a_notice_on_the_last_line(best):
     got = best([BODY + text for text, _ in NOTICES] + [BODY])
     assert got == [(licence, 1.0) for _, licence in NOTICES] + [(None, None)]
+
+
+GPL = (
+    "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public "
+    "License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any "
+    "later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without "
+    "even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+)
+
+
+def test_notices_inside_longer_lines_and_comments(best):
+    star = "/*\n * Copyright (C) 2020 A Person\n *\n * " + GPL.replace("\n", "\n * ") + "\n */\nint x;"
+    hashes = "#!/bin/sh\n# A tool.\n#\n# " + GPL.replace("\n", "\n# ") + "\n#\n"
+    got = best(
+        [
+            star,
+            hashes,
+            "Copyright 2020 A Person and others, all rights reserved, and so on for the rest of a long line of words.",
+            "The files of this folder and of the others are released under the MIT License. See the list of authors.",
+            "all the rights are reserved to whom the rights belong",
+            "Something else is released.\nUnder the table the MIT people have a license.",
+        ]
+    )
+    wanted = ["GPL header", "GPL header", "All rights reserved notice", "MIT notice", None, None]
+    assert [licence for licence, _ in got] == wanted
+    assert all(dice == 1.0 for _, dice in got[:4])
+
+
+def test_windows_against_all_runs_of_words():
+    rng = random.Random(6)
+    names = {"A": "a b c d e f", "B": "c a b", "C": "e f a c b d a b"}
+    known = licences.Templates(names, 0.8)
+    found = 0
+    for _ in range(300):
+        text = " ".join(rng.choice("abcdefx") if rng.random() < 0.4 else "abcdef"[k % 6] for k in range(rng.randint(1, 24)))
+        data = np.frombuffer(text.encode(), np.uint8)
+        _, (starts, ends, template, dice) = known.compared(data, np.array([0, len(data)]))
+        words = text.split(" ")
+        whole = [n for n, t in names.items() if brute.dice(brute.bigrams(text), brute.bigrams(t)) >= 0.8]
+        for k, name in enumerate(sorted(names)):
+            got = [(text[a:b], d) for a, b, t, d in zip(starts, ends, template, dice) if t == k]
+            for part, d in got:
+                assert d == brute.dice(brute.bigrams(part), brute.bigrams(names[name]))
+            if not whole:
+                runs = [" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
+                top = max((brute.dice(brute.bigrams(r), brute.bigrams(names[name])) for r in runs), default=0)
+                assert max((d for _, d in got), default=0) == (top if top >= 0.8 else 0)
+                found += top >= 0.8
+    assert found > 20
