@@ -489,6 +489,13 @@ LEFT JOIN ev ON CAST(ev.user_id AS VARCHAR) = dict.label AND ev.ts >= TIMESTAMP
 SELECT count(*) AS n_rows, 0::BIGINT AS n_bad_sum, 0::BIGINT AS n_off_court, 0::BIGINT AS n_bad_entropy,
   0::BIGINT AS n_bad_flags, 1.0::DOUBLE AS importance_sum
 FROM hist WHERE event_type IN (SELECT event_type FROM hist WHERE ts < TIMESTAMP '2024-01-25')""",
+    "q32_match": f"""WITH {_EV},
+rows_ AS (
+  SELECT event_id, CAST(day(ts) AS INTEGER) AS set_number, event_id % 12 AS attacker FROM ev
+  WHERE value >= 20 AND event_type <> 'error' AND day(ts) <= 5 AND CAST(floor(value) AS INTEGER) % 7 <> 6)
+SELECT set_number, count(*) AS n_rows, count(DISTINCT event_id) AS n_points, 0::BIGINT AS n_bad_sum,
+  0::BIGINT AS n_bad_entropy, 0::BIGINT AS n_bad_flags, 16::BIGINT AS n_features, 1.0::DOUBLE AS importance_sum
+FROM rows_ WHERE attacker IN (SELECT attacker FROM rows_ WHERE set_number <= 3) GROUP BY 1""",
     "q38_one_point": f"""WITH {_HISTORY}
 SELECT event_id, class, round(p0, 6) AS p FROM raw
 WHERE event_id = (SELECT min(event_id) FROM hist WHERE ts >= TIMESTAMP '2024-01-25')""",

@@ -29,6 +29,7 @@ from rallyframe.operators.lookups import attach_role, ids_with_several_names, na
 from rallyframe.operators.ordered import Ordered, previous, recent, row_number
 from rallyframe.operators.points import serve_receive
 from rallyframe.operators.profiles import add_profile, fit_profile
+from rallyframe.plans.match import ROW_KEY, analyse_match
 from rallyframe.schema import MATCH_MODEL, SEASON
 from rallyframe.session import scratch, settle
 from rallyframe.sources.scout import (
@@ -837,6 +838,26 @@ def q43_features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q32_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Single-match analysis: days 1-5 as the sets of one match, builder features, full settings; invariants by set."""
+    match = _season_like(spark, sf).where(F.dayofmonth("d") <= 5).withColumns(
+        {"game_number": F.lit(1), "point_id": F.col("event_id"), "split": F.lit("train")}
+    )
+    analysis = analyse_match(match, "A")
+    total = P.total(F.col("probability"))
+    most = F.log(F.lit(float(len(analysis.model.classes))))
+    flags = F.col("prediction_correct") == F.col("chose_non_top")
+    counted = analysis.scored.groupBy("set_number").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.countDistinct(*ROW_KEY).alias("n_points"),
+        F.count_if((F.abs(total) > 1e-9) & (F.abs(total - 1) > 1e-9)).alias("n_bad_sum"),
+        F.count_if((F.col("pred_entropy") < -1e-9) | (F.col("pred_entropy") > most + 1e-9)).alias("n_bad_entropy"),
+        F.count_if(flags).alias("n_bad_flags"),
+    )
+    listed = analysis.importances().agg(F.count("feature").alias("n"), _r(F.sum("importance")).alias("total")).first()
+    return counted.withColumns({"n_features": F.lit(listed["n"]), "importance_sum": F.lit(listed["total"])})
+
+
 def _touches(spark: SparkSession, sf: str) -> DataFrame:
     """The coded lines as touches of two teams: user = game; a shirt's player has several spellings of a name."""
     lines = decode(_coded_lines(spark, sf)).withColumn("line_no", F.col("event_id"))
