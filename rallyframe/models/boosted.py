@@ -19,9 +19,6 @@ from rallyframe.session import shared_folder
 # Fits that share the cluster at the same time; each is a distributed job of its own.
 PARALLEL_FITS = 4
 
-# Split points tried for a feature, at most: one for every value of an encoded label up to this many.
-MOST_BINS = 1024
-
 
 @dataclass(frozen=True)
 class BoostedModel:
@@ -59,10 +56,10 @@ class BoostedModel:
 
 
 def _bins(train: DataFrame, features: Sequence[str]) -> int:
-    """One more than the values of the widest feature, between MLlib's default of 32 and MOST_BINS."""
+    """One more than the values of the widest feature, and MLlib's default of 32 at least."""
     counted = train.agg(*[F.approx_count_distinct(name, 0.02) for name in features]).first()
     widest = int(1.1 * max(counted, default=0)) + 1
-    return min(max(widest, 32), MOST_BINS)
+    return max(widest, 32)
 
 
 def fit_boosted_model(
@@ -80,7 +77,7 @@ def fit_boosted_model(
     """Fit on rows whose integer ``target`` is a place in ``classes``; rows need every feature.
 
     ``max_bins`` is the number of bins per feature; by default it follows the widest feature, so that no two values
-    of one with up to MOST_BINS values are merged.
+    are merged.
     """
     shared_folder(train.sparkSession)  # boosting cuts its growing lineage there
     vectors = (
