@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rallyframe.llm.centroids import centre_clusters, integer_vectors
 from rallyframe.llm.crossentropy import cross_entropy_difference
 from rallyframe.llm.decontaminate import benchmark_overlap
 from rallyframe.llm.licences import TEMPLATES, licence_scan
@@ -15,9 +16,12 @@ from rallyframe.llm.neardup import near_duplicates
 from rallyframe.llm.packing import packed, token_pieces
 from rallyframe.llm.quality import fit_quality, quality_rules
 from rallyframe.llm.sharding import byte_shards
+from rallyframe.llm.spelling import counted_words, spelling_variants
 from rallyframe.llm.substrings import substring_dedup
 from rallyframe.llm.suffixes import suffix_dedup
+from rallyframe.llm.tokenshards import read_documents, shard_files, write_token_shards
 from rallyframe.llm.toxicity import fit_toxicity, toxicity
+from rallyframe.session import scratch
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,6 +124,26 @@ def op10_shards(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of all documents, the more frequent words one edit away, and the ends of their chains."""
+    return spelling_variants(counted_words(_documents(spark, sf), length=6, least=5, one_in=199), times=5)
+
+
+def op12_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as integer vectors in 16 clusters after three rounds."""
+    vectors = integer_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"), size=64, scale=64)
+    return centre_clusters(vectors, n=16, rounds=3, seed="1:", size=64)
+
+
+def op13_token_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's place and ids, as read back from the written shards."""
+    path = scratch(spark)
+    write_token_shards(_documents(spark, sf), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return read_documents(shard_files(spark, path)).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": op1_substrings,
     "op2_licences": op2_licences,
@@ -131,6 +155,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_shards": op10_shards,
+    "op11_spelling": op11_spelling,
+    "op12_centroids": op12_centroids,
+    "op13_token_shards": op13_token_shards,
 }
 
 #: Words of whole texts, in order.
@@ -145,7 +172,51 @@ _QUOTED = ", ".join(
 )
 _BIGRAMS = "list_distinct([words[p] || ' ' || words[p + 1] FOR p IN range(1, len(words))])"
 
+
+
+def _centroid_sql(rounds: int) -> str:
+    """Rounds written out: every vector against every centroid, then floors of the means."""
+    parts = []
+    for k in range(rounds + 1):
+        parts.append(f"""
+  gaps{k} AS (
+    SELECT row, cluster, CAST(sum((x - c) * (x - c)) AS BIGINT) AS distance
+    FROM numbers JOIN centroids{k} USING (i) GROUP BY row, cluster),
+  near{k} AS (
+    SELECT row, cluster, distance FROM gaps{k}
+    QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, cluster) = 1)""")
+        if k < rounds:
+            parts.append(f"""
+  sums{k} AS (
+    SELECT cluster, i, CAST(sum(x) AS BIGINT) AS total, count(*) AS n FROM near{k} JOIN numbers USING (row) GROUP BY cluster, i),
+  centroids{k + 1} AS (
+    SELECT cluster, i, CASE WHEN n IS NULL THEN c ELSE (total - ((total % n) + n) % n) // n END AS c
+    FROM centroids{k} LEFT JOIN sums{k} USING (cluster, i))""")
+    return ",".join(parts)
+
+
 SQL: dict[str, str] = {
+    "op12_centroids": f"""
+WITH
+  kept AS (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS row,
+      [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64),
+  numbers AS (SELECT row, unnest(range(1, 65)) AS i, unnest(v) AS x FROM kept),
+  starts AS (
+    SELECT row, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster
+    FROM kept ORDER BY sha256('1:' || vec_id) LIMIT 16),
+  centroids0 AS (SELECT cluster, i, x AS c FROM starts JOIN numbers USING (row)),
+  {_centroid_sql(3)},
+  names AS (
+    SELECT cluster, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256
+    FROM centroids3 GROUP BY cluster),
+  totals AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM near3 GROUP BY cluster),
+  whole AS (SELECT CAST(sum(distance) AS BIGINT) AS inertia FROM near3)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, cluster_inertia, inertia, centroid_sha256
+FROM kept JOIN near3 USING (row) JOIN totals USING (cluster) JOIN names USING (cluster), whole
+""",
     "op1_substrings": f"""
 WITH {_WORDS},
   starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS p FROM texts),

@@ -40,7 +40,7 @@ def _byte_classes() -> np.ndarray:
 KINDS = _byte_classes()
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -63,15 +63,18 @@ class WordBPE:
         if splits[0]["pattern"]["Regex"] != PATTERN:
             raise ValueError(f"{path}: another splitting pattern")
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
-        letters = _byte_letters()
+        letters = byte_letters()
         self.inner = np.array([vocab[x] for x in letters], np.int64)
         self.final = np.array([vocab[x + suffix] for x in letters], np.int64)
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self._merges(vocab, model["merges"])
+        self._forget()
+
+    def _merges(self, vocab: dict[str, int], merges: list) -> None:
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]
         self.width = np.int64(max(vocab.values()) + 1)
         keys = np.array([vocab[a] * int(self.width) + vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self._hash(keys, made)
-        self._forget()
 
     def _forget(self) -> None:
         self.prints = np.zeros(1 << PLACES_BITS, np.uint64)

@@ -78,7 +78,7 @@ def plain(value):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_matches_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "benchmark", "labels"):
+    for table in ("documents", "benchmark", "labels", "embeddings"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     want = duck.execute(queries.SQL[name])
     columns = sorted(c[0] for c in want.description)
@@ -187,5 +187,5 @@ def items_folder(spark, corpus, tmp_path_factory):
 def test_every_query_is_registered():
     names = entry_point.queries()
     assert {n for n in names if n.startswith("op")} == set(queries.QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert "pipeline" in names and set(queries.SQL) <= set(entry_point.oracle_sql())
