@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rallyframe.llm.bytebpe import encoded_bytes
 from rallyframe.llm.inputs import documents, ship
 from rallyframe.llm.wavelet import WaveletMatrix
+from rallyframe.session import settle
 
 #: Ids at which a shard is closed; it ends with a document, so only a longer document makes a larger one.
 SHARD_TOKENS = 1 << 22
@@ -134,7 +135,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, shard, raw in zip(*(batch.column(name).to_pylist() for name in ("part", "shard", "data"))):
+            for start, raw in zip(batch.column("start").to_pylist(), batch.column("data").to_pylist()):
                 names, bounds, matrix = open_shard(raw)
                 wide = matrix.whole().astype("<u4")
                 for at in range(0, len(names), 4096):
@@ -142,21 +143,17 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     pairs = list(zip(own[:-1].tolist(), own[1:].tolist()))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([part] * len(pairs), pa.int32()),
-                            pa.array([shard] * len(pairs), pa.int64()),
                             pa.array(names[at : at + 4096], pa.int64()),
-                            pa.array(own[:-1]),
+                            pa.array(own[:-1] + start),
                             pa.array(np.diff(own)),
                             pa.array([wide[a:b].tobytes() for a, b in pairs], pa.binary()),
                         ],
-                        names=["part", "shard", "doc_id", "own", "n_tokens", "ids"],
+                        names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    schema = "part int, shard long, doc_id long, own long, n_tokens long, ids binary"
-    found = shards.select("part", "shard", "data").mapInArrow(read, schema)
-    return found.join(shard_starts(shards), ["part", "shard"]).select(
-        "doc_id", (F.col("start") + F.col("own")).alias("start"), "n_tokens", "ids"
-    )
+    # stored, the starts have a known size: while that is small Catalyst sends them to the shards, which stay in place
+    placed = shards.join(settle(shard_starts(shards)), ["part", "shard"])
+    return placed.select("start", "data").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_counts(shards: DataFrame, tokens: Iterable[int]) -> DataFrame:
