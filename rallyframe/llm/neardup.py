@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.llm import textbytes as T
-from rallyframe.llm.components import components
+from rallyframe.llm.components import components, hot_keys, repeated, spread
 from rallyframe.llm.inputs import documents
 from rallyframe.session import settle
 
@@ -20,7 +19,8 @@ BANDS, ROWS = 56, 6
 #: Bits of an odd sketch; how far below the threshold an estimate still counts, over five standard errors.
 SKETCH_BITS, SLACK = 1024, 0.15
 WORDS = SKETCH_BITS // 64
-SETS_REMEMBERED = 64
+#: Pairs with one hub that lie in one block; bits of a cell of shingles.
+HUB_BLOCK, CELL_BITS = 256, 18
 
 
 def shingle_prints(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,36 +157,91 @@ def _signatures(source: DataFrame, size: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs `a`, `b` whose full shingle sets are similar enough."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    """The pairs `a`, `b` whose full shingle sets are similar enough.
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[bytes, np.ndarray] = OrderedDict()
-
-        def shingles(text: bytes) -> np.ndarray:
-            if text not in known:
-                data = np.frombuffer(text, np.uint8)
-                known[text] = shingle_prints(data, np.array([0, len(data)]), size)[0]
-                if len(known) > SETS_REMEMBERED:
-                    known.popitem(last=False)
-            known.move_to_end(text)
-            return known[text]
+    Pairs with one `b` lie together in blocks of HUB_BLOCK: the text of `b` comes once for each block, followed by those
+    of its partners, which stream by. No row has two texts, no task needs a whole group, and a `b` with very many
+    partners is dealt over as many places as it has blocks.
+    """
+    pairs = settle(pairs.select("a", "b"))
+    hubs = settle(pairs.groupBy("b").agg(F.expr(f"count(*) div {HUB_BLOCK} + 1").cast("int").alias("blocks")))
+    many = settle(hubs.filter("blocks > 1"))
+    block = F.pmod(F.xxhash64("a"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block")
+    partners = pairs.join(many, "b", "left").select("b", block, "a")
+    with_texts = partners.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("b", "block", "a", "text")
+    own = hubs.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select(
+        "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("a"), "text"
+    )
+    rows = with_texts.union(own).repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
 
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, prints = None, np.empty(0, np.uint64)
         for batch in batches:
-            texts = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())
-            good = []
-            for x, y in texts:
-                p, q = shingles(x), shingles(y)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * both >= percent * (len(p) + len(q) - both) and both > 0)
-            mask = pa.array(good, pa.bool_())
+            good = np.zeros(len(batch), np.bool_)
+            names = list(zip(batch.column("b").to_pylist(), batch.column("a").to_pylist()))
+            for first, _, data, bounds in T.slices(batch.column("text"), 1 << 18):
+                sets, ends = shingle_prints(data, bounds, size)
+                for k, (low, high) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist()), first):
+                    b, a = names[k]
+                    if a is None:
+                        hub, prints = b, sets[low:high].copy()
+                        continue
+                    if hub != b:
+                        raise ValueError(f"{a} came before the text of {b}")
+                    both = len(np.intersect1d(prints, sets[low:high], assume_unique=True))
+                    good[k] = both > 0 and 100 * both >= percent * (len(prints) + high - low - both)
+            mask = pa.array(good)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"]
             )
 
-    with_texts = pairs.join(left, "a").join(right, "b").select("a", "text_a", "b", "text_b")
-    return with_texts.mapInArrow(confirm, "a long, b long")
+    return rows.mapInArrow(confirm, "a long, b long")
+
+
+def _rare_shingles(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id and shingle: the rarest shingles of each text, so many that two similar enough texts have one in common.
+
+    Of n shingles in one order for all texts, sets that are alike to p percent share one among the first n - pn + 1 of
+    both. The order is by how many shingles fall into a shingle's cell of 2^18, least first: the counts of cells have a
+    fixed size, and any order of all shingles does.
+    """
+
+    def cells(prints: np.ndarray) -> np.ndarray:
+        return (T.mixed(prints ^ T.SECOND) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            for _, _, data, bounds in T.slices(batch.column("text"), 1 << 20):
+                total += np.bincount(cells(shingle_prints(data, bounds, size)[0]), minlength=len(total))
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["cell", "n"])
+
+    every = np.zeros(1 << CELL_BITS, np.int64)
+    for row in texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        every[row["cell"]] = row["n"]
+    # of equal counts the order of cells, and in a cell that of the shingles
+    place = np.empty(len(every), np.int32)
+    place[np.argsort(every, kind="stable")] = np.arange(len(every), dtype=np.int32)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("doc_id")
+            for first, _, data, bounds in T.slices(batch.column("text"), 1 << 18):
+                prints, ends = shingle_prints(data, bounds, size)
+                rank = place[cells(prints)]
+                rows, out = [], []
+                for k, (low, high) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist()), first):
+                    n = high - low
+                    order = np.lexsort((prints[low:high], rank[low:high]))
+                    out.append(prints[low:high][order[: n - -(-percent * n // 100) + 1]])
+                    rows += [k] * len(out[-1])
+                found = np.concatenate(out) if out else np.empty(0, np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(rows, pa.int64())), pa.array(found.view(np.int64))], names=["doc_id", "shingle"]
+                )
+
+    return texts.select("doc_id", "text").mapInArrow(rarest, "doc_id long, shingle long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -197,10 +252,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     Equal sets are one class from the start. MinHash samples of each class give band keys and, folded by parity, an odd
     sketch; a second bitmap folds the whole set. Classes with a band in common are candidates: first each with the most
-    connected member of its buckets, then with that of every bucket, then all of a bucket with each other, each time as
-    far as they are still in different components: that stays in proportion to a bucket even where near copies fill it.
+    connected member of its buckets, then with that of every bucket, as far as they are still in different components.
+    Members of a bucket that are still apart then are not paired with each other: of those texts the rarest shingles
+    are listed, of which two similar enough texts must share one, and only pairs that do are candidates. So texts that
+    are alike but not enough, however many, give rows in proportion to their number.
     A candidate passes if sizes and bitmaps let it, and counts if the full sets say so. All pairs of a bucket are thereby
-    decided or known to be connected, and never listed.
+    decided or known to be connected.
 
     Documents without words are linked with nothing, and so are null ids, which are kept. Rows that share an id are one
     document with several texts. Repeated rows stay. An empty table gives an empty result.
@@ -226,7 +283,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         a = described.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
         b = described.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
         near = plausible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), percent)
-        return pairs.join(a, "a").join(b, "b").filter(near).select("a", "b").distinct()
+        pairs = settle(pairs.distinct())
+        hot = hot_keys(pairs, "b")
+        dealt = spread(pairs.join(a, "a"), hot, "b", by="a")
+        return dealt.join(repeated(b, hot, "b"), ["b", "share"]).filter(near).select("a", "b")
 
     hub = F.max(F.struct("weight", (-F.col("node")).alias("minus")))
     hubs = shared.join(described.select("node", "weight"), "node").groupBy("key").agg(hub.alias("hub"))
@@ -242,10 +302,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     reached = components(links)
     side_a = reached.select(F.col("node").alias("a"), F.col("component").alias("x"))
     side_b = reached.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    hot = hot_keys(spokes, "b")
+    ends = spread(spokes.select(F.col("node").alias("a"), "b").join(side_a, "a", "left"), hot, "b", by="a")
     apart = (
-        spokes.select(F.col("node").alias("a"), "b")
-        .join(side_a, "a", "left")
-        .join(side_b, "b", "left")
+        ends.join(repeated(side_b, hot, "b"), ["b", "share"], "left")
         .filter(F.coalesce("x", "a") != F.coalesce("y", "b"))
         .select("a", "b")
     )
@@ -258,37 +318,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     open_keys = placed.groupBy("key").agg(
         F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")
     )
-    # plain columns that are never null keep the join's condition small enough to be compiled
-    parity = [F.coalesce(F.col("sketch")[WORDS + k], F.lit(0)).alias(f"p{k}") for k in range(WORDS)]
-    rest = (
+    undecided = settle(
         placed.join(open_keys.filter("x < y AND members > 2").select("key"), "key", "left_semi")
-        .join(described.select("node", F.coalesce("n", F.lit(0)).alias("n"), *parity), "node")
-        .select("key", "node", "component", "n", *[f"p{k}" for k in range(WORDS)])
-    )
-    left, right = rest.alias("l"), rest.alias("r")
-    differ = sum((F.bit_count(F.col(f"l.p{k}").bitwiseXOR(F.col(f"r.p{k}"))) for k in range(WORDS)), F.lit(0))
-    both = F.col("l.n") + F.col("r.n")
-    others = (
-        left.join(
-            right,
-            (F.col("l.key") == F.col("r.key"))
-            & (F.col("l.node") < F.col("r.node"))
-            & (F.col("l.component") != F.col("r.component"))
-            & (100 * (both - differ) >= percent * (both + differ)),
-        )
-        .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+        .select(F.col("node").alias("doc_id"), "component")
         .distinct()
     )
-    second = settle(_confirmed(likely(others), texts, size, percent))
+    listed = settle(
+        _rare_shingles(texts.join(undecided, "doc_id", "left_semi"), size, percent).join(undecided, "doc_id")
+    )
+    common = listed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    listed = listed.join(common.filter("x < y").select("shingle"), "shingle", "left_semi")
+    left = listed.select("shingle", F.col("doc_id").alias("a"), F.col("component").alias("x"))
+    right = listed.select("shingle", F.col("doc_id").alias("b"), F.col("component").alias("y"))
+    others = left.join(right, "shingle").filter("a < b AND x != y").select("a", "b").distinct()
+    second = _confirmed(likely(others), texts, size, percent)
     # an id with several texts ties their classes together
-    member = named.distinct().join(classes, ["set_a", "set_b", "n"]).select("doc_id", "node")
+    copies = settle(named.distinct())
+    of_set = ["set_a", "set_b", "n"]
+    hot = hot_keys(copies, *of_set)
+    member = (
+        spread(copies, hot, *of_set, by="doc_id").join(repeated(classes, hot, *of_set), [*of_set, "share"]).select("doc_id", "node")
+    )
     own = settle(member.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("other")))
     ties = (
         member.join(own.filter("node < other").select("doc_id", F.col("node").alias("a")), "doc_id")
         .filter("node != a")
         .select("a", F.col("node").alias("b"))
     )
-    final = components(links.union(second).union(ties))
+    final = components(settle(links.union(second).union(ties)))
     found = own.join(final, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
