@@ -13,8 +13,8 @@ from rallyframe.llm.inputs import documents, result_schema, ship
 from rallyframe.llm.wordbpe import encoded
 from rallyframe.session import settle
 
-#: Items that a leaf packs, bins that a node may pass on, and nodes that meet in the next one.
-LEAF_ITEMS, CARRIED_BINS, FAN_IN = 16_384, 512, 16
+#: Items that a node packs, on average; the part of its bins that a level has to save for another one to follow.
+LEAF_ITEMS, SAVED = 16_384, 1 / 256
 #: A bin with at most so many free places is nearly full and final.
 SLACK = 16
 
@@ -91,10 +91,7 @@ def _node(item: str, capacity: int, level: int):
         rows = rows.sort_by(item)
         places, offsets, fills = best_fit(rows.column("length").to_numpy(), capacity)
         node = key[0].as_py()
-        # the emptiest bins go on, as items of the next level; nearly full ones are final
-        rank = np.empty(len(fills), np.int64)
-        rank[np.argsort(fills, kind="stable")] = np.arange(len(fills))
-        goes_on = (fills < capacity - SLACK) & (rank < CARRIED_BINS)
+        goes_on = fills < capacity - SLACK  # nearly full bins are final, all others are items of the next level
         return pa.table(
             {
                 item: rows.column(item),
@@ -102,22 +99,21 @@ def _node(item: str, capacity: int, level: int):
                 "bin_offset": pa.array(offsets),
                 "fill": pa.array(fills[places]),
                 "goes_on": pa.array(goes_on[places]),
-                "node": pa.array(np.full(len(places), node // FAN_IN)),
             }
         )
 
     return pack
 
 
-_PACKED = "bin long, bin_offset long, fill long, goes_on boolean, node long"
+_PACKED = "bin long, bin_offset long, fill long, goes_on boolean"
 
 
 def packed(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """`pieces` (any columns and a `length` of 1 to `capacity`) with `sequence_id` and `offset`.
 
-    Leaves of about LEAF_ITEMS pieces are packed on their own. Nearly full bins are final; up to CARRIED_BINS underfull
-    ones of a node go on as items of the next level, where FAN_IN nodes meet, until one node is left. No task sees more
-    than a leaf or FAN_IN * CARRIED_BINS bins.
+    Leaves of about LEAF_ITEMS pieces are packed on their own. Nearly full bins are final; all underfull ones go on as
+    items of the next level, dealt anew over as many nodes as their number needs, until one node is left or a level has
+    saved hardly any bin: then those that are left do not fit together. No task sees more than a node's items.
     An empty table gives an empty result; pieces that equal each other in every column may swap places.
     """
     ship(pieces.sparkSession)
@@ -139,17 +135,23 @@ def packed(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     )
     maps: list[DataFrame] = []
     level, nodes = 0, leaves
+    below = bins
     while nodes > 1:
-        level, nodes = level + 1, -(-nodes // FAN_IN)
-        below = maps[-1] if maps else bins
-        open_bins = below.filter("goes_on").select(F.col("bin").alias("child"), F.col("fill").alias("length"), "node")
-        maps.append(
-            settle(
-                open_bins.distinct()
-                .groupBy("node")
-                .applyInArrow(_node("child", capacity, level), f"child long, {_PACKED}")
-            )
+        level += 1
+        open_bins = settle(
+            below.filter("goes_on").select(F.col("bin").alias("child"), F.col("fill").alias("length")).distinct()
         )
+        before = open_bins.count()
+        nodes = max(1, -(-before // LEAF_ITEMS))
+        node = F.pmod(F.xxhash64("child", F.lit(level)), F.lit(nodes)).alias("node")
+        below = settle(
+            open_bins.select("child", "length", node)
+            .groupBy("node")
+            .applyInArrow(_node("child", capacity, level), f"child long, {_PACKED}")
+        )
+        maps.append(below)
+        if nodes > 1 and before - below.select("bin").distinct().count() < SAVED * before:
+            break
     found = bins.select("item", "bin", "bin_offset")
     for into in maps:
         step = into.select(

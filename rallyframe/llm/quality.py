@@ -23,7 +23,7 @@ ROUNDS, RATE, DECAY = 60, 0.3, 1e-4
 #: Sample rows that a step of the fit has in hand.
 BLOCK_ROWS = 250
 RESULTS = [
-    "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept",
+    "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality",
 ]
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 
@@ -220,7 +220,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
 
 
 def quality_rules(docs: DataFrame, model: QualityModel, threshold: float = 0.5, carry: Iterable[str] = ()) -> DataFrame:
-    """doc_id, the counts of each text, base_failed, quality (the calibrated probability) and kept.
+    """doc_id, the counts of each text, base_failed, kept and quality (the calibrated probability).
 
     Words lie between ASCII white space. base_failed: fewer than 10 words, or over 20 in 100 of them in windows of five
     words that the text has twice or more. kept: not base_failed, and quality at least `threshold`.

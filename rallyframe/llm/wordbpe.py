@@ -2,7 +2,8 @@
 
 The file is one of the `tokenizers` library whose pieces never cross white space. Its normaliser, splitting pattern
 and merges are read from the file. Chunks of plain ASCII and Latin letters are split and merged here, many at a time; all others
-(other scripts, control characters, apostrophes, very long runs) go to the library itself: the ids are its own.
+(other scripts, control characters, apostrophes, very long runs, the text of an added token) go to the library itself,
+with its default settings: the ids are its own.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ class WordBPE:
         if steps != ["NFC", "Replace", "Lowercase"] or splits[0]["type"] != "Split" or model["type"] != "BPE":
             raise ValueError(f"{path}: not a lower-casing BPE that drops white space")
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [token["content"].encode() for token in said["added_tokens"]]
         if splits[0]["pattern"]["Regex"] != PATTERN:
             raise ValueError(f"{path}: another splitting pattern")
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
@@ -200,6 +201,12 @@ class WordBPE:
             kind[sign | (high & ~follows & (data != 0xC3))] = HARD
         lowered = T.LOWER[data]
         lowered[follows & (data >= 0x80) & (data <= 0x9E)] += 0x20
+        raw = data.tobytes()
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                kind[at : at + len(content)] = HARD
+                at = raw.find(content, at + 1)
         starts, ends, _ = T.word_spans(data, bounds, T.NOT_SPACE)
         is_hard = kind == HARD
         if is_hard.any():

@@ -22,7 +22,7 @@ ODD = [
     "don't stop'S  I'LL é́ á ﬁ Σας İstanbul x y a\u0085b 12½³ \x1c\x00 q",
     "ÀÉÎÕÜ×÷ß ÿ Œuvre 😀😀 中文字 test's",
     "a" * 100 + " " + "%" * 300 + "!!??" + "é" * 60,
-    "<|endoftext|> <|startoftext|>hi",
+    "<|endoftext|> <|startoftext|>hi", "a <|endoftext|> b", "a<|endoftext|>B <|ENDOFTEXT|> <|endoftext|", "|><|startoftext",
     "Ǆ ǅ ŉ ſ ß ẞ ſ's 1234567890 a1b2",
     "",
 ]
@@ -31,7 +31,6 @@ ODD = [
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -43,11 +42,9 @@ def test_tokens_are_the_library_s(corpus, library):
     assert got == [library(text) for text in texts]
 
 
-@pytest.mark.parametrize("leaf, carried, fan", [(16_384, 512, 16), (20, 3, 2)])
-def test_packing(docs, corpus, library, leaf, carried, fan, monkeypatch):
+@pytest.mark.parametrize("leaf", [16_384, 20])
+def test_packing(docs, corpus, library, leaf, monkeypatch):
     monkeypatch.setattr(packing, "LEAF_ITEMS", leaf)
-    monkeypatch.setattr(packing, "CARRIED_BINS", carried)
-    monkeypatch.setattr(packing, "FAN_IN", fan)
     capacity = 256
     pieces = packing.token_pieces(docs, PATH, end_id=1, capacity=capacity)
     placed = packing.packed(pieces.withColumn("sequence_id", F.lit("old")), capacity).collect()
@@ -66,8 +63,16 @@ def test_packing(docs, corpus, library, leaf, carried, fan, monkeypatch):
             assert offset == end
             end += length
         assert end <= capacity
-    least = -(-sum(r["length"] for r in placed) // capacity)
-    assert len(bins) <= 1.2 * least + 2
+    whole = len(packing.best_fit(np.array([r["length"] for r in placed]), capacity)[2])
+    assert len(bins) <= (whole if leaf > len(placed) else 1.05 * whole + 1)
+
+
+def test_bins_that_fit_nowhere_end_the_tree(spark, monkeypatch):
+    """Pieces over half a sequence: no two fit, however often they meet."""
+    monkeypatch.setattr(packing, "LEAF_ITEMS", 10)
+    rows = spark.range(100).selectExpr("id AS doc_id", "CAST(150 AS LONG) AS length")
+    got = packing.packed(rows, 256).collect()
+    assert len({r["sequence_id"] for r in got}) == 100 and {r["offset"] for r in got} == {0}
 
 
 def test_sequences_hold_their_pieces(spark):
