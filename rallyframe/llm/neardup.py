@@ -252,10 +252,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     Equal sets are one class from the start. MinHash samples of each class give band keys and, folded by parity, an odd
     sketch; a second bitmap folds the whole set. Classes with a band in common are candidates: first each with the most
-    connected member of its buckets, then with that of every bucket, as far as they are still in different components.
-    Members of a bucket that are still apart then are not paired with each other: of those texts the rarest shingles
-    are listed, of which two similar enough texts must share one, and only pairs that do are candidates. So texts that
-    are alike but not enough, however many, give rows in proportion to their number.
+    connected member of its buckets. Of texts whose buckets are still in different components the rarest shingles are
+    listed, of which two similar enough texts must share one: those that share none with another component are done, so
+    texts that are alike but not enough, however many, cost what listing them costs. The others meet the most connected
+    member of every bucket, and then those that are still apart each other, as far as sizes and bitmaps allow.
     A candidate passes if sizes and bitmaps let it, and counts if the full sets say so. All pairs of a bucket are thereby
     decided or known to be connected.
 
@@ -300,37 +300,52 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     best = spokes.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("weight", -F.col("b"))).alias("b"))
     links = settle(_confirmed(likely(best), texts, size, percent))
     reached = components(links)
+
+    def placed(entries: DataFrame) -> DataFrame:
+        own = entries.select("key", "node").join(reached, "node", "left")
+        return own.select("key", "node", F.coalesce("component", "node").alias("component"))
+
+    def still_open(rows: DataFrame, members: int) -> DataFrame:
+        """Keys with members in different components."""
+        ends = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
+        return rows.join(ends.filter(f"x < y AND n >= {members}").select("key"), "key", "left_semi")
+
+    # of the texts in buckets that are not yet one component, only those that share a rare shingle with another component
+    undecided = settle(still_open(placed(shared), 2).select(F.col("node").alias("doc_id"), "component").distinct())
+    listed = _rare_shingles(texts.join(undecided, "doc_id", "left_semi"), size, percent).join(undecided, "doc_id")
+    listed = listed.select(F.col("shingle").alias("key"), F.col("doc_id").alias("node"), "component")
+    alive = settle(still_open(settle(listed), 2).select("node").distinct())
     side_a = reached.select(F.col("node").alias("a"), F.col("component").alias("x"))
     side_b = reached.select(F.col("node").alias("b"), F.col("component").alias("y"))
-    hot = hot_keys(spokes, "b")
-    ends = spread(spokes.select(F.col("node").alias("a"), "b").join(side_a, "a", "left"), hot, "b", by="a")
+    ends = spokes.select(F.col("node").alias("a"), "b").join(alive.select(F.col("node").alias("a")), "a", "left_semi")
+    hot = hot_keys(ends, "b")
+    both = repeated(alive.select(F.col("node").alias("b")).join(side_b, "b", "left"), hot, "b")
     apart = (
-        ends.join(repeated(side_b, hot, "b"), ["b", "share"], "left")
+        spread(ends.join(side_a, "a", "left"), hot, "b", by="a")
+        .join(both, ["b", "share"])
         .filter(F.coalesce("x", "a") != F.coalesce("y", "b"))
         .select("a", "b")
     )
     links = settle(links.union(_confirmed(likely(apart), texts, size, percent)))
     reached = components(links)
     # what is left: members of one bucket in different components; a bucket of two has nothing but its hub
-    placed = shared.join(reached, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component")
-    )
-    open_keys = placed.groupBy("key").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")
-    )
-    undecided = settle(
-        placed.join(open_keys.filter("x < y AND members > 2").select("key"), "key", "left_semi")
-        .select(F.col("node").alias("doc_id"), "component")
-        .distinct()
-    )
-    listed = settle(
-        _rare_shingles(texts.join(undecided, "doc_id", "left_semi"), size, percent).join(undecided, "doc_id")
+    # plain columns that are never null keep the join's condition small enough to be compiled
+    parity = [F.coalesce(F.col("sketch")[WORDS + k], F.lit(0)).alias(f"p{k}") for k in range(WORDS)]
+    rest = (
+        still_open(settle(placed(shared.join(alive, "node", "left_semi"))), 2)
+        .join(described.select("node", F.coalesce("n", F.lit(0)).alias("n"), *parity), "node")
+        .select("key", "node", "component", "n", *[f"p{k}" for k in range(WORDS)])
     )
-    common = listed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    listed = listed.join(common.filter("x < y").select("shingle"), "shingle", "left_semi")
-    left = listed.select("shingle", F.col("doc_id").alias("a"), F.col("component").alias("x"))
-    right = listed.select("shingle", F.col("doc_id").alias("b"), F.col("component").alias("y"))
-    others = left.join(right, "shingle").filter("a < b AND x != y").select("a", "b").distinct()
+    left, right = rest.alias("l"), rest.alias("r")
+    differ = sum((F.bit_count(F.col(f"l.p{k}").bitwiseXOR(F.col(f"r.p{k}"))) for k in range(WORDS)), F.lit(0))
+    sizes = F.col("l.n") + F.col("r.n")
+    others = left.join(
+        right,
+        (F.col("l.key") == F.col("r.key"))
+        & (F.col("l.node") < F.col("r.node"))
+        & (F.col("l.component") != F.col("r.component"))
+        & (100 * (sizes - differ) >= percent * (sizes + differ)),
+    ).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
     second = _confirmed(likely(others), texts, size, percent)
     # an id with several texts ties their classes together
     copies = settle(named.distinct())
