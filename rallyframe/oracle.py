@@ -316,6 +316,43 @@ assembled AS (
 serve_receive AS (
   SELECT *, lag(point_won_by) OVER (PARTITION BY user_id ORDER BY point_id) = 'A' AS prev_point_won FROM assembled)"""
 
+_UPDATED = f"""{_HISTORY},
+seen AS (
+  SELECT n.event_id, c.class, n.rn - 1 AS n_seen,
+    coalesce(sum(CASE WHEN n.event_type = c.class THEN 1 ELSE 0 END) OVER (
+      PARTITION BY n.user_id, c.class ORDER BY n.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS times
+  FROM numbered n CROSS JOIN classes c
+),
+posterior AS (
+  SELECT raw.event_id, raw.class, raw.actual, n_seen,
+    CASE WHEN court.class IS NOT NULL
+      THEN (CAST(10 AS DOUBLE) * p0 + times) / (CAST(10 AS DOUBLE) + n_seen) ELSE 0.0 END AS q1
+  FROM raw JOIN seen ON seen.event_id = raw.event_id AND seen.class = raw.class
+  LEFT JOIN court ON court.event_id = raw.event_id AND court.class = raw.class
+),
+weights AS (SELECT event_id, sum(q1 ORDER BY class) AS mass FROM posterior GROUP BY event_id),
+updated AS (
+  SELECT posterior.*, CASE WHEN mass > 0 THEN q1 / mass ELSE q1 END AS q
+  FROM posterior JOIN weights ON weights.event_id = posterior.event_id
+)"""
+
+_CONFIDENCE = f"""{_SCORED},
+tops AS (SELECT event_id, max(p) AS confidence, sum(p * p) AS squares FROM masked GROUP BY event_id),
+cells AS (
+  SELECT period, least(CAST(floor(confidence * 16384) AS BIGINT), 16383) AS cell, count(*) AS n,
+    sum(confidence) AS total, sum(CASE WHEN prediction_correct THEN 1 ELSE 0 END) AS hits
+  FROM scored JOIN tops ON tops.event_id = scored.event_id GROUP BY 1, 2
+),
+binned AS (
+  SELECT *, CAST((sum(n) OVER (PARTITION BY period ORDER BY cell) - n) * 8 // sum(n) OVER (PARTITION BY period)
+    AS INTEGER) AS bin
+  FROM cells
+),
+bins AS (
+  SELECT period, bin, CAST(sum(n) AS BIGINT) AS n, sum(total) / sum(n) AS mean_confidence, sum(hits) / sum(n) AS hit_rate
+  FROM binned GROUP BY period, bin
+)"""
+
 SQL: dict[str, str] = {
     "q01_first_touch": f"""WITH {_EV}
 SELECT user_id, CAST(d AS VARCHAR) AS d, event_type, event_id, value FROM (
@@ -413,6 +450,23 @@ SELECT DISTINCT user_id FROM ev WHERE user_id NOT IN (SELECT user_id FROM ev WHE
 FROM events""",
     "q21_label_union": """SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-02'
 UNION SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-25'""",
+    "q46_bayes_updated": f"""WITH {_UPDATED}
+SELECT event_id, any_value(n_seen) AS n_seen, round(max(CASE WHEN class = actual THEN q END), 6) AS p_actual,
+  round(0.0 - sum(CASE WHEN q > 0 THEN q * ln(q) ELSE 0.0 END ORDER BY class) + 0.0, 6) AS pred_entropy,
+  first(class ORDER BY q DESC, class) AS top_predicted
+FROM updated GROUP BY event_id""",
+    "q47_reliability": f"""WITH {_CONFIDENCE}
+SELECT period, bin, n, round(mean_confidence, 6) AS mean_confidence, round(hit_rate, 6) AS hit_rate FROM bins""",
+    "q47_brier": f"""WITH {_CONFIDENCE},
+means AS (
+  SELECT period, count(*) AS n, avg(squares - 2 * coalesce(p_actual, 0.0) + 1) AS brier
+  FROM scored JOIN tops ON tops.event_id = scored.event_id GROUP BY period),
+errors AS (SELECT period, sum(n * abs(mean_confidence - hit_rate)) / sum(n) AS gap FROM bins GROUP BY period)
+SELECT means.period, n, round(brier, 6) AS brier, round(gap, 6) AS calibration_error
+FROM means JOIN errors ON errors.period = means.period""",
+    "q48_live_scoring": f"""WITH {_SCORED}
+SELECT scored.event_id, prev_type, round(pred_entropy, 6) AS pred_entropy, top_predicted, prediction_correct
+FROM scored JOIN hist ON hist.event_id = scored.event_id""",
     "q22_frequency_model": f"""WITH {_HISTORY} SELECT prev_type, event_type, n, round(p, 6) AS p FROM freq""",
     "q23_masked": f"""WITH {_HISTORY} SELECT event_id, class, round(p, 6) AS p FROM masked""",
     "q24_scored": f"""WITH {_SCORED}

@@ -18,6 +18,7 @@ from rallyframe.models.frequency import fit_frequency_model, frequency_rows
 from rallyframe.operators import evaluation as E
 from rallyframe.operators import groups as G
 from rallyframe.operators import labels as L
+from rallyframe.operators.calibration import brier, calibration_error, confidence_cells, reliability
 from rallyframe.operators.features import (
     COURT_COLUMNS,
     FeatureBuilder,
@@ -29,6 +30,7 @@ from rallyframe.operators.lookups import attach_role, ids_with_several_names, na
 from rallyframe.operators.ordered import Ordered, previous, recent, row_number
 from rallyframe.operators.points import serve_receive
 from rallyframe.operators.profiles import add_profile, fit_profile
+from rallyframe.operators.updating import add_counts_so_far, add_updated
 from rallyframe.plans.match import ROW_KEY, analyse_match
 from rallyframe.schema import MATCH_MODEL, SEASON
 from rallyframe.session import scratch, settle
@@ -43,6 +45,8 @@ from rallyframe.sources.scout import (
     tag_sections,
 )
 from rallyframe.sources.season import combine, new_rows, read_csv, read_season, write_csv, write_season
+from rallyframe.streaming import live_scoring
+from rallyframe.streaming.live_scoring import live_history, live_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +55,10 @@ DICTIONARY_UNTIL = "2024-01-02"
 COURT_VALUE = 20
 PRIORITY_NUMBER = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "5-LOW": 5}
 DAY_PERIODS = ["pre", "conf1", "conf2"]
+PRIOR_STRENGTH = 10.0
+RELIABILITY_BINS = 8
+LIVE_CUT_DAYS = 8
+LIVE_FILES = 8
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -920,6 +928,85 @@ def q45_season_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# --- updating, calibration, live scoring ----------------------------------------------------
+
+
+def q46_bayes_updated(spark: SparkSession, sf: str) -> DataFrame:
+    """The frequency model as a prior, updated event by event with the types the user has had so far."""
+    train, history = _train_and_all(spark, sf)
+    model = fit_frequency_model(train, ["prev_type"], "event_type")
+    events = _by_user(_events(spark, sf).select("event_id", "user_id", "event_type"))
+    seen = add_counts_so_far(events, "event_type", model.classes).df.select("event_id", "seen")
+    known = model.transform(history.join(seen, "event_id")).where(F.col("probability").isNotNull())
+    posterior = add_updated(known, PRIOR_STRENGTH, len(model.classes))
+    masked = E.mask_to_available(posterior, model.classes, F.col("on_court"))
+    scored = E.add_predictability(masked, "event_type", len(model.classes))
+    chosen = P.probability_of(F.col("probability"), F.col("classes"), F.col("event_type"))
+    return scored.select(
+        "event_id",
+        F.aggregate("seen", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_seen"),
+        _r(chosen).alias("p_actual"),
+        _r("pred_entropy").alias("pred_entropy"),
+        "top_predicted",
+    )
+
+
+def _reliability(scored: DataFrame) -> DataFrame:
+    cells = confidence_cells(scored, F.array_max("probability"), F.col("prediction_correct"), ["period"])
+    return reliability(cells, RELIABILITY_BINS, ["period"])
+
+
+def q47_reliability(spark: SparkSession, sf: str) -> DataFrame:
+    """Confidence of the top pick against how often it was right, in bins of equal mass by period."""
+    return _reliability(_scored(spark, sf)).select(
+        "period", "bin", "n", _r("mean_confidence").alias("mean_confidence"), _r("hit_rate").alias("hit_rate")
+    )
+
+
+def q47_brier(spark: SparkSession, sf: str) -> DataFrame:
+    """Brier score and calibration error by period."""
+    scored = settle(_scored(spark, sf))
+    score = brier(F.col("probability"), F.col("classes"), F.col("event_type"))
+    means = scored.groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("brier"))
+    both = means.join(calibration_error(_reliability(scored), ["period"]), "period")
+    return both.select("period", "n", _r("brier").alias("brier"), _r("calibration_error").alias("calibration_error"))
+
+
+def q48_live_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """Events scored as a stream that gets them in cuts of some days, out of order, and some of them twice.
+
+    Each event lies in the cut of its time plus up to a day; every seventh comes again one cut later. The delay covers
+    a cut and that day. A last line, far ahead, lets the watermark pass all events.
+    """
+    events = _events(spark, sf).select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    model = fit_frequency_model(_train_and_all(spark, sf)[0], ["prev_type"], "event_type")
+    late = F.pmod(F.xxhash64("event_id"), F.lit(86_400))
+    cut = ((F.unix_seconds("ts") + late) / F.lit(LIVE_CUT_DAYS * 86_400)).cast("bigint").alias("cut")
+    placed = settle(events.select("*", cut).union(events.where("event_id % 7 = 0").select("*", cut + 1)))
+    folder = scratch(spark)
+    for (number,) in placed.select("cut").distinct().orderBy("cut").collect():  # some cuts of a month
+        placed.where(F.col("cut") == number).drop("cut").write.mode("append").parquet(f"{folder}/lines")
+    ahead = events.limit(1).select(
+        F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"),
+        F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"),
+        (F.col("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"),
+    )
+    ahead.write.mode("append").parquet(f"{folder}/lines")
+    lines = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", LIVE_FILES).parquet(f"{folder}/lines")
+    slot = F.when(F.col("value") >= COURT_VALUE, F.col("event_type"))
+    history = live_history(
+        lines, "user_id", "event_id", "event_type", slot, "ts", f"{LIVE_CUT_DAYS + 2} days", size=6
+    )
+    scores = live_scores(history, model, "event_type").select(
+        "event_id", "prev_type", "pred_entropy", "top_predicted", "prediction_correct"
+    )
+    query = live_scoring.start(scores, f"{folder}/scores", f"{folder}/state")
+    query.awaitTermination()
+    return spark.read.schema(scores.schema).parquet(f"{folder}/scores").select(
+        "event_id", "prev_type", _r("pred_entropy").alias("pred_entropy"), "top_predicted", "prediction_correct"
+    )
+
+
 def registered() -> dict[str, Query]:
     """Every query by name."""
     return {name: query for name, query in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
