@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.functions import probability as P
+from rallyframe.functions import sparse as S
 
 SUMMARY_METRICS = [
     "overall_accuracy",
@@ -47,6 +48,32 @@ def add_predictability(
     )
 
 
+def add_sparse_predictability(
+    df: DataFrame, actual: str, available: Column, probabilities: str = "probability", first_class: str = "first_class"
+) -> DataFrame:
+    """Mask and renormalise a probability map, then what ``add_predictability`` adds, and the actual class's share."""
+    masked = (
+        df.withColumn("__available", available)
+        .withColumn(probabilities, S.mask(F.col(probabilities), F.col("__available")))
+        .withColumn("__mass", S.total(F.col(probabilities)))
+        .withColumn(probabilities, S.renormalise(F.col(probabilities), F.col("__mass")))
+        .drop("__available", "__mass")
+    )
+    picked = masked.withColumns(
+        {
+            "pred_entropy": S.entropy(F.col(probabilities)),
+            "top_predicted": S.top_class(F.col(probabilities), F.col(first_class)),
+            "p_actual": S.probability_of(F.col(probabilities), F.col(actual)),
+        }
+    )
+    return picked.withColumns(
+        {
+            "prediction_correct": F.col("top_predicted") == F.col(actual),
+            "chose_non_top": F.col("top_predicted") != F.col(actual),
+        }
+    )
+
+
 def _summary_columns(in_system: Column) -> list[Column]:
     correct = F.col("prediction_correct").cast("double")
     non_top = F.col("chose_non_top").cast("double")

