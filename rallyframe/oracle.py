@@ -450,20 +450,20 @@ SELECT DISTINCT user_id FROM ev WHERE user_id NOT IN (SELECT user_id FROM ev WHE
 FROM events""",
     "q21_label_union": """SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-02'
 UNION SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-25'""",
-    "q49_forest": f"""WITH {_EV},
-rows_ AS (
-  SELECT event_id, ts, event_id % 40 AS server, event_id % 12 AS attacker FROM ev
-  WHERE value >= 20 AND event_type <> 'error' AND CAST(floor(value) AS INTEGER) % 7 <> 6),
-train AS (SELECT * FROM rows_ WHERE ts < TIMESTAMP '2024-01-25'),
-test AS (SELECT * FROM rows_ WHERE ts >= TIMESTAMP '2024-01-25' AND attacker IN (SELECT attacker FROM train)),
-share AS (
-  SELECT server, attacker, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY server) AS p FROM train GROUP BY 1, 2),
+    "q49_forest": f"""WITH {_FEATURES},
+full_ AS (
+  SELECT r.event_id, prev_label, attacker, e.ts FROM rows_ r JOIN ev e ON e.event_id = r.event_id WHERE code <> '?'),
+learned AS (SELECT * FROM full_ WHERE ts < TIMESTAMP '2024-01-25'),
+later AS (SELECT * FROM full_ WHERE ts >= TIMESTAMP '2024-01-25' AND attacker IN (SELECT attacker FROM learned)),
+shares_ AS (
+  SELECT prev_label, attacker, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY prev_label) AS p
+  FROM learned GROUP BY 1, 2),
 losses AS (
   SELECT -ln(greatest(least(coalesce(p, 0.0), 1.0::DOUBLE - 2.220446049250313e-16), 2.220446049250313e-16)) AS loss
-  FROM test LEFT JOIN share ON share.server = test.server AND share.attacker = test.attacker
-  WHERE test.server IN (SELECT server FROM train))
-SELECT (SELECT count(*) FROM train) AS n_train, (SELECT count(*) FROM test) AS n_test, 0::BIGINT AS n_bad_sum,
-  16 AS n_features, (SELECT CAST(count(DISTINCT attacker) AS INTEGER) FROM train) AS n_classes,
+  FROM later LEFT JOIN shares_ ON shares_.prev_label = later.prev_label AND shares_.attacker = later.attacker
+  WHERE later.prev_label IN (SELECT prev_label FROM learned))
+SELECT (SELECT CAST(count(*) AS INTEGER) FROM learned) AS n_train, (SELECT count(*) FROM later) AS n_test,
+  0::BIGINT AS n_bad_sum, 16 AS n_features, (SELECT CAST(count(DISTINCT attacker) AS INTEGER) FROM learned) AS n_classes,
   round(avg(loss), 6) AS frequency_log_loss, TRUE AS forest_is_better
 FROM losses""",
     "q50_many_classes": f"""WITH {_EV},

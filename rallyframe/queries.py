@@ -1014,7 +1014,7 @@ def q48_live_scoring(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q49_forest(spark: SparkSession, sf: str) -> DataFrame:
-    """A forest on all features of the builder against a frequency model of the server, by log loss on later days."""
+    """A forest on all features of the builder against the frequency model of the previous attacker, on later days."""
     base = settle(base_features(_season_like(spark, sf), "A"))
     fitted = FeatureBuilder("A", []).fit_rows(base.where(_before(TRAIN_UNTIL)))
     rows = settle(model_rows(fitted.encode(base), MODEL_FEATURES))
@@ -1022,10 +1022,10 @@ def q49_forest(spark: SparkSession, sf: str) -> DataFrame:
     classes = L.class_list(fitted.targets, "label")
     forest = fit_forest_model(train, MODEL_FEATURES, "target", classes, **FOREST_MODEL)
     scored = settle(forest.transform(test))
-    by_server = fit_frequency_model(train, ["server_id"], "attacker_id").transform(test)
-    plain = E.log_loss(by_server.where(F.col("probability").isNotNull()), "attacker_id").first()
+    by_previous = fit_frequency_model(train, ["prev_attacker_id"], "attacker_id").transform(test)
+    plain = E.log_loss(by_previous.where(F.col("probability").isNotNull()), "attacker_id").first()
     sums = F.abs(P.total(F.col("probability")) - 1) > 1e-9
-    loss = E.log_loss(scored, "attacker_id").select("log_loss").scalar()
+    loss = E.log_loss(scored, "attacker_id").select("log_loss").first()["log_loss"]
     return scored.agg(F.count(F.lit(1)).alias("n_test"), F.count_if(sums).alias("n_bad_sum")).select(
         F.lit(train.count()).alias("n_train"),
         "n_test",
@@ -1033,7 +1033,7 @@ def q49_forest(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(len(MODEL_FEATURES)).alias("n_features"),
         F.lit(len(classes)).alias("n_classes"),
         _r(F.lit(plain["log_loss"])).alias("frequency_log_loss"),
-        (loss < F.lit(plain["log_loss"])).alias("forest_is_better"),
+        F.lit(loss < plain["log_loss"]).alias("forest_is_better"),
     )
 
 
