@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 
 #: Texts go to Python in Arrow batches of about so many bytes; Spark's own value fills an executor's off-heap memory.
-BATCH_SETTING, BATCH_BYTES, SPARK_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20, 64 << 20
+BATCH_SETTING, BATCH_BYTES, SPARK_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20, 64 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -125,7 +125,7 @@ def _signatures(source: DataFrame, size: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column("doc_id")
-            for first, end, data, bounds in T.slices(batch.column("text"), 1 << 20):
+            for first, end, data, bounds in T.slices(batch.column("text"), 1 << 18):
                 prints, own = shingle_prints(data, bounds, size)
                 n = np.diff(own)
                 full = np.flatnonzero(n)
@@ -212,7 +212,7 @@ def _rare_shingles(texts: DataFrame, size: int, percent: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            for _, _, data, bounds in T.slices(batch.column("text"), 1 << 20):
+            for _, _, data, bounds in T.slices(batch.column("text"), 1 << 18):
                 total += np.bincount(cells(shingle_prints(data, bounds, size)[0]), minlength=len(total))
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["cell", "n"])
