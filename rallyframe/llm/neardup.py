@@ -218,8 +218,9 @@ def _rare_shingles(texts: DataFrame, size: int, percent: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["cell", "n"])
 
     every = np.zeros(1 << CELL_BITS, np.int64)
-    for row in texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        every[row["cell"]] = row["n"]
+    counted = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    cell_counts = counted.toArrow()  # at most 2^18 rows of two numbers, 4 MB
+    every[cell_counts.column("cell").to_numpy()] = cell_counts.column("n").to_numpy()
     # of equal counts the order of cells, and in a cell that of the shingles
     place = np.empty(len(every), np.int32)
     place[np.argsort(every, kind="stable")] = np.arange(len(every), dtype=np.int32)
