@@ -46,11 +46,16 @@ ANSWERED = "chunk long, bucket int, bits binary"
 
 def by_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """The bounds of the buckets in sorted 64-bit keys: equal ranges of the key space."""
-    width = (1 << 64) // buckets + 1
-    edges = np.array([min(k * width, (1 << 64) - 1) for k in range(buckets)], U64)
+    width = (1 << 64) // buckets + 1 if buckets > 1 else 0
+    edges = np.arange(buckets, dtype=U64) * U64(width)
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 
+def _full(bounds: np.ndarray) -> list[int]:
+    """The buckets that have a key."""
+    return np.flatnonzero(bounds[1:] > bounds[:-1]).tolist()
+
+
 def planes(x: np.ndarray) -> bytes:
     """Little-endian numbers byte by byte, so that equal high bytes lie together and compress."""
     return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
@@ -73,7 +78,7 @@ def ungaps(raw: bytes) -> np.ndarray:
 def questions(chunk: int, buckets: int, keys: np.ndarray, rest: Callable[[int, int], bytes], first: int = 0) -> dict:
     """Columns of ASKED for sorted keys; `rest(a, b)` gives what else goes with entries a to b."""
     bounds = by_bucket(keys, buckets)
-    full = [b for b in range(buckets) if bounds[b + 1] > bounds[b]]
+    full = _full(bounds)
     return {
         "bucket": [first + b for b in full],
         "chunk": [chunk] * len(full),
@@ -128,7 +133,9 @@ class Sketch:
 
     def __init__(self, n_keys: int, buckets: int, levels: tuple[int, ...] = (2,), depth: int = 2, per_key: int = 2):
         self.bits = max(10, int(n_keys * per_key - 1).bit_length()) if n_keys else 10
-        self.buckets, self.levels, self.depth = buckets, levels, depth
+        self.buckets, self.levels, self.depth = buckets, tuple(sorted(levels)), depth
+        #: A chunk's count stops at the highest level, where no question depends on it any more.
+        self.count = np.min_scalar_type(self.levels[-1]).newbyteorder("<").str
 
     def _cells(self, row: int, keys: np.ndarray):
         """(sorted cells as the high bits of 64, the cell of each key)."""
@@ -147,16 +154,16 @@ class Sketch:
         out = []
         for row in range(self.depth):
             cells, back = self._cells(row, keys)
-            sums = np.minimum(np.bincount(back, weights=counts, minlength=len(cells)), 255).astype(np.uint8)
+            sums = np.minimum(np.bincount(back, weights=counts, minlength=len(cells)), self.levels[-1]).astype(self.count)
             small = cells >> U64(64 - self.bits)
             bounds = by_bucket(cells, self.buckets)
-            full = [b for b in range(self.buckets) if bounds[b + 1] > bounds[b]]
+            full = _full(bounds)
             out.append(
                 {
                     "bucket": [row * self.buckets + b for b in full],
                     "chunk": [chunk] * len(full),
                     "keys": [gaps(small[bounds[b] : bounds[b + 1]]) for b in full],
-                    "rest": [sums[bounds[b] : bounds[b + 1]].tobytes() for b in full],
+                    "rest": [planes(sums[bounds[b] : bounds[b + 1]]) for b in full],
                 }
             )
         return out
@@ -165,7 +172,7 @@ class Sketch:
         """Adds up one bucket's cells over all chunks."""
         cells = [ungaps(raw) for raw in rows.column("keys").to_pylist()]
         ends = np.cumsum([len(c) for c in cells])[:-1]
-        counts = np.frombuffer(b"".join(rows.column("rest").to_pylist()), np.uint8)
+        counts = np.concatenate([unplanes(raw, self.count) for raw in rows.column("rest").to_pylist()])
         every = np.concatenate(cells)
         order = np.argsort(every)
         ordered = every[order]

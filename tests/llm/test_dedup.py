@@ -1,5 +1,8 @@
 """Substring, suffix and near-duplicate removal against plain versions, however the corpus is cut."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from rallyframe.llm import chunks, neardup, substrings, suffixes
@@ -70,3 +73,15 @@ def test_empty_tables(nothing):
     assert substrings.substring_dedup(nothing, carry=["lang"]).count() == 0
     assert suffixes.suffix_dedup(nothing).count() == 0
     assert neardup.near_duplicates(nothing).count() == 0
+
+
+def test_counts_of_a_single_chunk_reach_every_level():
+    """A key that one chunk alone has, far more often than a byte can say."""
+    sketch = chunks.Sketch(1000, 3, levels=(2, 16_384))
+    keys = np.arange(5, dtype=np.uint64) * np.uint64(123_456_789_123_456_789)
+    said = chunks.asked(*sketch.ask(0, keys, np.array([40_000, 1, 2, 16_384, 16_383])))
+    numbers = sorted(set(said.column("bucket").to_pylist()))
+    told = pa.concat_tables([sketch.merge(said.filter(pc.equal(said.column("bucket"), b))) for b in numbers])
+    twice, hot = sketch.reached(told, keys)
+    assert twice.tolist() == [True, False, True, True, True]
+    assert hot.tolist() == [True, False, False, True, False]
