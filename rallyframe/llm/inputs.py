@@ -15,6 +15,15 @@ from pyspark.sql.types import StructType
 #: Texts go to Python in Arrow batches of about so many bytes; Spark's own value fills an executor's off-heap memory.
 BATCH_SETTING, BATCH_BYTES, SPARK_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20, 64 << 20
 
+#: Allocator settings of glibc and Arrow. A Python worker lives on between tasks; with these what a task
+#: has freed goes back to the system, and is not kept beside the executor's heap.
+WORKER_MEMORY = {
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+    "MALLOC_ARENA_MAX": "2",
+    "MALLOC_MMAP_THRESHOLD_": str(256 << 10),
+    "MALLOC_TRIM_THRESHOLD_": str(1 << 20),
+}
+
 
 def small_batches(spark: SparkSession) -> None:
     """Smaller Arrow batches for this session, unless it has a value of its own."""
@@ -26,6 +35,8 @@ def ship(spark: SparkSession) -> None:
     """Give the executors this package, once for each application: their Python need not have it installed."""
     small_batches(spark)
     context = spark.sparkContext
+    for name, value in WORKER_MEMORY.items():
+        context.environment.setdefault(name, value)
     root = Path(__file__).resolve().parent.parent
     if getattr(context, "rallyframe_shipped", False) or not root.is_dir():
         return
