@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.llm import textbytes as T
 from rallyframe.llm.inputs import documents, result_schema, unpacked
-from rallyframe.llm.samples import gathered, labelled_sample, platt, sigmoid
+from rallyframe.llm.samples import gathered, give_back, labelled_sample, platt, sigmoid
 
 #: Buckets of each family of n-grams: words, pairs of words, three characters, five characters.
 FAMILY_BITS, FAMILIES = 16, 4
@@ -204,7 +204,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     """
     sample = labelled_sample(docs, labels, "quality", sample_rows, SAMPLE_DOC_BYTES)
     features = sample.mapInArrow(_features, "label int, fold int, places binary, shares binary")
-    fitting, held = _blocks(gathered(features, 2 * sample_rows))
+    model = _learned(*_blocks(gathered(features, 2 * sample_rows)))
+    give_back()
+    return model
+
+
+def _learned(fitting: list[_Block], held: list[_Block]) -> QualityModel:
+    """The model of the rows in `fitting`, calibrated on those in `held`."""
     y = np.concatenate([np.empty(0), *(b.labels for b in fitting + held)])
     if not len(y) or y.min() == y.max():
         part = (y.sum() + 0.5) / (len(y) + 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from itertools import islice
 
@@ -50,6 +51,13 @@ def gathered(sample: DataFrame, rows: int) -> Iterator[Row]:
     return islice(settle(sample).toLocalIterator(), rows)
 
 
+def give_back() -> None:
+    """What a fit has freed in the driver's Python goes back to the system, if its C library can do that."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
