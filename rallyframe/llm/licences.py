@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
@@ -217,6 +218,19 @@ class Templates:
                 chosen.append(k)
         return p[chosen], end[chosen] + 1, np.full(len(chosen), t, np.int64), dice[chosen]
 
+    def winners(self, starts: np.ndarray, ends: np.ndarray, template: np.ndarray, dice: np.ndarray) -> np.ndarray:
+        """Which matches stay, in order of place: of those that overlap the most similar one is taken first.
+
+        Of equally similar ones that of the larger template comes first, then the shorter place, then the first name.
+        """
+        taken: list[tuple[int, int, int]] = []  # start, end, match: apart from each other and in order
+        for k in np.lexsort((starts, template, ends - starts, -self.sizes[template], -dice)).tolist():
+            own = (int(starts[k]), int(ends[k]), k)
+            at = bisect(taken, own)
+            if (at == 0 or taken[at - 1][1] <= own[0]) and (at == len(taken) or own[1] <= taken[at][0]):
+                taken.insert(at, own)
+        return np.array([k for _, _, k in taken], np.int64)
+
 
 def licence_scan(
     docs: DataFrame,
@@ -230,11 +244,13 @@ def licence_scan(
     letters, digits and bytes beyond ASCII, A-Z lowered) and compared with each template whose size allows a Dice
     coefficient of distinct word bigrams of at least `threshold`. A notice inside a longer line or stretch, or wrapped in
     comment marks, is found as a window: any run of a text's words, over line ends too, that reaches the threshold with
-    bigrams that no whole line or stretch has matched with; `n_segments` does not count windows. Matches come by place,
-    then licence; the best is the one with the largest coefficient, of equals the first by name. Segments of one word
-    have no bigram and never match.
+    bigrams that no whole line or stretch has matched with; `n_segments` does not count windows. Matches that overlap
+    compete, so a place in a text names one licence: the most similar one, of equals that of the larger template, then
+    the shorter place, then the first name. Matches come by place; the best is the one with the largest coefficient, of
+    equals the first by name. Segments of one word have no bigram and never match.
 
-    Null and empty texts have no segments. Repeated rows stay; an empty table gives an empty result.
+    Null and empty texts have no segments. Texts of any length are compared whole. Repeated rows stay; other columns
+    than `carry` are left out, so their names cannot clash; an empty table gives an empty result.
     """
     known = Templates(TEMPLATES if templates is None else templates, threshold)
     source = documents(docs, carry, RESULTS)
@@ -244,7 +260,7 @@ def licence_scan(
         for batch in batches:
             for begin, end, data, bounds in T.slices(batch.column("text"), 1 << 20):
                 counts, (starts, ends, template, dice) = known.compared(data, bounds)
-                order = np.lexsort((template, ends, starts))
+                order = known.winners(starts, ends, template, dice)
                 row = np.searchsorted(bounds, starts[order], side="right") - 1
                 names = pa.array(known.names, pa.string()).take(pa.array(template[order], pa.int64()))
                 found = pa.StructArray.from_arrays(

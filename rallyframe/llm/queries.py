@@ -273,19 +273,28 @@ WITH
     SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS block
     FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
   blocks AS (
-    SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS line FROM full_lines
+    SELECT doc_id, block, string_agg(line, chr(10) ORDER BY p) AS line FROM full_lines
     GROUP BY doc_id, block HAVING count(*) > 1),
   segments AS (
-    SELECT doc_id, row_number() OVER () AS segment, line
-    FROM (SELECT doc_id, line FROM full_lines UNION ALL SELECT doc_id, line FROM blocks)),
+    SELECT doc_id, block, is_block, row_number() OVER () AS segment, line
+    FROM (
+      SELECT doc_id, block, false AS is_block, line FROM full_lines
+      UNION ALL SELECT doc_id, block, true AS is_block, line FROM blocks)),
   segment_words AS (SELECT doc_id, segment, regexp_extract_all({_LOWER.format("line")}, {_ALNUM}) AS words FROM segments),
   segment_grams AS (SELECT doc_id, segment, {_BIGRAMS} AS grams FROM segment_words),
   vocabulary AS (SELECT DISTINCT licence, len(grams) AS m, unnest(grams) AS gram FROM template_grams),
   pairs AS (SELECT doc_id, segment, len(grams) AS n, unnest(grams) AS gram FROM segment_grams),
   shared AS (
-    SELECT doc_id, segment, licence, 2.0::DOUBLE * count(*) / (n + m) AS dice
+    SELECT doc_id, segment, licence, m, 2.0::DOUBLE * count(*) / (n + m) AS dice
     FROM pairs JOIN vocabulary USING (gram) GROUP BY doc_id, segment, licence, n, m),
-  matches AS (SELECT * FROM shared WHERE dice >= 0.8),
+  similar AS (
+    SELECT * FROM shared WHERE dice >= 0.8
+    QUALIFY row_number() OVER (PARTITION BY segment ORDER BY dice DESC, m DESC, licence) = 1),
+  contested AS (
+    SELECT doc_id, licence, dice, is_block, first_value(is_block) OVER (
+      PARTITION BY doc_id, block ORDER BY dice DESC, m DESC, is_block) AS block_wins
+    FROM similar JOIN segments USING (doc_id, segment)),
+  matches AS (SELECT * FROM contested WHERE is_block = block_wins),
   best AS (
     SELECT doc_id, count(*) AS n_matches, max(dice) AS best_dice,
       min(licence) FILTER (WHERE dice = top) AS best_licence

@@ -140,3 +140,25 @@ def segments(text):
                 out.append("\n".join(block))
             block = []
     return out
+
+
+def licences(text, templates, threshold):
+    """(licence, Dice coefficient) of the lines and stretches that match, one for each place."""
+    lines = (text or "").split("\n")
+    full = [bool(line.encode().split()) for line in lines]
+    places = [(k, k) for k in range(len(lines)) if full[k]]
+    for a in range(len(lines)):
+        for b in range(a + 1, len(lines)):
+            if all(full[a : b + 1]) and not (a and full[a - 1]) and not (b + 1 < len(lines) and full[b + 1]):
+                places.append((a, b))
+    found = []
+    for a, b in places:
+        for name, template in templates.items():
+            alike = dice(bigrams("\n".join(lines[a : b + 1])), bigrams(template))
+            if alike >= threshold:
+                found.append((-alike, -len(bigrams(template)), b - a, name, a, b))
+    out = []
+    for own in sorted(found):
+        if all(own[5] < other[4] or other[5] < own[4] for other in out):
+            out.append(own)
+    return sorted((own[3], -own[0]) for own in out)

@@ -65,6 +65,57 @@ def test_notices_inside_longer_lines_and_comments(best):
     assert all(dice == 1.0 for _, dice in got[:4])
 
 
+#: One notice of every kind, and the licence it names.
+EVERY = [
+    *NOTICES,
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0 notice"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0 notice"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0 notice"),
+    ("Released under the BSD 3-Clause License.", "BSD-3-Clause notice"),
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0 notice"),
+    ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0 notice"),
+    ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0 notice"),
+    ("Released into the public domain under CC0 1.0.", "CC0-1.0 notice"),
+    (GPL.split("\n\n")[0], "GPL header"),
+]
+
+
+@pytest.fixture(scope="module")
+def places(spark):
+    """All matches of each text: the licence, and the text at its place."""
+
+    def found(texts):
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = {r["doc_id"]: r["licences"] for r in licences.licence_scan(frame).collect()}
+        return [
+            [(m["licence"], text.encode()[m["start"] : m["end"]].decode()) for m in rows[i]] for i, text in enumerate(texts)
+        ]
+
+    return found
+
+
+def test_one_notice_is_one_licence(places):
+    texts = [BODY + text + "\n\nThe end of it." for text, _ in EVERY]
+    assert places(texts) == [[(licence, text)] for text, licence in EVERY]
+
+
+def test_a_notice_under_another_line_counts_once(places):
+    texts = ["By A Person\n" + text for text, _ in EVERY[:-1]]
+    assert [[licence for licence, _ in found] for found in places(texts)] == [[licence] for _, licence in EVERY[:-1]]
+
+
+def test_every_place_has_its_licence(places):
+    text = "\n\nAnd then there is more of the story here.\n".join(text for text, _ in EVERY)
+    (found,) = places([text])
+    assert [licence for licence, _ in found] == [licence for _, licence in EVERY]
+
+
+def test_texts_of_several_megabytes(places):
+    text = ("A line of a very long story. " * 40 + "\n") * 2000
+    (found,) = places([text + "Released under the MIT License.\n" + text + "\n\nAll rights reserved."])
+    assert [licence for licence, _ in found] == ["MIT notice", "All rights reserved notice"]
+
+
 def test_windows_against_all_runs_of_words():
     rng = random.Random(6)
     names = {"A": "a b c d e f", "B": "c a b", "C": "e f a c b d a b"}

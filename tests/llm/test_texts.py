@@ -171,10 +171,7 @@ def test_licences(docs, corpus, spark, nothing):
     got = licences.licence_scan(frame, texts, threshold=0.6)
     want = []
     for i, text in rows:
-        found = [
-            (name, d) for s in brute.segments(text) for name, t in texts.items()
-            if (d := brute.dice(brute.bigrams(s), brute.bigrams(t))) >= 0.6
-        ]
+        found = brute.licences(text, texts, 0.6)
         best = min(found, key=lambda x: (-x[1], x[0]), default=(None, None))
         want.append((i, len(brute.segments(text)), sorted(found), *best))
     mine = [
