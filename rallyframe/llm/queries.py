@@ -287,13 +287,13 @@ WITH
   shared AS (
     SELECT doc_id, segment, licence, m, 2.0::DOUBLE * count(*) / (n + m) AS dice
     FROM pairs JOIN vocabulary USING (gram) GROUP BY doc_id, segment, licence, n, m),
-  similar AS (
+  likeliest AS (
     SELECT * FROM shared WHERE dice >= 0.8
     QUALIFY row_number() OVER (PARTITION BY segment ORDER BY dice DESC, m DESC, licence) = 1),
   contested AS (
     SELECT doc_id, licence, dice, is_block, first_value(is_block) OVER (
       PARTITION BY doc_id, block ORDER BY dice DESC, m DESC, is_block) AS block_wins
-    FROM similar JOIN segments USING (doc_id, segment)),
+    FROM likeliest JOIN segments USING (doc_id, segment)),
   matches AS (SELECT * FROM contested WHERE is_block = block_wins),
   best AS (
     SELECT doc_id, count(*) AS n_matches, max(dice) AS best_dice,
