@@ -1,4 +1,4 @@
-"""Cross-entropy difference: two matched bigram models over one vocabulary score every document."""
+"""Cross-entropy difference: two matched bigram models over one vocabulary score documents they have not seen."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,28 +51,56 @@ class Grams:
         pairs = self.base + self.context * self.base + self.token
         self.pairs, self.pair_of = np.unique(pairs, return_inverse=True)
 
-    def counts(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct numbers, how often the documents marked in `chosen` have each); the total comes last."""
+    def counts(self, chosen: np.ndarray) -> np.ndarray:
+        """How often the documents marked in `chosen` have each of `numbers()`; the total comes last."""
         weight = np.repeat(chosen, self.n).astype(np.float64)
         single = np.bincount(self.token, weights=weight, minlength=self.base)
         pair = np.bincount(self.pair_of, weights=weight, minlength=len(self.pairs))
-        return self.numbers(), np.concatenate((single, pair, [weight.sum()])).astype(np.int64)
-
-    def numbers(self) -> np.ndarray:
-        return np.concatenate((np.arange(self.base), self.pairs, [self.every])).astype(np.uint64)
-
-    def losses(self, counts: np.ndarray, strength: float, extra: float) -> np.ndarray:
-        """The loss of every predicted token, from the corpus counts of `numbers()`."""
+        return np.concatenate((single, pair, [weight.sum()])).astype(np.int64)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted 64-bit keys of the numbers that occur, the place of each in `numbers()`).
+
+        A key is a hash that no two numbers share, so common tokens are dealt evenly over ranges of keys.
+        """
+        numbers = np.concatenate((np.arange(self.base), self.pairs, [self.every])).astype(np.uint64)
+        seen = np.flatnonzero(self.counts(np.ones(len(self.n), np.bool_)))
+        keys = T.mixed(numbers[seen])
+        order = np.argsort(keys)
+        return keys[order], seen[order]
+
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every predicted token, how often its document has it, its context and the pair of both."""
+        single, pair = self._within(self.token, self.base), self._within(self.pair_of, len(self.pairs))
+        # before a document's first token lies the end of another one, of which each document has one too
+        return single, np.roll(single, 1), pair
+
+    def _within(self, of: np.ndarray, width: int) -> np.ndarray:
+        document = np.repeat(np.arange(len(self.n)), self.n)
+        _, back, counts = np.unique(document * width + of, return_inverse=True, return_counts=True)
+        return counts[back]
+
+    def losses(
+        self, counts: np.ndarray, copies: np.ndarray, weight: float, strength: float, extra: float
+    ) -> np.ndarray:
+        """The loss of every predicted token, from the counts of `numbers()` in a set of documents.
+
+        A document's own counts are taken off as often as the set has its text (`copies`); the rest counts `weight`.
+        """
+        times = np.repeat(copies, self.n)
         single, pair, total = counts[: self.base], counts[self.base : -1], counts[-1]
-        one = (single + extra) / (total + extra * self.base)
+        own_token, own_context, own_pair = self.own()
+        left = lambda all_, own: weight * np.maximum(all_ - times * own, 0)
+        every = left(total, np.repeat(self.n, self.n))
+        one = (left(single[self.token], own_token) + extra) / (every + extra * self.base)
         # a token is a context as often as it is predicted; the mark before a text as often as the one after it
-        context = single[self.context]
-        return -np.log((pair[self.pair_of] + strength * one[self.token]) / (context + strength))
+        context = left(single[self.context], own_context)
+        return -np.log((left(pair[self.pair_of], own_pair) + strength * one) / (context + strength))
 
 
-def _spread(numbers: np.ndarray, every: int) -> np.ndarray:
-    """Numbers up to `every` as 64-bit keys in the same order, for buckets of equal ranges."""
-    return numbers * np.uint64((1 << 64) // (every + 1))
+def same_texts(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct hashes of texts, which of them each document has)."""
+    return np.unique(rows.column("same").to_numpy().view(np.uint64), return_inverse=True)
 
 
 def cross_entropy_difference(
@@ -85,24 +114,31 @@ def cross_entropy_difference(
     """doc_id, n_tokens, target_loss, background_loss and difference (target less background) of every document.
 
     The losses are means over the tokens of a document and its end, in nats. The target model counts the documents
-    whose id is in `target_ids` (column doc_id), the background model all documents; both are bigram models with the
+    whose id is in `target_ids` (column doc_id), the background model all others. Both are bigram models with the
     tokenizer's vocabulary and the same smoothing: a pair's share after its context, with `strength` tokens of the
-    single-token model added, and `extra` counts for each token in that. A low difference means close to the target.
-
-    Counting and scoring share one exchange of the text. Each chunk sends how often it has each distinct token and pair;
-    buckets add the counts up over the corpus and send every chunk the sums of what it asked for.
-
-    Null and empty texts have an end alone. Rows that share an id are all in the target, or none; null ids never are.
-    Repeated ids in `target_ids` count once. Without a target its model is the same for all tokens. An empty table
-    gives an empty result.
+    single-token model added, and `extra` counts for each token in that. So that the smoothing weighs the same in
+    both, the counts of the larger set are scaled down to the size of the smaller one. No document is scored by what
+    it is itself part of: its counts, and those of all documents with the same text, are taken off first. A low
+    difference means close to the target.
+
+    Counting and scoring share one exchange of the text. Each chunk sends how often it has each distinct token, pair
+    and text (as a 64-bit hash); buckets add the counts up over the corpus and send every chunk the sums of what it
+    asked for.
+
+    Null and empty texts have an end alone. Texts of any length are scored whole. Rows that share an id are all in the
+    target, or none; null ids never are. Repeated ids in `target_ids` count once. Without a target, or with nothing
+    else, both models are the same for all tokens and the difference is 0. Carried columns with the name of a result
+    are left out. An empty table gives an empty result.
     """
     source = documents(docs, carry, RESULTS)
     source = source.withColumn("doc_id", F.col("doc_id").cast("long"))
-    _, total = text_bytes(source)
+    n_rows, total = text_bytes(source)
     chunks = C.n_chunks(total)
     buckets = max(1, -(-(total * MEGABYTE_KEYS // (1 << 20)) // BUCKET_KEYS))
+    text_buckets = max(1, -(-n_rows // BUCKET_KEYS))
     chunk = C.chunk_of(chunks, "doc_id")
-    placed = source.select(chunk, *source.columns).repartition("chunk")
+    same = F.xxhash64(F.coalesce("text", F.lit("").cast("binary"))).alias("same")
+    placed = source.select(chunk, same, *source.columns).repartition("chunk")
     wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
     targets = wanted.select(chunk, "doc_id")
 
@@ -110,15 +146,19 @@ def cross_entropy_difference(
         if not rows.num_rows:
             return C.asked()
         grams = Grams(rows, tokenizer)
-        ids = rows.column("doc_id").to_pandas().to_numpy(dtype=object, na_value=None)
-        mine = set(chosen.column("doc_id").to_pylist())
-        numbers, every = grams.counts(np.ones(len(ids), np.bool_))
-        _, target = grams.counts(np.array([x in mine for x in ids], np.bool_))
-        full = every > 0
-        keys = _spread(numbers[full], grams.every)
-        every, target = every[full].astype("<u8"), target[full].astype("<u8")
-        rest = lambda a, b: C.planes(every[a:b]) + C.planes(target[a:b])
-        return C.asked(C.questions(key[0].as_py(), buckets, keys, rest))
+        mine = pc.is_in(rows.column("doc_id"), value_set=chosen.column("doc_id").combine_chunks())
+        mine = mine.to_numpy(zero_copy_only=False).astype(np.bool_)
+        keys, at = grams.keys()
+        texts, back = same_texts(rows)
+        asks = []
+        for keys, every, target, n, first in (
+            (keys, grams.counts(np.ones(len(mine), np.bool_))[at], grams.counts(mine)[at], buckets, 0),
+            (texts, np.bincount(back), np.bincount(back, weights=mine), text_buckets, buckets),
+        ):
+            both = every.astype("<u8"), target.astype("<u8")
+            rest = lambda a, b, both=both: b"".join(C.planes(x[a:b]) for x in both)
+            asks.append(C.questions(key[0].as_py(), n, keys, rest, first))
+        return C.asked(*asks)
 
     def add(rows: pa.Table) -> pa.Table:
         keys = [C.ungaps(raw) for raw in rows.column("keys").to_pylist()]
@@ -135,16 +175,25 @@ def cross_entropy_difference(
 
     def score(key: tuple[pa.Scalar, ...], rows: pa.Table, said: pa.Table) -> pa.Table:
         grams = Grams(rows, tokenizer)
-        numbers, own = grams.counts(np.ones(rows.num_rows, np.bool_))
-        full = np.flatnonzero(own > 0)
-        bounds = C.by_bucket(_spread(numbers[full], grams.every), buckets)
-        sums = np.zeros((2, len(numbers)))
+        keys, at = grams.keys()
+        texts, back = same_texts(rows)
+        bounds, text_bounds = C.by_bucket(keys, buckets), C.by_bucket(texts, text_buckets)
+        sums, copies = np.zeros((2, grams.base + len(grams.pairs) + 1)), np.zeros((2, len(texts)))
         for bucket, raw in zip(said.column("bucket").to_pylist(), said.column("bits").to_pylist()):
-            at = full[bounds[bucket] : bounds[bucket + 1]]
-            half = len(raw) // 2
-            sums[0][at], sums[1][at] = C.unplanes(raw[:half], "<u8"), C.unplanes(raw[half:], "<u8")
+            both = [C.unplanes(x, "<u8") for x in (raw[: len(raw) // 2], raw[len(raw) // 2 :])]
+            if bucket < buckets:
+                sums[:, at[bounds[bucket] : bounds[bucket + 1]]] = both
+            else:
+                copies[:, text_bounds[bucket - buckets] : text_bounds[bucket - buckets + 1]] = both
+        # what is not in the target is the background
+        sums[0] -= sums[1]
+        copies[0] -= copies[1]
+        size = sums[:, -1].min()
         heads = np.cumsum(grams.n) - grams.n
-        background, target = (np.add.reduceat(grams.losses(x, strength, extra), heads) / grams.n for x in sums)
+        background, target = (
+            np.add.reduceat(grams.losses(x, y[back], size / max(x[-1], 1.0), strength, extra), heads) / grams.n
+            for x, y in zip(sums, copies)
+        )
         columns = {
             "doc_id": rows.column("doc_id"),
             "n_tokens": pa.array(grams.n - 1, pa.int64()),

@@ -50,7 +50,7 @@ def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
-    """How much closer each document is to those labelled good than to all documents."""
+    """How much closer each document is to those labelled good than to the others."""
     good = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1 AND toxic = 0").select("doc_id")
     return cross_entropy_difference(_documents(spark, sf), good, public_tokenizers.path("word_bpe_49k.json"))
 

@@ -183,39 +183,64 @@ def test_licences(docs, corpus, spark, nothing):
     assert licences.licence_scan(nothing).count() == 0
 
 
-def losses(sequence, chosen, size, strength=crossentropy.STRENGTH, extra=crossentropy.EXTRA):
+def losses(text, sequence, chosen, weight, size, strength=crossentropy.STRENGTH, extra=crossentropy.EXTRA):
     single, pair = Counter(), Counter()
-    for s in chosen:
-        single.update(s[1:])
-        pair.update(zip(s, s[1:]))
-    total, out = sum(single.values()), 0.0
+    for other, s in chosen:
+        if other != text:
+            single.update(s[1:])
+            pair.update(zip(s, s[1:]))
+    total, out = weight * sum(single.values()), 0.0
     for a, b in zip(sequence, sequence[1:]):
-        one = (single[b] + extra) / (total + extra * (size + 1))
-        out -= math.log((pair[a, b] + strength * one) / (single[a] + strength))
+        one = (weight * single[b] + extra) / (total + extra * (size + 1))
+        out -= math.log((weight * pair[a, b] + strength * one) / (weight * single[a] + strength))
     return out / (len(sequence) - 1)
 
 
-@pytest.mark.parametrize("chunk_bytes, bucket_keys", [(4 << 20, 1 << 20), (3000, 400)])
+@pytest.mark.parametrize("chunk_bytes, bucket_keys", [(4 << 20, 1 << 20), (3000, 400), (3000, 20)])
 def test_cross_entropy(spark, docs, corpus, library, chunk_bytes, bucket_keys, monkeypatch):
     monkeypatch.setattr(chunks, "CHUNK_BYTES", chunk_bytes)
     monkeypatch.setattr(crossentropy, "BUCKET_KEYS", bucket_keys)
-    target = [3, 5, 103, 103, None, 777]
-    got = crossentropy.cross_entropy_difference(docs, spark.createDataFrame([(x,) for x in target], "doc_id long"), PATH)
+    target = [3, 5, 11, 22, 103, 103, 108, None, 777]
+    given = spark.createDataFrame([(x,) for x in target], "doc_id long")
+    got = crossentropy.cross_entropy_difference(docs, given, PATH, carry=["lang", "odd name.x", "n_tokens"])
+    assert got.columns == [*crossentropy.RESULTS, "lang", "odd name.x"]
     size = Tokenizer.from_file(PATH).get_vocab_size()
-    every = [(i, [size, *library(text), size]) for i, text in corpus]
-    chosen = [s for i, s in every if i is not None and i in target]
+    every = [(i, text or "", [size, *library(text), size]) for i, text in corpus]
+    sets = [
+        [(text, s) for i, text, s in every if i is not None and i in target],
+        [(text, s) for i, text, s in every if i is None or i not in target],
+    ]
+    large = [sum(len(s) - 1 for _, s in x) for x in sets]
+    weight = [min(large) / x for x in large]
     want = sorted(
-        ((i, len(s) - 2, losses(s, chosen, size), losses(s, [x for _, x in every], size)) for i, s in every), key=rank
+        ((i, len(s) - 2, *(losses(text, s, x, w, size) for x, w in zip(sets, weight))) for i, text, s in every),
+        key=rank,
     )
     mine = rows_of(got, "doc_id", "n_tokens", "target_loss", "background_loss")
     assert [r[:2] for r in mine] == [r[:2] for r in want]
     assert np.allclose([r[2:] for r in mine], [r[2:] for r in want], rtol=1e-9)
 
 
+def test_cross_entropy_does_not_tell_who_was_in_the_target(spark):
+    """Two halves of equally good documents, one of them the target: both are as close to it."""
+    folder = "/root/testdata/sf0.01"
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    good = spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1 AND toxic = 0")
+    half = good.select("doc_id", (F.xxhash64("doc_id", F.lit("half")) % 2 == 0).alias("mine"))
+    got = crossentropy.cross_entropy_difference(texts, half.filter("mine"), PATH).join(half, "doc_id")
+    quarters = F.percentile("difference", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    mine, other = (r[1] for r in got.groupBy("mine").agg(quarters).orderBy(F.desc("mine")).collect())
+    assert abs(mine[1] - other[1]) < 0.1
+    assert mine[0] < other[1] < mine[2] and other[0] < mine[1] < other[2]
+
+
 def test_cross_entropy_of_nothing(spark, nothing, docs):
     none = spark.createDataFrame([], "doc_id long")
     assert crossentropy.cross_entropy_difference(nothing, none, PATH).count() == 0
-    assert crossentropy.cross_entropy_difference(docs, none, PATH).filter("target_loss IS NULL").count() == 0
+    every = docs.select("doc_id").filter("doc_id IS NOT NULL")
+    assert crossentropy.cross_entropy_difference(docs, none, PATH).filter("difference = 0").count() == docs.count()
+    known = docs.filter("doc_id IS NOT NULL")
+    assert crossentropy.cross_entropy_difference(known, every, PATH).filter("difference <> 0").count() == 0
 
 
 def test_checksums_are_of_little_endian_ids(spark, library):
