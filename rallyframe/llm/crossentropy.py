@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rallyframe.llm import chunks as C
 from rallyframe.llm import textbytes as T
@@ -22,8 +23,40 @@ MEGABYTE_KEYS, BUCKET_KEYS = 80_000, 1 << 20
 RESULTS = ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"]
 
 
+def _heads(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where a new combination starts in columns that are sorted by it."""
+    new = np.zeros(len(sorted_by[0]), np.bool_)
+    new[:1] = True
+    for column in sorted_by:
+        new[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
+
+
+def _narrow(size: int) -> np.dtype:
+    """The type that token ids below `size`, and `size` itself, are kept in."""
+    return np.dtype("<u2" if size < 1 << 16 else "<i4")
+
+
+def _tokens(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for `mapInArrow` that gives `ids` for the column `text`."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        narrow = _narrow(loaded(path).library.get_vocab_size())
+        for batch in batches:
+            parts, ends = [b""], [np.zeros(1, np.int64)]
+            for _, _, ids, bounds in encoded(batch.column("text"), path):
+                parts.append(ids.astype(narrow).tobytes())
+                ends.append(ends[-1][-1] + bounds[1:] * narrow.itemsize)
+            places = pa.py_buffer(np.concatenate(ends).astype(np.int32))
+            ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, places, pa.py_buffer(b"".join(parts))])
+            others = [name for name in batch.schema.names if name != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in others), ids], names=[*others, "ids"])
+
+    return encode
+
+
 class Grams:
-    """The distinct tokens and pairs of one chunk as numbers, and where they are in its documents.
+    """The distinct tokens and pairs of one chunk as numbers, and how often each of its documents has them.
 
     With `size` tokens, `size` itself is the mark before and after each text. A number below size + 1 is a token, the
     next size + 1 squared ones are pairs, and the last one stands for all tokens.
@@ -31,71 +64,81 @@ class Grams:
 
     def __init__(self, rows: pa.Table, path: str):
         size = loaded(path).library.get_vocab_size()
-        parts, counts = [], []
-        for column in rows.column("text").chunks:
-            for _, _, ids, bounds in encoded(column, path):
-                n = np.diff(bounds)
-                room = n + 2
-                out = np.full(int(room.sum()), size, np.int64)
-                out[T.ragged(np.cumsum(room) - room + 1, n)] = ids
-                parts.append(out)
-                counts.append(n + 1)
-        tokens = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        narrow = _narrow(size)
+        parts, counts = [np.empty(0, narrow)], [np.empty(0, np.int64)]
+        for column in rows.column("ids").chunks:
+            raw = column.cast(pa.large_binary())
+            bounds = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+            n = np.diff(bounds) // narrow.itemsize + 1
+            inner = np.ones(int(n.sum()), np.bool_)
+            inner[np.cumsum(n) - 1] = False
+            out = np.full(len(inner), size, narrow)
+            if bounds[-1] > bounds[0]:
+                out[inner] = np.frombuffer(raw.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(narrow)
+            parts.append(out)
+            counts.append(n)
         self.base = size + 1
         self.every = self.base + self.base * self.base
         #: predicted tokens of each document: its own and the end
-        self.n = np.concatenate(counts) if counts else np.empty(0, np.int64)
-        room = self.n + 1
-        at = T.ragged(np.cumsum(room) - room + 1, self.n)
-        self.token, self.context = tokens[at], tokens[at - 1]
-        pairs = self.base + self.context * self.base + self.token
-        self.pairs, self.pair_of = np.unique(pairs, return_inverse=True)
+        self.n = np.concatenate(counts)
+        token = np.concatenate(parts)
+        # the mark before a text is the end of the one before it
+        context = np.roll(token, 1)
+        document = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
+        # sorts that keep the order of equals: by token and document, then by context, token and document
+        order = np.argsort(token, kind="stable")
+        ordered, owner = token[order], document[order]
+        at = _heads(ordered, owner)
+        self.token, self.token_doc, self.token_n = ordered[at], owner[at], np.diff(at, append=len(token))
+        own = np.empty(len(token), np.int32)
+        own[order] = np.repeat(self.token_n, self.token_n)
+        order = order[np.argsort(context[order], kind="stable")]
+        before, ordered, owner = context[order], token[order], document[order]
+        at = _heads(before, ordered, owner)
+        first = order[at]
+        #: for each pair of a document: its context and token, how often the document has the pair and each of these
+        self.before, self.after, self.pair_doc = before[at], ordered[at], owner[at]
+        self.pair_n, self.after_n, self.before_n = np.diff(at, append=len(token)), own[first], own[first - 1]
+        head = _heads(self.before, self.after)
+        self.pair_of = np.repeat(np.arange(len(head)), np.diff(head, append=len(at)))
+        self.pairs = self.base + self.before[head].astype(np.int64) * self.base + self.after[head]
 
     def counts(self, chosen: np.ndarray) -> np.ndarray:
         """How often the documents marked in `chosen` have each of `numbers()`; the total comes last."""
-        weight = np.repeat(chosen, self.n).astype(np.float64)
-        single = np.bincount(self.token, weights=weight, minlength=self.base)
-        pair = np.bincount(self.pair_of, weights=weight, minlength=len(self.pairs))
-        return np.concatenate((single, pair, [weight.sum()])).astype(np.int64)
+        single = np.bincount(self.token, weights=self.token_n * chosen[self.token_doc], minlength=self.base)
+        pair = np.bincount(self.pair_of, weights=self.pair_n * chosen[self.pair_doc], minlength=len(self.pairs))
+        return np.concatenate((single, pair, [self.n[chosen].sum()])).astype(np.int64)
+
+    def numbers(self) -> np.ndarray:
+        return np.concatenate((np.arange(self.base), self.pairs, [self.every])).astype(np.uint64)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """(sorted 64-bit keys of the numbers that occur, the place of each in `numbers()`).
 
         A key is a hash that no two numbers share, so common tokens are dealt evenly over ranges of keys.
         """
-        numbers = np.concatenate((np.arange(self.base), self.pairs, [self.every])).astype(np.uint64)
-        seen = np.flatnonzero(self.counts(np.ones(len(self.n), np.bool_)))
-        keys = T.mixed(numbers[seen])
+        tokens = np.flatnonzero(np.bincount(self.token, minlength=self.base))
+        seen = np.concatenate((tokens, np.arange(self.base, self.base + len(self.pairs) + 1)))
+        keys = T.mixed(self.numbers()[seen])
         order = np.argsort(keys)
         return keys[order], seen[order]
 
-    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For every predicted token, how often its document has it, its context and the pair of both."""
-        single, pair = self._within(self.token, self.base), self._within(self.pair_of, len(self.pairs))
-        # before a document's first token lies the end of another one, of which each document has one too
-        return single, np.roll(single, 1), pair
-
-    def _within(self, of: np.ndarray, width: int) -> np.ndarray:
-        document = np.repeat(np.arange(len(self.n)), self.n)
-        _, back, counts = np.unique(document * width + of, return_inverse=True, return_counts=True)
-        return counts[back]
-
     def losses(
         self, counts: np.ndarray, copies: np.ndarray, weight: float, strength: float, extra: float
     ) -> np.ndarray:
-        """The loss of every predicted token, from the counts of `numbers()` in a set of documents.
+        """The mean loss of each document, from the counts of `numbers()` in a set of documents.
 
         A document's own counts are taken off as often as the set has its text (`copies`); the rest counts `weight`.
         """
-        times = np.repeat(copies, self.n)
-        single, pair, total = counts[: self.base], counts[self.base : -1], counts[-1]
-        own_token, own_context, own_pair = self.own()
-        left = lambda all_, own: weight * np.maximum(all_ - times * own, 0)
-        every = left(total, np.repeat(self.n, self.n))
-        one = (left(single[self.token], own_token) + extra) / (every + extra * self.base)
+        times = copies[self.pair_doc]
+        single, pair = counts[: self.base], counts[self.base : -1]
+        total = weight * np.maximum(counts[-1] - copies * self.n, 0) + extra * self.base
+        one = (weight * np.maximum(single[self.after] - times * self.after_n, 0) + extra) / total[self.pair_doc]
+        both = weight * np.maximum(pair[self.pair_of] - times * self.pair_n, 0)
         # a token is a context as often as it is predicted; the mark before a text as often as the one after it
-        context = left(single[self.context], own_context)
-        return -np.log((left(pair[self.pair_of], own_pair) + strength * one) / (context + strength))
+        context = weight * np.maximum(single[self.before] - times * self.before_n, 0)
+        loss = -np.log((both + strength * one) / (context + strength))
+        return np.bincount(self.pair_doc, weights=loss * self.pair_n, minlength=len(self.n)) / self.n
 
 
 def same_texts(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +164,7 @@ def cross_entropy_difference(
     it is itself part of: its counts, and those of all documents with the same text, are taken off first. A low
     difference means close to the target.
 
-    Counting and scoring share one exchange of the text. Each chunk sends how often it has each distinct token, pair
+    Every text is encoded once; counting and scoring share one exchange of its ids. Each chunk sends how often it has each distinct token, pair
     and text (as a 64-bit hash); buckets add the counts up over the corpus and send every chunk the sums of what it
     asked for.
 
@@ -138,7 +181,9 @@ def cross_entropy_difference(
     text_buckets = max(1, -(-n_rows // BUCKET_KEYS))
     chunk = C.chunk_of(chunks, "doc_id")
     same = F.xxhash64(F.coalesce("text", F.lit("").cast("binary"))).alias("same")
-    placed = source.select(chunk, same, *source.columns).repartition("chunk")
+    texts = source.select(chunk, same, *source.columns)
+    tokens = StructType([field for field in texts.schema.fields if field.name != "text"]).add("ids", "binary")
+    placed = texts.mapInArrow(_tokens(tokenizer), tokens).repartition("chunk")
     wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
     targets = wanted.select(chunk, "doc_id")
 
@@ -189,10 +234,8 @@ def cross_entropy_difference(
         sums[0] -= sums[1]
         copies[0] -= copies[1]
         size = sums[:, -1].min()
-        heads = np.cumsum(grams.n) - grams.n
         background, target = (
-            np.add.reduceat(grams.losses(x, y[back], size / max(x[-1], 1.0), strength, extra), heads) / grams.n
-            for x, y in zip(sums, copies)
+            grams.losses(x, y[back], size / max(x[-1], 1.0), strength, extra) for x, y in zip(sums, copies)
         )
         columns = {
             "doc_id": rows.column("doc_id"),
