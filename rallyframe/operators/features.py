@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.functions import columns as C
-from rallyframe.operators.labels import encode, fit_dictionaries
+from rallyframe.operators.labels import encode, encode_all, fit_dictionaries
 from rallyframe.operators.ordered import Ordered, previous
 from rallyframe.operators.profiles import add_profile, fit_profile
 from rallyframe.schema import (
@@ -155,8 +155,8 @@ class FeatureModel:
     def encode(self, rows: DataFrame) -> DataFrame:
         """The dictionary part of ``transform`` for rows from ``base_features``."""
         rows = encode(rows, self.servers, C.label_text(F.col("server_id")), "server_encoded", "label", self.keys)
-        for column in COURT_COLUMNS:
-            rows = encode(rows, self.players, C.label_text(F.col(column)), f"{column}_enc", "label", self.keys)
+        court = {f"{column}_enc": C.label_text(F.col(column)) for column in COURT_COLUMNS}
+        rows = encode_all(rows, self.players, court, "label", self.keys)
         rows = encode(rows, self.previous, F.col("prev_attacker_id"), "prev_attacker_enc", "label", self.keys)
         rows = encode(
             rows, self.targets, F.col("attacker_id"), "target", "label", self.keys, unseen=None

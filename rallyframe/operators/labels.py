@@ -14,6 +14,9 @@ from rallyframe.session import settle
 # The range of label order that a stored label was written in.
 RANGE = "__range"
 
+# A dictionary up to this size, entries and bytes of labels and keys, is sent along as a value, once for each column.
+MAP_ENTRIES, MAP_BYTES = 1 << 14, 1 << 20
+
 
 def distinct_labels(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
     return df.select(*keys, label).where(F.col(label).isNotNull()).distinct()
@@ -89,6 +92,58 @@ def encode(
     )
 
 
+def encode_all(
+    df: DataFrame,
+    dictionary: DataFrame,
+    values: Mapping[str, Column],
+    label: str,
+    keys: Sequence[str] = (),
+    index: str = "idx",
+    unseen: int | None = UNSEEN,
+) -> DataFrame:
+    """``encode`` for several columns that share a stored dictionary: output name -> value.
+
+    A dictionary measured to be small becomes one value, a map of hash buckets, that every row reads: no join and no
+    shuffle, however many columns there are. A larger one is joined for each column.
+    """
+    names = [*keys, label]
+    size = dictionary.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(sum(F.octet_length(F.col(name).cast("string")) for name in names)), F.lit(0)).alias("n_bytes"),
+    ).first()
+    columns = [name for name in df.columns if name not in values]
+    if size["n"] > MAP_ENTRIES or size["n_bytes"] > MAP_BYTES:
+        for output, value in values.items():
+            df = encode(df, dictionary, value, output, label, keys, index, unseen)
+        return df.select(*columns, *values)
+    # Spark reads a map from its start, so there are two levels of buckets, with about two entries in each of the lower
+    n_buckets = max(1, round((size["n"] / 2) ** 0.5))
+    levels = "__upper", "__lower"
+
+    def buckets(wanted: Sequence[Column]) -> list[Column]:
+        found = F.pmod(F.xxhash64(*wanted), F.lit(n_buckets * n_buckets))
+        return [F.floor(found / n_buckets).cast("int"), F.pmod(found, F.lit(n_buckets)).cast("int")]
+
+    own = [F.col(name) for name in names]
+    held = dictionary.na.drop(subset=names).select(
+        *[bucket.alias(level) for level, bucket in zip(levels, buckets(own))],
+        F.struct(F.struct(*own), F.col(index).cast("int")).alias("__held"),
+    )
+    for level in reversed(range(len(levels))):
+        inside = F.map_from_entries(F.collect_list("__held"))
+        held = held.groupBy(*levels[: level + 1]).agg(inside.alias("__inside"))
+        held = held.select(*levels[:level], F.struct(levels[level], "__inside").alias("__held"))
+    whole = held.agg(F.map_from_entries(F.collect_list("__held"))).scalar()
+
+    def place(value: Column) -> Column:
+        wanted = [*[F.col(name) for name in keys], value]
+        upper, lower = buckets(wanted)
+        found = whole[upper][lower][F.struct(*wanted)]
+        return found if unseen is None else F.coalesce(found, F.lit(unseen))
+
+    return df.withColumns({name: place(value) for name, value in values.items()})
+
+
 def class_list(dictionary: DataFrame, label: str) -> list[str]:
     """Labels in code-point order, which is index order, as a list for models that hold one entry per class.
 

@@ -184,7 +184,9 @@ def test_canonical_ids(spark):
     assert got == ["-9", "-9", "-9", "x7", None, "-9223372036854775807"]
 
 
-def test_twelve_lookups_share_one_broadcast(spark):
+def test_twelve_lookups_share_one_broadcast(spark, monkeypatch):
+    """Where the dictionary is too large for a map, and joined for each column."""
+    monkeypatch.setattr(L, "MAP_ENTRIES", 0)
     season = season_table(spark, [{"point_id": n} for n in range(1, 5)])
     model = X.FeatureBuilder("A").fit(season)
     rows = model.transform(season)
@@ -192,3 +194,41 @@ def test_twelve_lookups_share_one_broadcast(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("ReusedExchange") >= 11
     assert "SortMergeJoin" not in plan
+
+
+def test_small_player_dictionaries_need_no_join(spark):
+    season = season_table(spark, [{"point_id": n} for n in range(1, 5)])
+    rows = X.FeatureBuilder("A", include_attacker_profile=True).fit(season).transform(season)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Join ") <= 6
+
+
+@pytest.mark.parametrize("entries", [1 << 14, 0])
+@pytest.mark.parametrize("keys", [[], ["period"], ["period", "part"]])
+def test_one_lookup_for_many_columns(spark, monkeypatch, entries, keys):
+    """As a join for each column, whether the dictionary is sent as a map or joined; nulls and strangers included."""
+    monkeypatch.setattr(L, "MAP_ENTRIES", entries)
+    names = ["", "a", "b", "é", "nan", None, "stranger"]
+    data = [
+        (i, ["x", "y", None][i % 3], i % 2, names[i % 7], names[i * 3 % 7], names[i * 5 % 7]) for i in range(84)
+    ]
+    df = spark.createDataFrame(data, "id int, period string, part int, p string, q string, r string")
+    known = df.where("period IS NOT NULL AND part = 0").select(*keys, F.explode(F.array("p", "q")).alias("label"))
+    dictionary = L.fit_dictionary(known.where("label <> 'stranger'"), "label", keys)
+    columns = {f"{name}_enc": F.col(name) for name in "pqr"}
+    for unseen in (L.UNSEEN, None):
+        want = df
+        for output, value in columns.items():
+            want = L.encode(want, dictionary, value, output, "label", keys, unseen=unseen)
+        got = L.encode_all(df, dictionary, columns, "label", keys, unseen=unseen)
+        assert got.schema.names == [*df.columns, *columns]
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(got.columns).collect()))
+        assert ("Join" in got._jdf.queryExecution().toString()) == (entries == 0)
+
+
+def test_one_lookup_in_an_empty_dictionary(spark):
+    df = spark.createDataFrame([("a", "b"), (None, "a")], "p string, q string")
+    nothing = spark.createDataFrame([], "label string, idx int")
+    got = L.encode_all(df, nothing, {"x": F.col("p"), "y": F.col("q")}, "label")
+    assert {(row.x, row.y) for row in got.collect()} == {(-1, -1)}
