@@ -40,21 +40,34 @@ def _extras(docs: DataFrame) -> list[str]:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the model learns from the labels of this input's documents."""
+    """Documents that the quality rules keep; the model learns from the labels of this input's documents.
+
+    Null and empty texts fail the word count and go. Every row is judged by itself, repeated ones too. Other columns
+    stay, whatever their names. Without documents the result is empty.
+    """
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     judged = quality_rules(_rows(docs), model, threshold=0.5, carry=["extra_text", *_extras(docs)])
     return _documents(judged.filter("kept"), docs, F.col("extra_text"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id."""
+    """One document of each group of near-duplicates: the one with the least id.
+
+    Null and empty texts are linked with nothing and stay, as do rows without an id. Rows that share an id go or stay
+    together. Other columns stay, whatever their names. Without documents the result is empty.
+    """
     found = near_duplicates(docs, size=4, percent=80)
     gone = found.filter("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[column(name) for name in docs.columns])
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without 13-word windows of earlier documents; texts that have none stay as they are, empty ones go."""
+    """Texts without 13-word windows of earlier documents; a text that has none stays as it is.
+
+    A document of which nothing is left goes; one that was null or empty before stays. A row that repeats an id is the
+    same document, not an earlier one. Other columns stay, whatever their names; `n_chars` follows a changed text.
+    Without documents the result is empty.
+    """
     found = substring_dedup(_rows(docs), window=13, carry=["extra_text", *_extras(docs)])
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("extra_text"))
@@ -62,7 +75,11 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words that 10-word windows of benchmark items cover; documents that are nothing else go."""
+    """Texts without the words that 10-word windows of benchmark items cover; documents that are nothing else go.
+
+    Null and empty texts have no words and stay. Every row is searched by itself, repeated ones too. Other columns stay,
+    whatever their names; `n_chars` follows a changed text. Without documents the result is empty.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = benchmark_overlap(_rows(docs), items, window=10, clean=True, carry=_extras(docs))
     changed = F.col("n_hit") > 0
@@ -71,7 +88,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences of at most 4096 tokens."""
+    """Token pieces and their places in sequences of at most 4096 tokens.
+
+    A null or empty text is one piece, its end. Every row is packed, repeated ones too. Columns but the id are not
+    returned. Without documents the result is empty.
+    """
     return pack_documents(docs)
 
 
