@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -14,14 +16,18 @@ from pyspark.sql import functions as F
 from rallyframe.llm import textbytes as T
 from rallyframe.llm.decontaminate import words_of
 from rallyframe.llm.inputs import documents, result_schema, unpacked
-from rallyframe.llm.samples import gathered, labelled_sample, platt, sigmoid
+from rallyframe.llm.samples import labelled_rows, labelled_sample, platt_of, precise_thresholds, sigmoid
+from rallyframe.session import settle
 
 #: A word's embedding is the rows of two tables at two hashes of it, so that two words seldom share both, and the sum
 #: of a third table's rows at hashes of its beginnings, so that inflected and unseen forms have one too.
 TABLE_BITS, PART = (18, 18, 20), 4
 BEGINNINGS = (4, 5, 6, 7, 8)
 WIDTHS, FILTERS = (1, 2, 3), 12
-SAMPLE_ROWS, SAMPLE_DOC_BYTES = 8000, 1 << 15
+#: Rows and bytes of text that one part of the labelled rows has at most, on average; each part trains in a task.
+PART_ROWS, PART_BYTES = 8000, 32 << 20
+#: Rows of the tables that travel together when the parts' tables are averaged.
+RANGE_ROWS = 1 << 15
 EPOCHS, BATCH, RATE, DECAY = 4, 64, 0.02, 1e-4
 #: Precision that a language's threshold aims at, and labelled rows that it needs to have one of its own.
 PRECISION, LANGUAGE_ROWS = 0.95, 50
@@ -31,6 +37,8 @@ WIDEST = max(WIDTHS)
 
 #: Columns of `hashed` by table.
 COLUMNS = ((0,), (1,), tuple(range(2, 2 + len(BEGINNINGS))))
+#: Where each table starts, and the end of the last, when their places are numbered through.
+STARTS = tuple(sum(1 << bits for bits in TABLE_BITS[:k]) for k in range(len(TABLE_BITS) + 1))
 
 
 def described(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,19 +126,18 @@ class ConvModel:
         return sigmoid(self.slope * self.raw(places, bounds).astype(np.float64) + self.level)
 
 
-def _initial(texts: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator) -> ConvModel:
-    """Tables that start from the smoothed log odds of the rows that have a place; words never seen stay at zero."""
+def _initial(seen: np.ndarray, bad: np.ndarray, toxic: float, rng: np.random.Generator) -> ConvModel:
+    """Tables that start from the smoothed log odds of the rows that have a place; words never seen stay at zero.
+
+    `seen` and `bad` count rows and toxic rows by place, one table after the other.
+    """
     tables = []
-    toxic = max(labels.mean(), 1e-6)
-    for bits, columns in zip(TABLE_BITS, COLUMNS):
-        seen, bad = np.zeros(1 << bits), np.zeros(1 << bits)
-        for text, label in zip(texts, labels):
-            own = np.unique(text[:, columns])
-            seen[own] += 1
-            bad[own] += label
-        odds = np.log((bad + 5 * toxic) / (seen - bad + 5 * (1 - toxic))) - np.log(toxic / (1 - toxic))
+    toxic = max(toxic, 1e-6)
+    for bits, columns, start in zip(TABLE_BITS, COLUMNS, STARTS):
+        n, hits = seen[start : start + (1 << bits)], bad[start : start + (1 << bits)]
+        odds = np.log((hits + 5 * toxic) / (n - hits + 5 * (1 - toxic))) - np.log(toxic / (1 - toxic))
         table = np.zeros((1 << bits, PART), np.float32)
-        table[:, 0] = np.where(seen > 0, odds, 0) / len(columns)
+        table[:, 0] = np.where(n > 0, odds, 0) / len(columns)
         table[0] = 0
         tables.append(table)
     filters = [rng.normal(0, 0.2, (w, len(COLUMNS) * PART, FILTERS)).astype(np.float32) for w in WIDTHS]
@@ -190,73 +197,186 @@ def _train(model: ConvModel, texts: list[np.ndarray], labels: np.ndarray, rng: n
                 step(f"table{k}", model.tables[k], total, rows)
 
 
-def precise_threshold(scores: np.ndarray, labels: np.ndarray, precision: float = PRECISION) -> float:
-    """The least score from which on at least `precision` of the rows are toxic; 0.5 if there is none."""
-    order = np.argsort(-scores, kind="stable")
-    hits = np.cumsum(labels[order])
-    good = np.flatnonzero(hits >= precision * np.arange(1, len(order) + 1))
-    # only where the next row scores less, so that equal scores are decided alike
-    good = good[(good == len(order) - 1) | (scores[order][good] > scores[order][np.minimum(good + 1, len(order) - 1)])]
-    return float(scores[order][good[-1]]) if len(good) and hits[-1] else 0.5
-
-
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows and toxic rows that have a place, summed up over a partition."""
+    seen, bad = np.zeros(STARTS[-1]), np.zeros(STARTS[-1])
     for batch in batches:
+        labels = batch.column("label").to_numpy()
         for first, end, data, bounds in T.slices(batch.column("text")):
             words, rows = described(data, bounds)
-            blobs = [words[a:b].astype("<u8").tobytes() for a, b in zip(rows[:-1], rows[1:])]
-            kept = batch.slice(first, end - first)
-            yield pa.RecordBatch.from_arrays(
-                [*(kept.column(x) for x in ("label", "fold", "lang")), pa.array(blobs, pa.binary())],
-                names=["label", "fold", "lang", "words"],
-            )
+            places = hashed(words)
+            for label, a, b in zip(labels[first:end], rows[:-1], rows[1:]):
+                for columns, start in zip(COLUMNS, STARTS):
+                    own = np.unique(places[a:b, columns]) + start
+                    seen[own] += 1
+                    bad[own] += label
+    found = np.flatnonzero(seen)
+    for part in np.array_split(found, len(found) // RANGE_ROWS + 1):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part.astype(np.int32)), pa.array(seen[part]), pa.array(bad[part])], names=["place", "seen", "bad"]
+        )
+
+
+def _dense(model: ConvModel) -> np.ndarray:
+    """All weights outside the tables, one after the other."""
+    return np.concatenate([*(x.reshape(-1) for x in (*model.filters, *model.biases, model.output)), [model.shift]])
+
+
+def _set_dense(model: ConvModel, values: np.ndarray) -> None:
+    at = 0
+    for weights in (*model.filters, *model.biases, model.output):
+        weights[...] = values[at : at + weights.size].reshape(weights.shape)
+        at += weights.size
+    model.shift = float(values[at])
+
+
+SUMS = "range int, weight double, places binary, weights binary"
+
+
+def _trained(start: ConvModel, rng: np.random.Generator):
+    """A function that trains `start` on the rows of one part and gives what differs then, by range of places.
+
+    The range -1 holds the weights outside the tables.
+    """
+
+    def train(part: pa.Table) -> pa.Table:
+        rows = []
+        labels, langs = part["label"].to_pylist(), part["lang"].to_pylist()
+        for first, end, data, bounds in T.slices(part["text"]):
+            words, ends = described(data, bounds)
+            for k, a, b in zip(range(first, end), ends[:-1], ends[1:]):
+                rows.append((zlib.crc32(words[a:b].astype("<u8").tobytes()), labels[k], langs[k] or "", hashed(words[a:b])))
+        rows.sort(key=lambda r: r[:3])  # the order of stored partitions says nothing
+        model = copy.deepcopy(start)
+        _train(model, [r[3] for r in rows], np.array([r[1] for r in rows], np.float64), copy.deepcopy(rng))
+        out = [(-1, float(len(rows)), b"", _dense(model).astype("<f8").tobytes())]
+        for old, table, offset in zip(start.tables, model.tables, STARTS):
+            changed = np.flatnonzero((old != table).any(axis=1))
+            cuts = np.flatnonzero(np.diff((changed + offset) // RANGE_ROWS)) + 1
+            for own in np.split(changed, cuts):
+                if len(own):
+                    places = (own + offset).astype("<i4")
+                    number = int(places[0]) // RANGE_ROWS
+                    out.append((number, float(len(rows)), places.tobytes(), table[own].astype("<f4").tobytes()))
+        columns = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.float64(), pa.binary(), pa.binary()))]
+        return pa.Table.from_arrays(columns, names=["range", "weight", "places", "weights"])
+
+    return train
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of every weight over the parts that changed it, a part counting by its rows."""
+    sums: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for number, weight, places, weights in zip(*(x.to_pylist() for x in batch.columns)):
+            if number < 0:
+                values = np.frombuffer(weights, "<f8")[:, None]
+                at = np.arange(len(values))
+            else:
+                values = np.frombuffer(weights, "<f4").reshape(-1, PART)
+                at = np.frombuffer(places, "<i4") - number * RANGE_ROWS
+            if number not in sums:
+                size = len(values) if number < 0 else RANGE_ROWS
+                sums[number] = [np.zeros((size, values.shape[1])), np.zeros(size)]
+            sums[number][0][at] += weight * values
+            sums[number][1][at] += weight
+    for number, (total, weight) in sums.items():
+        at = np.flatnonzero(weight)
+        mean = total[at] / weight[at][:, None]
+        places = (at + max(number, 0) * RANGE_ROWS).astype("<i4").tobytes()
+        kind = "<f8" if number < 0 else "<f4"
+        row = ([number], [float(weight.max())], [places], [mean.astype(kind).tobytes()])
+        columns = [pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.float64(), pa.binary(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["range", "weight", "places", "weights"])
+
+
+def _fit(rows: DataFrame, parts: int, toxic: float, seed: int) -> ConvModel:
+    """A model of all of `rows`: odds counted over all of them, then every part of them trains and the parts are averaged.
+
+    The driver gets counts and weights by place, whose number is fixed.
+    """
+    seen, bad = np.zeros(STARTS[-1]), np.zeros(STARTS[-1])
+    counted = rows.select("text", "label").mapInArrow(_counts, "place int, seen double, bad double")
+    table = counted.groupBy("place").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).toArrow()
+    places = table["place"].to_numpy()
+    seen[places], bad[places] = table["seen"].to_numpy(), table["bad"].to_numpy()
+    rng = np.random.default_rng(seed)
+    model = _initial(seen, bad, toxic, rng)
+    part = F.pmod("place", F.lit(parts)).cast("int").alias("part")
+    dealt = rows.select("text", "label", "lang", part).repartition(parts, "part")
+    changes = dealt.groupBy("part").applyInArrow(_trained(model, rng), SUMS)
+    for number, _, places, weights in settle(changes.repartition("range").mapInArrow(_averaged, SUMS)).toLocalIterator():
+        if number < 0:
+            _set_dense(model, np.frombuffer(weights, "<f8"))
+            continue
+        places = np.frombuffer(places, "<i4")
+        k = int(np.searchsorted(STARTS, places[0], side="right")) - 1
+        model.tables[k][places - STARTS[k]] = np.frombuffer(weights, "<f4").reshape(-1, PART)
+    return model
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, where: Column | None = None, sample_rows: int = SAMPLE_ROWS, seed: int = 7
+    docs: DataFrame, labels: DataFrame, where: Column | None = None, sample_rows: int | None = None, seed: int = 7
 ) -> ConvModel:
-    """A model of `labels.toxic` from at most `sample_rows` rows that `where` lets through.
+    """A model of `labels.toxic` from all rows that `where` lets through, whole texts of any length.
 
     Four folds train it; on the fifth its scores are calibrated and a threshold is set for every language with enough
     rows, and one for the others. Language decides thresholds only, never a score. With labels of one kind or none,
     every text gets the share of toxic ones as its score (a half if there is no label).
+
+    The training rows are dealt into parts of about `PART_ROWS` rows (and `PART_BYTES`), each trained in a task of its
+    own from the same start; the model is their mean, for a table's row over the parts that changed it. Calibration and
+    thresholds come from sums over all rows of the fifth fold. With `sample_rows`, a sample of so many rows stands for
+    all of them.
     """
     lang = (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang")
-    sample = labelled_sample(docs, labels, "toxic", sample_rows, SAMPLE_DOC_BYTES, where, more=(lang,))
-    words = sample.select("text", "label", "fold", "lang").mapInArrow(
-        _places, "label int, fold int, lang string, words binary"
-    )
-    rows = []
-    for r in gathered(words, 2 * sample_rows):
-        places = hashed(np.frombuffer(r["words"], "<u8").reshape(-1, 2))
-        rows.append((zlib.crc32(r["words"]), r["label"], r["fold"], r["lang"] or "", places))
-    rows.sort(key=lambda r: r[:4])  # the order of stored partitions says nothing
-    texts = [r[4] for r in rows]
-    y = np.array([r[1] for r in rows], np.float64)
-    rng = np.random.default_rng(seed)
-    if not len(y) or y.min() == y.max():
-        part = (y.sum() + 0.5) / (len(y) + 1)
-        model = _initial([], np.array([part]), rng)
+    if sample_rows is None:
+        chosen = labelled_rows(docs, labels, "toxic", where, more=(lang,))
+    else:
+        chosen = labelled_sample(docs, labels, "toxic", sample_rows, None, where, more=(lang,))
+    # copies of one id are dealt by their texts as well, so that only equal rows need share a part
+    rows = settle(chosen.select("text", "label", "fold", "lang", F.xxhash64("doc_id", "text").alias("place")))
+    label = F.col("label")
+    sizes = [F.count("*"), F.sum(label), F.min(label), F.max(label), F.sum(F.octet_length("text"))]
+    folds = {r[0]: tuple(r[1:]) for r in rows.groupBy("fold").agg(*sizes).collect()}
+
+    def total(cells: list[tuple]) -> tuple:
+        n, hits, least, most, size = zip(*cells)
+        return sum(n), sum(hits), min(least), max(most), sum(size)
+
+    n, hits, least, most, size = total(list(folds.values())) if folds else (0, 0, 0, 0, 0)
+    if least == most:
+        model = _initial(*np.zeros((2, STARTS[-1])), (hits + 0.5) / (n + 1), np.random.default_rng(seed))
         model.output[:] = 0
         return model
-    fold = np.array([r[2] for r in rows])
-    fitting = np.flatnonzero(fold != 0)
-    if y[fitting].min() == y[fitting].max() or not (fold == 0).any():
-        fitting, held = np.arange(len(y)), np.arange(len(y))
-    else:
-        held = np.flatnonzero(fold == 0)
-    own = [texts[k] for k in fitting]
-    model = _initial(own, y[fitting], rng)
-    _train(model, own, y[fitting], rng)
-    raw = np.array([float(model.raw(*padded(texts[k], np.array([0, len(texts[k])])))[0]) for k in held])
-    model.slope, model.level = platt(raw, y[held])
-    scores = sigmoid(model.slope * raw + model.level)
-    model.threshold = precise_threshold(scores, y[held])
-    language = np.array([rows[k][3] for k in held])
-    for name in np.unique(language[language != ""]).tolist():
-        mine = language == name
-        if mine.sum() >= LANGUAGE_ROWS and y[held][mine].any():
-            model.by_language[name] = precise_threshold(scores[mine], y[held][mine])
+    others = [cell for fold, cell in folds.items() if fold != 0]
+    fitting = held = rows
+    if 0 in folds and others and total(others)[2] < total(others)[3]:
+        fitting, held = rows.where("fold != 0"), rows.where("fold = 0")
+        n, hits, _, _, size = total(others)
+    parts = max(math.ceil(n / PART_ROWS), math.ceil(size / PART_BYTES), 1)
+    model = _fit(fitting, parts, hits / n, seed)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, bounds in T.slices(batch.column("text"), 1 << 19):
+                words, ends = described(data, bounds)
+                raw = model.raw(*padded(hashed(words), ends)).astype(np.float64)
+                kept = batch.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(raw), kept.column("label"), kept.column("lang")], names=["raw", "label", "lang"]
+                )
+
+    raw = settle(held.select("text", "label", "lang").mapInArrow(scored, "raw double, label int, lang string"))
+    model.slope, model.level = platt_of(raw)
+    score = 1 / (1 + F.exp(-(F.least(F.greatest(model.slope * F.col("raw") + model.level, F.lit(-40.0)), F.lit(40.0)))))
+    names = F.array_distinct(F.array(F.lit(""), F.coalesce("lang", F.lit(""))))
+    limits = precise_thresholds(raw.select(F.explode(names).alias("name"), score.alias("score"), "label"), PRECISION)
+    for name, rows_, good, threshold in limits.collect():
+        if name == "":
+            model.threshold = threshold
+        elif rows_ >= LANGUAGE_ROWS and good:
+            model.by_language[name] = threshold
     return model
 
 
