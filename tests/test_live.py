@@ -80,6 +80,32 @@ def test_lines_later_than_the_delay_are_left_out(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(0, None), (1, "a"), (2, "a"), (3, "a"), (4, "a")]
 
 
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_groups_that_share_a_bucket_keep_apart(spark, tmp_path, monkeypatch, buckets):
+    """Many groups, one of them NULL, over several days and triggers; few lines go back at a time."""
+    monkeypatch.setattr(live_scoring, "OUT_LINES", 7)
+    rng = random.Random(buckets)
+    rows = [
+        (rng.choice([None, *range(2**60, 2**60 + 40)]), k, rng.choice("abc"), True, START + dt.timedelta(hours=k / 4))
+        for k in range(400)
+    ]
+    far = [(2**60, 10**6, None, None, START + dt.timedelta(days=90))]
+    for part in (rows[:150], rows[100:300], rows[300:], far):
+        spark.createDataFrame(part, LINES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    slot = F.when(F.col("good"), F.col("actor"))
+    history = live_scoring.live_history(stream, "game", "line", "actor", slot, "ts", "2 days", buckets=buckets)
+    live_scoring.start(history, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select("game", "line", "actor", "prev_actor", "recent").collect()
+    found, before = {}, {}
+    for game, line, actor, _, _ in rows:
+        last = before.setdefault(game, [])
+        found[line] = (game, line, actor, last[-1] if last else None, last[-6:])
+        last.append(actor)
+    assert len(got) == len(rows)
+    assert {r["line"]: tuple(r) for r in got} == found
+
+
 @pytest.mark.parametrize("block_rows", [None, 7])
 def test_updating_over_blocks(spark, block_rows):
     rng = random.Random(4)
