@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -14,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.functions.probability import renormalise
-from rallyframe.session import shared_folder
+from rallyframe.session import settle, shared_folder
 
 # Fits that share the cluster at the same time; each is a distributed job of its own.
 PARALLEL_FITS = 4
+# Rows that are worth a task of their own in each of the hundreds of jobs of a fit.
+TASK_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -77,13 +80,21 @@ def fit_boosted_model(
     """Fit on rows whose integer ``target`` is a place in ``classes``; rows need every feature.
 
     ``max_bins`` is the number of bins per feature; by default it follows the widest feature, so that no two values
-    are merged.
+    are merged. Rows that are equal in all features and the target give the trees the same numbers, so without
+    subsampling they go in once, with their number as weight: every round reads the distinct rows only.
     """
     shared_folder(train.sparkSession)  # boosting cuts its growing lineage there
+    doubles = [F.col(name).cast("double").alias(name) for name in features]
+    rows = train.select(F.col(target).cast("int").alias("__target"), *doubles)
+    if subsample == 1.0:
+        rows = settle(rows.groupBy("__target", *features).agg(F.count(F.lit(1)).cast("double").alias("__weight")))
+        rows = rows.coalesce(math.ceil(rows.count() / TASK_ROWS) or 1)
+    else:
+        rows = rows.withColumn("__weight", F.lit(1.0))
     vectors = (
         VectorAssembler(inputCols=list(features), outputCol="__features")
-        .transform(train.select(target, *[F.col(name).cast("double").alias(name) for name in features]))
-        .select(F.col(target).cast("int").alias("__target"), "__features")
+        .transform(rows)
+        .select("__target", "__features", "__weight")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     try:
@@ -103,6 +114,7 @@ def fit_boosted_model(
                 subsamplingRate=subsample,
                 seed=seed,
                 maxBins=bins,
+                weightCol="__weight",
             )
             classifier.set(classifier.rawPredictionCol, f"__raw_{place}")
             classifier.set(classifier.probabilityCol, f"__p_{place}")
