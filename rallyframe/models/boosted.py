@@ -87,7 +87,8 @@ def fit_boosted_model(
     doubles = [F.col(name).cast("double").alias(name) for name in features]
     rows = train.select(F.col(target).cast("int").alias("__target"), *doubles)
     if subsample == 1.0:
-        rows = settle(rows.groupBy("__target", *features).agg(F.count(F.lit(1)).cast("double").alias("__weight")))
+        weight = F.count(F.lit(1)).cast("double").alias("__weight")
+        rows = settle(rows.groupBy("__target", *features).agg(weight), TASK_ROWS)
         rows = rows.coalesce(math.ceil(rows.count() / TASK_ROWS) or 1)
     else:
         rows = rows.withColumn("__weight", F.lit(1.0))

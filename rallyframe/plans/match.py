@@ -21,7 +21,7 @@ from rallyframe.operators.groups import unseen_labels, value_counts
 from rallyframe.operators.labels import class_counts, class_list
 from rallyframe.plans.season import IN_SYSTEM, model_rows, score
 from rallyframe.schema import MATCH_MODEL, MODEL_FEATURES, PROFILE_FEATURE
-from rallyframe.session import settle
+from rallyframe.session import FILE_ROWS, settle
 
 TRAIN_SETS, TEST_SET, HELD_OUT_SET = (1, 2, 3), 4, 5
 ROW_KEY = ["game_number", "point_id"]
@@ -97,7 +97,7 @@ def analyse_match(
     train_sets: Sequence[int] = TRAIN_SETS,
 ) -> MatchAnalysis:
     """``fit_encoders_on``: "all" rows or only "train" rows for every dictionary but the target's."""
-    base = settle(base_features(match, focus_team, gated_lag=False).select(*FEATURE_INPUTS))
+    base = settle(base_features(match, focus_team, gated_lag=False).select(*FEATURE_INPUTS), FILE_ROWS)
     in_training = F.col("set_number").isin(list(train_sets))
     complete = in_training
     for name in NULLABLE_FEATURES:
@@ -105,7 +105,7 @@ def analyse_match(
     builder = FeatureBuilder(focus_team, [], gated_lag=False, include_attacker_profile=include_attacker_profile)
     fitted = builder.fit_rows(base if fit_encoders_on == "all" else base.where(in_training), complete)
     names = [*MODEL_FEATURES, PROFILE_FEATURE] if include_attacker_profile else list(MODEL_FEATURES)
-    rows = settle(model_rows(fitted.encode(base), names))
+    rows = settle(model_rows(fitted.encode(base), names), FILE_ROWS)
     classes = class_list(fitted.targets, "label")
     training = rows.where(in_training)
     model = fit_boosted_model(training, names, "target", classes, **settings)

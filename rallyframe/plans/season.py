@@ -21,7 +21,7 @@ from rallyframe.operators.groups import unseen_labels
 from rallyframe.operators.labels import class_list
 from rallyframe.models.boosted import BoostedModel, fit_boosted_model
 from rallyframe.schema import MODEL_FEATURES, PERIODS, PROFILE_FEATURE, SEASON_MODEL
-from rallyframe.session import settle
+from rallyframe.session import FILE_ROWS, settle
 
 IN_SYSTEM = 3
 
@@ -98,12 +98,13 @@ def analyse_season(
     Training and test rows go through the same plan with the period as a column; lags run within a game
     and a game has one split, so splitting later changes nothing. Only the model fits loop over periods.
     """
-    base = settle(base_features(season.where(F.col("period").isin(list(periods))), focus_team).select(*FEATURE_INPUTS))
+    chosen = season.where(F.col("period").isin(list(periods)))
+    base = settle(base_features(chosen, focus_team).select(*FEATURE_INPUTS), FILE_ROWS)
     train = base.where(F.col("split") == "train")
     builder = FeatureBuilder(focus_team, ["period"], include_attacker_profile=include_attacker_profile)
     fitted = builder.fit_rows(train)
     names = [*MODEL_FEATURES, PROFILE_FEATURE] if include_attacker_profile else list(MODEL_FEATURES)
-    rows = settle(model_rows(fitted.encode(base), names))
+    rows = settle(model_rows(fitted.encode(base), names), FILE_ROWS)
     models, scored = {}, None
     for period in periods:
         of_period = rows.where(F.col("period") == period)

@@ -35,7 +35,7 @@ from rallyframe.operators.updating import add_counts_so_far, add_updated
 from rallyframe.plans.match import ROW_KEY, analyse_match
 from rallyframe.plans.season import model_rows
 from rallyframe.schema import MATCH_MODEL, MODEL_FEATURES, SEASON
-from rallyframe.session import scratch, settle
+from rallyframe.session import FILE_ROWS, scratch, settle
 from rallyframe.sources.scout import (
     FILE,
     decode,
@@ -557,7 +557,8 @@ def _fit_boosted(spark: SparkSession, sf: str) -> tuple[BoostedModel, DataFrame]
             }
         )
         .na.drop(subset=[*features, "target"])
-        .select("event_id", "event_type", "value", "ts", "on_court", "target", *features)
+        .select("event_id", "event_type", "value", "ts", "on_court", "target", *features),
+        FILE_ROWS,
     )
     model = fit_boosted_model(
         rows.where(_before(TRAIN_UNTIL)),

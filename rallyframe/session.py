@@ -44,15 +44,20 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/rallyframe-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
+# Rows of a file whose readers do much for each row: rows pack so small that by bytes one task would read them all.
+FILE_ROWS = 20_000
+
+
+def settle(df: DataFrame, file_rows: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Fitted tables (dictionaries, profiles, class probabilities) go through here: their lineage
     ends, a lost executor costs a re-read and not a re-fit, and Catalyst knows their exact size, so
     a later join broadcasts them only when they are below its threshold. The folder carries the
-    application id, so it can be removed once the application is over.
+    application id, so it can be removed once the application is over. With ``file_rows``, no file has more rows,
+    and the readers share the files out over all cores.
     """
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rallyframe import api
-from rallyframe.plans import overview
+from rallyframe.plans import match, overview
 from rallyframe.plans.match import analyse_match
 from rallyframe.plans.season import analyse_season
 from rallyframe.schema import MODEL_FEATURES
@@ -137,6 +137,21 @@ def test_single_match(spark, tmp_path):
     assert train_only.features.servers.count() <= analysis.features.servers.count()
 
 
+def test_rows_to_score_are_shared_out_over_files(spark, tmp_path, monkeypatch):
+    """A match's rows are small and costly to score: by their bytes one task would score all of them."""
+    path = tmp_path / "X-Y.dvw"
+    path.write_text(Match(21, sets=5, rallies=24).text())
+    points = settle(extract_match(spark, str(path), "1", "Team A"))
+    settings = {**QUICK, "subsample": 1.0}
+    whole = analyse_match(points, "Team A", settings=settings)
+    monkeypatch.setattr(match, "FILE_ROWS", 10)
+    shared = analyse_match(points, "Team A", settings=settings)
+    files = shared.rows.groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 1 and max(row["count"] for row in files) <= 10
+    columns = ["point_id", "attacker_id", "top_predicted", "chose_non_top"]
+    assert sorted(shared.scored.select(*columns).collect()) == sorted(whole.scored.select(*columns).collect())
+
+
 def test_overview(season):
     points = {(row.period, row.split): (row.points, row.games) for row in overview.points_by_period(season).collect()}
     assert points["pre", "train"] == (len(Match(11).expected) + len(Match(12).expected), 2)

@@ -1,6 +1,7 @@
 """Where fitted tables go."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from rallyframe import session
 
@@ -18,6 +19,15 @@ def test_the_named_folder_is_used(spark, tmp_path, monkeypatch):
             context.setCheckpointDir(before)
 
 
+def test_files_hold_no_more_rows_than_asked(spark):
+    """Small rows would all be in one file, which one task reads."""
+    stored = session.settle(spark.range(0, 100, 1, 1), 30)
+    files = stored.groupBy(F.input_file_name()).count().collect()
+    assert sorted(row["count"] for row in files) == [10, 30, 30, 30]
+    assert sorted(row.id for row in stored.collect()) == list(range(100))
+    assert len(session.settle(spark.range(0, 100, 1, 1)).inputFiles()) == 1
+
+
 def test_a_cluster_must_name_a_folder():
     class Context:
         master = "yarn"
