@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from pyspark.sql.types import StructType
 
 from rallyframe.models.frequency import FrequencyModel
 from rallyframe.operators import evaluation as E
+from rallyframe.session import settle
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -39,6 +41,8 @@ DAY = 86_400_000_000
 BUCKETS = 256
 # Released lines that go back to Spark at a time.
 OUT_LINES = 50_000
+# A model measured at up to so many bytes goes along to every task.
+MODEL_BYTES = 1 << 20
 
 
 class _InOrder(StatefulProcessor):
@@ -197,11 +201,26 @@ def live_history(
     )
 
 
+def _measured(model: FrequencyModel) -> FrequencyModel:
+    """The model with its table stored, and joined by its measured size.
+
+    By size Catalyst would choose wrongly: it sees the files of a trigger, not the lines that the state releases. A
+    trigger without new lines has size 0, and all that it releases would be collected by the driver and broadcast.
+    """
+    table = settle(model.table)
+    texts = sum(F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0)) for key in model.keys)
+    n_bytes = table.agg(F.coalesce(F.sum(texts + 8 * len(model.classes)), F.lit(0))).first()[0]
+    return replace(model, table=table.hint("broadcast" if n_bytes <= MODEL_BYTES else "merge"))
+
+
 def live_scores(history: DataFrame, model: FrequencyModel, actor: str, classes: Sequence[str] | None = None) -> DataFrame:
-    """Masked probabilities and predictability of every released line that has a previous one and a known key."""
+    """Masked probabilities and predictability of every released line that has a previous one and a known key.
+
+    A small model is broadcast; with a larger one, the lines are dealt out and sorted by its keys. Lines never are.
+    """
     names = list(classes or model.classes)
     rows = history.where(F.col("prev_actor").isNotNull()).withColumnRenamed("prev_actor", model.keys[0])
-    known = model.transform(rows).where(F.col("probability").isNotNull())
+    known = _measured(model).transform(rows).where(F.col("probability").isNotNull())
     masked = E.mask_to_available(known, names, F.col("recent"))
     return E.add_predictability(masked, actor, len(names))
 

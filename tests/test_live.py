@@ -106,6 +106,33 @@ def test_groups_that_share_a_bucket_keep_apart(spark, tmp_path, monkeypatch, buc
     assert {r["line"]: tuple(r) for r in got} == found
 
 
+@pytest.mark.parametrize("model_bytes, join", [(1 << 20, "BuildRight"), (0, "SortMergeJoin")])
+def test_released_lines_are_never_broadcast(spark, tmp_path, monkeypatch, model_bytes, join):
+    """The last trigger has no new line and size 0 for the planner, but releases all that waited."""
+    monkeypatch.setattr(live_scoring, "MODEL_BYTES", model_bytes)
+    rows = coded(7)
+    far = [(99, 10**6, None, None, START + dt.timedelta(days=9))]
+    for part in (rows, far):
+        spark.createDataFrame(part, LINES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    before = [row for row in batch_rows(spark.createDataFrame(rows, LINES)) if row[3] is not None]
+    frame = spark.createDataFrame(before, "game long, line long, actor string, prev string, recent array<string>")
+    model = fit_frequency_model(frame.where("actor IS NOT NULL AND prev != 'e'"), ["prev"], "actor")
+    stream = spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    slot = F.when(F.col("good"), F.col("actor"))
+    history = live_scoring.live_history(stream, "game", "line", "actor", slot, "ts", "1 day")
+    scores = live_scoring.live_scores(history, model, "actor").select("line", "prev", "pred_entropy", "top_predicted")
+    query = live_scoring.start(scores, str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert join in plan and "BuildLeft" not in plan
+    known = model.transform(frame).where("probability IS NOT NULL")
+    masked = E.mask_to_available(known, model.classes, F.col("recent"))
+    want = E.add_predictability(masked, "actor", len(model.classes)).select(*scores.columns)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() > 100
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 @pytest.mark.parametrize("block_rows", [None, 7])
 def test_updating_over_blocks(spark, block_rows):
     rng = random.Random(4)
